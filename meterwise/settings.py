@@ -31,8 +31,8 @@ STREAM_PROBLEMS = ("skew", "mixed", "capacity", "bursty")
 # --- Fixed values: hosting endpoints --------------------------------------------------------------
 INVOCATIONS_METRIC = "Invocations"
 ENDPOINT_STATUSES = (
-    "OutOfService", "Creating", "Updating", "SystemUpdating", "RollingBack", "InService",
-    "Deleting", "Failed", "UpdateRollbackFailed",
+    "InService", "Creating", "Updating", "SystemUpdating", "RollingBack", "Deleting", "Failed",
+    "OutOfService",
 )
 BILLING_STATUSES = ("InService", "Updating", "SystemUpdating", "RollingBack")
 ENDPOINT_VERDICTS = ("idle", "underused", "healthy", "not_applicable", "too_new", "not_billing")
