@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.functions.text import model_key, model_scope, service_key, strip
-from meterwise.operators.small import sized
+from meterwise.operators.small import fetched, sized
 from meterwise.settings import TOKEN_KINDS
 
 RATES = "decimal(12,6)"
 MONEY = "decimal(20,6)"
+_REGION_MARK = "region"
 
 
 def rate_table(prices: DataFrame) -> DataFrame:
@@ -33,12 +34,16 @@ def rate_table(prices: DataFrame) -> DataFrame:
         F.concat(F.lit("words:"), service_key(F.col("service_name"))),
     )
     rates = [f"rate_{k}" for k in kinds]
-    return (
+    found = (
         wide.select("region", "service_name", *rates, F.explode(keys).alias("price_key"))
         .groupBy("region", "price_key")
         .agg(F.min_by(F.struct("service_name", *rates), "service_name").alias("r"))
         .select("region", "price_key", "r.*")
     )
+    # A row that says no more than that the region has prices.
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("service_name", *rates)]
+    marks = prices.select("region").distinct().select("region", F.lit(_REGION_MARK).alias("price_key"), *none)
+    return found.unionByName(marks)
 
 
 def with_cost(inv: DataFrame, prices: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -47,8 +52,13 @@ def with_cost(inv: DataFrame, prices: DataFrame, overrides: DataFrame | None = N
     `overrides` (model_id, service_name) names a price for models the words cannot reach. Prices
     and overrides are broadcast only after a check of their size; the log is never shuffled then.
     """
-    lookup = rate_table(prices)
-    regions = prices.select("region").distinct().withColumn("region_priced", F.lit(True))
+    table = rate_table(prices)
+    local = fetched(table)
+    lookup, mark = (table if local is None else local), F.col("price_key") == _REGION_MARK
+    rates = lookup.filter(~mark)
+    regions = lookup.filter(mark).select("region", F.lit(True).alias("region_priced"))
+    if local is not None:
+        rates, regions = F.broadcast(rates), F.broadcast(regions)
     words = model_key(F.col("model_id"))
     key = F.when(words != "", F.concat(F.lit("words:"), words))
     keyed = inv
@@ -65,9 +75,7 @@ def with_cost(inv: DataFrame, prices: DataFrame, overrides: DataFrame | None = N
         service = F.coalesce("exact_service", "lower_service")
         key = F.coalesce(F.concat(F.lit("name:"), service), key)
     keyed = keyed.select(*inv.columns, key.alias("price_key"))
-    priced = keyed.join(sized(lookup), ["region", "price_key"], "left").join(
-        sized(regions), "region", "left"
-    )
+    priced = keyed.join(rates, ["region", "price_key"], "left").join(regions, "region", "left")
     cost, reason = _cost()
     return priced.select(
         *inv.columns, "service_name", cost.alias("cost_usd"), reason.alias("no_price_reason")

@@ -20,6 +20,11 @@ COLUMNS = (
 )
 
 
+def once(table: DataFrame, *fields: Column) -> DataFrame:
+    """Select `fields`, each evaluated exactly once a row whatever is selected or filtered later."""
+    return table.select(F.inline(F.array(F.struct(*fields))))
+
+
 def _version(raw: Column) -> Column:
     """The schema version as text; anything empty or zero reads as not given."""
     value = leaf(raw, "$.schemaVersion")
@@ -39,12 +44,15 @@ def parse(records: DataFrame) -> DataFrame:
     """Each record's metadata columns plus `issue_kind`, null for a usable record.
 
     Only counts and identifiers are ever selected from `raw`; the body fields are not, so no later
-    table can hold them. An issue already found while reading is kept.
+    table can hold them. An issue already found while reading is kept. The fields go through a
+    generator, which evaluates them once a row: filters on them are not pushed below it, where
+    they would repeat the parsing.
     """
     raw = F.col("raw")
     metrics = f'$.output.outputBodyJson["{METRICS_KEY}"]'
     error = text_leaf(raw, "$.errorCode")
-    fields = records.select(
+    fields = once(
+        records,
         F.col("issue_kind").alias("read_issue"),
         F.col("detail"),
         is_object(raw).alias("is_record"),
@@ -66,7 +74,7 @@ def parse(records: DataFrame) -> DataFrame:
         count_leaf(raw, f"{metrics}.invocationLatency").alias("invocation_latency_ms"),
         count_leaf(raw, f"{metrics}.firstByteLatency").alias("first_byte_latency_ms"),
         F.when(error != "", error).alias("error_code"),
-        "source",
+        F.col("source").alias("source"),
     )
     major = F.substring_index("version", ".", 1)
     issue = F.coalesce(

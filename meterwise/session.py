@@ -34,6 +34,7 @@ def local_session(cores: str = "8", memory: str = "8g", name: str = "meterwise")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in SETTINGS.items():
