@@ -638,5 +638,5 @@ def serverless_offer_prices(spark, sf_dir):
 @query("usage_report_by_model", f"WITH {_PARSED}, {COSTED.replace('inv AS (' + duck(invocations) + ')', 'inv AS (SELECT * REPLACE (CASE WHEN event_id % 50 = 8 THEN NULL ELSE cache_read_tokens END AS cache_read_tokens, CASE WHEN event_id % 50 = 8 THEN NULL ELSE cache_write_tokens END AS cache_write_tokens) FROM issues WHERE issue_kind IS NULL)')} {_totals_sql(chr(39) + 'model' + chr(39) + ' AS grouping, model_id AS key,', 'GROUP BY 2')}")
 def usage_report_by_model(spark, sf_dir):
     """From raw lines to a section of the finished report."""
-    report = usage_report(parsed(spark, sf_dir), spark.sql(token_prices("spark")))
+    report = usage_report(parsed(spark, sf_dir), spark.sql(token_prices("spark")), only=("groups",))
     return money(group_section(report, "model"))

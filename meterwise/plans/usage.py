@@ -14,25 +14,27 @@ def usage_report(
     prices: DataFrame,
     overrides: DataFrame | None = None,
     thresholds: UsageThresholds = UsageThresholds(),
+    only: tuple[str, ...] | None = None,
 ) -> dict[str, DataFrame]:
-    """Every section of the report as its own table.
+    """The sections of the report, or those named in `only`, each as its own table.
 
     `parsed` comes from `invocations.parse`. Several sections read the costed rows: write them to
     a table first, or cache them, when parsing is what costs most.
     """
     inv = invocations.usable(parsed)
     costed = costing.with_cost(inv, prices, overrides)
-    return {
-        "window": totals.covered_window(inv),
-        "groups": totals.all_groupings(costed),
-        "unpriced_models": costing.unpriced_models(costed),
-        "percentiles": percentiles.percentiles(inv, thresholds),
-        "outliers": percentiles.outliers(inv, thresholds),
-        "anomalies": anomalies.with_rates(anomalies.detect(costed, thresholds)),
-        "most_expensive": totals.most_expensive(costed, thresholds.top_requests),
-        "skipped_records": invocations.issue_counts(parsed),
-        "usable": invocations.usable_share(parsed),
+    sections = {
+        "window": lambda: totals.covered_window(inv),
+        "groups": lambda: totals.all_groupings(costed),
+        "unpriced_models": lambda: costing.unpriced_models(costed),
+        "percentiles": lambda: percentiles.percentiles(inv, thresholds),
+        "outliers": lambda: percentiles.outliers(inv, thresholds),
+        "anomalies": lambda: anomalies.with_rates(anomalies.detect(costed, thresholds)),
+        "most_expensive": lambda: totals.most_expensive(costed, thresholds.top_requests),
+        "skipped_records": lambda: invocations.issue_counts(parsed),
+        "usable": lambda: invocations.usable_share(parsed),
     }
+    return {name: build() for name, build in sections.items() if only is None or name in only}
 
 
 def group_section(report: dict[str, DataFrame], grouping: str) -> DataFrame:
