@@ -120,7 +120,7 @@ def overrides(dialect: str) -> str:
 # --- shards ---------------------------------------------------------------------------------------
 
 SKEW_START = utc(2026, 1, 1)
-SKEW_MINUTES = 2500
+SKEW_MINUTES = 250
 SKEW_END = SKEW_START + dt.timedelta(minutes=SKEW_MINUTES)
 _SKEW_EPOCH = int(SKEW_START.timestamp())
 
@@ -134,16 +134,20 @@ def _shard(key: str) -> str:
     )
 
 
-_WEIGHT = "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 40 WHEN 'AO' THEN 900 WHEN 'NF' THEN 600 ELSE 30 END"
+_WEIGHT = "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 15 WHEN 'AO' THEN 250 WHEN 'NF' THEN 250 ELSE 20 END"
+
+
+def _minute(dialect: str) -> str:
+    return f"CAST(floor({days_since(dialect, '1995-01-01', 'l_shipdate')} / 10.0e0) AS INT)"
 
 
 def datapoints(dialect: str) -> str:
-    """One-minute sums per shard; a day of the line items stands for a minute."""
+    """One-minute sums per shard; ten days of the line items stand for a minute."""
     ts = from_epoch(dialect, f"{_SKEW_EPOCH} + 60 * minute")
     return f"""
     WITH sums AS (
       SELECT l_returnflag || l_linestatus AS stream, {_shard('l_suppkey')} AS shard_id,
-        {days_since(dialect, '1995-01-01', 'l_shipdate')} AS minute,
+        {_minute(dialect)} AS minute,
         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * {_WEIGHT}) AS DOUBLE) AS bytes,
         CAST(count(*) AS DOUBLE) AS records,
         CAST(sum(CASE WHEN l_discount > 0.09 AND l_returnflag || l_linestatus <> 'RF' THEN 1 ELSE 0 END) AS DOUBLE) AS throttled
@@ -178,7 +182,7 @@ def streams(dialect: str) -> str:
 
 
 def stream_records(dialect: str) -> str:
-    ts = from_epoch(dialect, f"{_SKEW_EPOCH} + 60 * {days_since(dialect, '1995-01-01', 'l_shipdate')}")
+    ts = from_epoch(dialect, f"{_SKEW_EPOCH} + 60 * {_minute(dialect)}")
     return f"""
     SELECT l_returnflag || l_linestatus AS stream, {_shard('l_suppkey')} AS shard_id, {ts} AS ts,
       'k' || CAST(CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE l_partkey % 40 END AS STRING) AS partition_key,

@@ -9,6 +9,7 @@ from catalogue.adapters import adapted, duck, invocations, load, overrides, scra
 from meterwise.functions import text as tx
 from meterwise.functions.time import timestamp_leaf
 from meterwise.operators import anomalies, content, costing, invocations as iv, percentiles, totals
+from meterwise.operators.small import once
 from meterwise.plans.usage import group_section, usage_report
 from meterwise.settings import UsageThresholds
 from meterwise.sources import logs, prices
@@ -421,7 +422,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("n") % 50 == 9, F.lit("null"))
         .otherwise(line)
     )
-    return iv.once(
+    return once(
         rows, F.col("source").alias("source"), F.col("source").alias("path"), F.lit(0).alias("position"), bad.alias("line")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterwise.functions.json import count_leaf, is_null, is_object, kind, leaf, text_leaf
 from meterwise.functions.time import timestamp_leaf
+from meterwise.operators.small import once
 from meterwise.settings import CONTENT_FIELDS, METRICS_KEY, NO_IDENTITY, REDACTED, SCHEMA_MAJOR, SCHEMA_TYPE
 
 COLUMNS = (
@@ -20,11 +21,6 @@ COLUMNS = (
 )
 
 
-def once(table: DataFrame, *fields: Column) -> DataFrame:
-    """Select `fields`, each evaluated exactly once a row whatever is selected or filtered later."""
-    return table.select(F.inline(F.array(F.struct(*fields))))
-
-
 def _version(raw: Column) -> Column:
     """The schema version as text; anything empty or zero reads as not given."""
     value = leaf(raw, "$.schemaVersion")
@@ -44,9 +40,8 @@ def parse(records: DataFrame) -> DataFrame:
     """Each record's metadata columns plus `issue_kind`, null for a usable record.
 
     Only counts and identifiers are ever selected from `raw`; the body fields are not, so no later
-    table can hold them. An issue already found while reading is kept. The fields go through a
-    generator, which evaluates them once a row: filters on them are not pushed below it, where
-    they would repeat the parsing.
+    table can hold them. An issue already found while reading is kept. Every
+    field is evaluated once; a filter on it does not repeat the parsing.
     """
     raw = F.col("raw")
     metrics = f'$.output.outputBodyJson["{METRICS_KEY}"]'

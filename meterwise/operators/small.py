@@ -1,10 +1,12 @@
-"""Joining with tables that ought to be small."""
+"""Joining with tables that ought to be small, and evaluating expensive columns once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterwise.session import ensure_checkpoint_dir
+
 MAX_ROWS = 50_000
 
 
@@ -24,3 +26,18 @@ def sized(table: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """
     local = fetched(table, max_rows)
     return table if local is None else F.broadcast(local)
+
+
+def once(table: DataFrame, *fields: Column) -> DataFrame:
+    """Select `fields`, each evaluated exactly once a row whatever is selected or filtered later.
+
+    The fields go through a generator: the optimizer copies an expression of a projection into
+    every place that uses it, filters below included, but it does not copy a generator's.
+    """
+    return table.select(F.inline(F.array(F.struct(*fields))))
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """Compute a table that several results read, once, and keep it in the checkpoint folder."""
+    ensure_checkpoint_dir(table.sparkSession)
+    return table.checkpoint()
