@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from catalogue.adapters import adapted, duck, invocations, load, overrides, scratch, token_prices
 from meterwise.functions import text as tx
-from meterwise.functions.time import timestamp_leaf
+from meterwise.functions.json import leaf
+from meterwise.functions.time import timestamp
 from meterwise.operators import anomalies, content, costing, invocations as iv, percentiles, totals
 from meterwise.operators.small import once
 from meterwise.plans.usage import group_section, usage_report
@@ -541,7 +542,7 @@ def tolerant_timestamps(spark, sf_dir):
     stamp = F.get(F.array(*forms), (F.col("event_id") % 12).cast("int"))
     raw = F.parse_json(F.concat(F.lit('{"timestamp":'), stamp, F.lit("}")))
     return e.select("event_id", raw.alias("raw")).select(
-        "event_id", F.date_format(timestamp_leaf(F.col("raw"), "$.timestamp"), _MICROS).alias("ts")
+        "event_id", F.date_format(timestamp(leaf(F.col("raw"), "$.timestamp")), _MICROS).alias("ts")
     )
 
 

@@ -35,8 +35,14 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def fields(value: Column, *names: str) -> Column:
+    """The named fields of an object as a struct of variants, in one pass; null for anything else."""
+    wanted = ", ".join(f"`{n}`: variant" for n in names)
+    return F.try_variant_get(value, "$", f"struct<{wanted}>")
+
+
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+    return fields(value, "_").isNotNull()
 
 
 def is_number(value: Column) -> Column:
@@ -48,19 +54,18 @@ def is_null(value: Column) -> Column:
     return value.isNull() | F.is_variant_null(value)
 
 
-def text_leaf(record: Column, path: str) -> Column:
-    """A trimmed string field; anything but a string reads as empty."""
-    value = leaf(record, path)
-    return F.when(kind(value) == "STRING", strip(F.try_variant_get(record, path, "string"))).otherwise("")
+def as_string(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
+def text(value: Column) -> Column:
+    """A trimmed string; anything but a string reads as empty."""
+    return F.when(kind(value) == "STRING", strip(as_string(value))).otherwise("")
 
 
-def count_leaf(record: Column, path: str) -> Column:
+def count(value: Column) -> Column:
     """A count: a JSON number cut to an integer; negative or any other type reads as null."""
-    value = leaf(record, path)
-    whole = F.when(
-        kind(value) == "BIGINT", F.try_variant_get(record, path, "bigint")
-    ).when(
-        is_number(value),
-        F.try_variant_get(record, path, "double").try_cast("decimal(38,6)").try_cast("bigint"),
+    whole = F.when(kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
+        is_number(value), F.try_variant_get(value, "$", "double").try_cast("decimal(38,6)").try_cast("bigint")
     )
     return F.when(whole >= 0, whole)

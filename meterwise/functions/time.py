@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meterwise.functions.json import is_number, kind, leaf
+from meterwise.functions.json import as_string, is_number, kind
 from meterwise.functions.text import strip
 
 # Epoch numbers above this are milliseconds; the range is years 1 to 9999.
@@ -48,8 +48,8 @@ def epoch_timestamp(number: Column) -> Column:
     )
 
 
-def timestamp_leaf(record: Column, path: str) -> Column:
-    value = leaf(record, path)
-    return F.when(
-        kind(value) == "STRING", iso_timestamp(strip(F.try_variant_get(record, path, "string")))
-    ).when(is_number(value), epoch_timestamp(F.try_variant_get(record, path, "double")))
+def timestamp(value: Column) -> Column:
+    """A timestamp from a JSON string or number; any other type is null."""
+    return F.when(kind(value) == "STRING", iso_timestamp(strip(as_string(value)))).when(
+        is_number(value), epoch_timestamp(F.try_variant_get(value, "$", "double"))
+    )

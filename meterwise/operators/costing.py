@@ -84,31 +84,28 @@ def with_cost(inv: DataFrame, prices: DataFrame, overrides: DataFrame | None = N
 
 def _cost() -> tuple[Column, Column]:
     is_global = model_scope(F.col("model_id")) == "global"
-    micro = F.lit(Decimal(0)).cast("decimal(38,6)")
-    lacking = []
+    zero = F.lit(Decimal(0)).cast("decimal(32,6)")
+    micro, lacks, named = zero, F.lit(False), []
     for kind in TOKEN_KINDS:
-        tokens = F.coalesce(F.col(f"{kind}_tokens"), F.lit(0))
-        rate = F.coalesce(
-            F.when(is_global, F.col(f"rate_{kind}_global")), F.col(f"rate_{kind}")
-        )
+        tokens = F.col(f"{kind}_tokens")
+        charged = F.coalesce(tokens > 0, F.lit(False))
+        rate = F.coalesce(F.when(is_global, F.col(f"rate_{kind}_global")), F.col(f"rate_{kind}"))
         # Decimals, so that a total does not depend on the order rows are added in.
-        charge = tokens.cast("decimal(19,0)") * rate
-        micro = micro + F.when(tokens > 0, charge).otherwise(F.lit(Decimal(0)).cast("decimal(32,6)"))
-        lacking.append(F.when((tokens > 0) & rate.isNull(), F.lit(kind)))
-    missing = F.array_compact(F.array(*lacking))
+        micro = micro + F.when(charged, tokens.cast("decimal(19,0)") * rate).otherwise(zero)
+        lacks = lacks | (charged & rate.isNull())
+        named.append(F.when(charged & rate.isNull(), F.lit(kind)))
     found = F.col("service_name").isNotNull()
-    priced = found & (F.size(missing) == 0)
     usd = (F.round(micro, 0).cast("decimal(24,0)") * F.lit(Decimal("0.000001"))).cast(MONEY)
     where = F.when(F.coalesce(F.col("region"), F.lit("")) == "", "an unnamed region").otherwise(F.col("region"))
     reason = (
         F.when(F.col("region_priced").isNull(), F.concat(F.lit("no rates for region "), where))
         .when(~found, F.concat(F.lit("no published price for "), "model_id", F.lit(" in "), where))
         .when(
-            F.size(missing) > 0,
-            F.concat(F.lit("no published rate for "), F.array_join(missing, ", "), F.lit(" in "), where),
+            lacks,
+            F.concat(F.lit("no published rate for "), F.concat_ws(", ", *named), F.lit(" in "), where),
         )
     )
-    return F.when(priced, usd), reason
+    return F.when(found & ~lacks, usd), reason
 
 
 def unpriced_models(costed: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.functions.json import count_leaf, is_null, is_object, kind, leaf, text_leaf
-from meterwise.functions.time import timestamp_leaf
+from meterwise.functions.json import as_string, count, fields, is_null, is_object, kind, leaf, text
+from meterwise.functions.time import timestamp
 from meterwise.operators.small import once
 from meterwise.settings import CONTENT_FIELDS, METRICS_KEY, NO_IDENTITY, REDACTED, SCHEMA_MAJOR, SCHEMA_TYPE
 
@@ -21,17 +21,16 @@ COLUMNS = (
 )
 
 
-def _version(raw: Column) -> Column:
+def _version(value: Column) -> Column:
     """The schema version as text; anything empty or zero reads as not given."""
-    value = leaf(raw, "$.schemaVersion")
-    text = F.try_variant_get(value, "$", "string")
+    text_value = as_string(value)
     number = F.try_variant_get(value, "$", "double")
     return F.coalesce(
         F.when(is_null(value), "")
-        .when(kind(value) == "STRING", text)
-        .when(kind(value) == "BOOLEAN", F.when(text == "true", "true").otherwise(""))
+        .when(kind(value) == "STRING", text_value)
+        .when(kind(value) == "BOOLEAN", F.when(text_value == "true", "true").otherwise(""))
         .when(kind(value).rlike("^(OBJECT|ARRAY)"), F.regexp_replace(F.to_json(value), r"^(\{\}|\[\])$", ""))
-        .otherwise(F.when(number == 0, "").otherwise(text)),
+        .otherwise(F.when(number == 0, "").otherwise(text_value)),
         F.lit(""),
     )
 
@@ -40,36 +39,50 @@ def parse(records: DataFrame) -> DataFrame:
     """Each record's metadata columns plus `issue_kind`, null for a usable record.
 
     Only counts and identifiers are ever selected from `raw`; the body fields are not, so no later
-    table can hold them. An issue already found while reading is kept. Every
-    field is evaluated once; a filter on it does not repeat the parsing.
+    table can hold them. An issue already found while reading is kept. Each object of the record is
+    taken apart once, and every field is evaluated once; a filter on it does not repeat the parsing.
     """
-    raw = F.col("raw")
-    metrics = f'$.output.outputBodyJson["{METRICS_KEY}"]'
-    error = text_leaf(raw, "$.errorCode")
-    fields = once(
-        records,
-        F.col("issue_kind").alias("read_issue"),
+    top = records.select(
+        "source", "detail", F.col("issue_kind").alias("read_issue"),
+        fields(
+            F.col("raw"), "schemaType", "schemaVersion", "timestamp", "requestId", "modelId", "operation",
+            "region", "accountId", "identity", "input", "output", "errorCode",
+        ).alias("r"),
+    )
+    sections = top.select(
+        "*",
+        fields(F.col("r.identity"), "arn").alias("who"),
+        fields(
+            F.col("r.input"), "inputTokenCount", "cacheReadInputTokenCount", "cacheWriteInputTokenCount"
+        ).alias("i"),
+        fields(F.col("r.output"), "outputTokenCount").alias("o"),
+        fields(leaf(F.col("r.output"), f'$.outputBodyJson["{METRICS_KEY}"]'), "invocationLatency", "firstByteLatency").alias("m"),
+    )
+    error = text(F.col("r.errorCode"))
+    parsed = once(
+        sections,
+        F.col("read_issue"),
         F.col("detail"),
-        is_object(raw).alias("is_record"),
-        (kind(leaf(raw, "$.schemaType")) == "STRING").alias("has_type"),
-        F.try_variant_get(raw, "$.schemaType", "string").alias("schema_type"),
-        _version(raw).alias("version"),
-        is_null(leaf(raw, "$.timestamp")).alias("no_timestamp"),
-        timestamp_leaf(raw, "$.timestamp").alias("ts"),
-        text_leaf(raw, "$.requestId").alias("request_id"),
-        text_leaf(raw, "$.modelId").alias("model_id"),
-        text_leaf(raw, "$.operation").alias("operation"),
-        text_leaf(raw, "$.region").alias("region"),
-        text_leaf(raw, "$.accountId").alias("account_id"),
-        text_leaf(raw, "$.identity.arn").alias("identity_arn"),
-        count_leaf(raw, "$.input.inputTokenCount").alias("input_tokens"),
-        count_leaf(raw, "$.output.outputTokenCount").alias("output_tokens"),
-        count_leaf(raw, "$.input.cacheReadInputTokenCount").alias("cache_read_tokens"),
-        count_leaf(raw, "$.input.cacheWriteInputTokenCount").alias("cache_write_tokens"),
-        count_leaf(raw, f"{metrics}.invocationLatency").alias("invocation_latency_ms"),
-        count_leaf(raw, f"{metrics}.firstByteLatency").alias("first_byte_latency_ms"),
+        F.col("r").isNotNull().alias("is_record"),
+        (kind(F.col("r.schemaType")) == "STRING").alias("has_type"),
+        as_string(F.col("r.schemaType")).alias("schema_type"),
+        _version(F.col("r.schemaVersion")).alias("version"),
+        is_null(F.col("r.timestamp")).alias("no_timestamp"),
+        timestamp(F.col("r.timestamp")).alias("ts"),
+        text(F.col("r.requestId")).alias("request_id"),
+        text(F.col("r.modelId")).alias("model_id"),
+        text(F.col("r.operation")).alias("operation"),
+        text(F.col("r.region")).alias("region"),
+        text(F.col("r.accountId")).alias("account_id"),
+        text(F.col("who.arn")).alias("identity_arn"),
+        count(F.col("i.inputTokenCount")).alias("input_tokens"),
+        count(F.col("o.outputTokenCount")).alias("output_tokens"),
+        count(F.col("i.cacheReadInputTokenCount")).alias("cache_read_tokens"),
+        count(F.col("i.cacheWriteInputTokenCount")).alias("cache_write_tokens"),
+        count(F.col("m.invocationLatency")).alias("invocation_latency_ms"),
+        count(F.col("m.firstByteLatency")).alias("first_byte_latency_ms"),
         F.when(error != "", error).alias("error_code"),
-        F.col("source").alias("source"),
+        F.col("source"),
     )
     major = F.substring_index("version", ".", 1)
     issue = F.coalesce(
@@ -88,7 +101,7 @@ def parse(records: DataFrame) -> DataFrame:
             "missing_token_counts",
         ),
     )
-    return fields.select(*COLUMNS, issue.alias("issue_kind"), F.coalesce("detail", F.lit("")).alias("detail"))
+    return parsed.select(*COLUMNS, issue.alias("issue_kind"), F.coalesce("detail", F.lit("")).alias("detail"))
 
 
 def usable(parsed: DataFrame) -> DataFrame:

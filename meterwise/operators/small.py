@@ -31,10 +31,12 @@ def sized(table: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 def once(table: DataFrame, *fields: Column) -> DataFrame:
     """Select `fields`, each evaluated exactly once a row whatever is selected or filtered later.
 
-    The fields go through a generator: the optimizer copies an expression of a projection into
-    every place that uses it, filters below included, but it does not copy a generator's.
+    The optimizer copies an expression of a projection into every place that uses it, and filters
+    on it are moved below. Passing the finished fields through a generator prevents both.
     """
-    return table.select(F.inline(F.array(F.struct(*fields))))
+    computed = table.select(*fields)
+    names = [F.col(f"`{c}`") for c in computed.columns]
+    return computed.select(F.inline(F.array(F.struct(*names))))
 
 
 def settled(table: DataFrame) -> DataFrame:

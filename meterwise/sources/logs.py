@@ -35,9 +35,14 @@ def log_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LOG_SU
     return files.filter(F.col("source").rlike(wanted) | only)
 
 
-def count_sources(spark: SparkSession, path: str) -> DataFrame:
-    """How many files a read of `path` looks at; empty and unreadable ones count too."""
-    return log_files(spark, path).agg(F.count("source").alias("sources_read"))
+def count_sources(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LOG_SUFFIXES) -> int:
+    """How many files a read of `path` looks at; empty and unreadable ones count too.
+
+    The scan itself skips empty files, so the count comes from the file index behind it.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
+    named = [f for f in listed if f.lower().endswith(tuple(s.lower() for s in suffixes))]
+    return len(named) or len([f for f in listed if f.endswith(path.rstrip("/"))])
 
 
 def _inflate(packed: bytes) -> bytes:
