@@ -103,7 +103,7 @@ def short_number(value: Column) -> Column:
     )
     scientific = F.concat(_trimmed(F.rint(value * factor) / 100000), power)
     return (
-        F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string"))
+        F.when(value == F.rint(value), value.cast("decimal(38,0)").cast("string"))
         .when((exponent >= 6) | (exponent < -4), scientific)
         .otherwise(_trimmed(rounded))
     )

@@ -93,7 +93,7 @@ def test_top_keys_of_the_hottest_shard(spark):
     records = spark.createDataFrame(rows, "stream string, shard_id string, ts timestamp, partition_key string")
     report = build(spark, HOT, records=records)
     found = report["top_keys"].orderBy("rank").collect()
-    assert [(r.partition_key, r.count, r.share) for r in found][:2] == [("hot", 880, 0.88), ("k22", 40, 0.04)]
+    assert [(r.partition_key, r["count"], r.share) for r in found][:2] == [("hot", 880, 0.88), ("k22", 40, 0.04)]
     assert report["sampled_shards"].first().shard_id == "shard-0"
     assert keys.key_shares(records.limit(0)).count() == 0
 
