@@ -86,27 +86,14 @@ def thousands(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
-def _trimmed(value: Column) -> Column:
-    text = value.cast("decimal(38,12)").cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "")
-
-
 def short_number(value: Column) -> Column:
-    """Integers in full; other numbers with six significant digits, as `%g` writes them."""
+    """Integers in full; other numbers with six significant digits and no zeros at the end."""
     value = value.cast("double")
-    exponent = F.floor(F.log10(F.abs(value)))
-    factor = F.pow(F.lit(10.0), F.lit(5) - exponent)
-    rounded = F.rint(value * factor) / factor
-    power = F.concat(
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    scientific = F.concat(_trimmed(F.rint(value * factor) / 100000), power)
-    return (
-        F.when(value == F.rint(value), value.cast("decimal(38,0)").cast("string"))
-        .when((exponent >= 6) | (exponent < -4), scientific)
-        .otherwise(_trimmed(rounded))
+    digits = F.regexp_replace(
+        F.format_string("%.6g", value), r"(?:\.0+|(\.[0-9]*[1-9])0+)(?=e|$)", "$1"
     )
+    whole = F.when(value == F.rint(value), value.cast("decimal(38,0)").cast("string"))
+    return F.coalesce(whole, digits)
 
 
 def percent(fraction: Column) -> Column:
