@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from meterwise.functions.text import short_number, thousands
 from meterwise.operators.invocations import identity_label
-from meterwise.operators.small import sized
+from meterwise.operators.small import first_rows, sized
 from meterwise.operators.spacing import spaced
 from meterwise.settings import UsageThresholds
 
@@ -72,11 +72,9 @@ def _measured(calls: DataFrame, found: DataFrame, keys: list[str], width: int, n
         F.sum(F.when(early, F.col("cost_usd"))).alias("early_cost"),
     )
     # Of the calls at the very moment of the trigger, those needed to reach it, in read order.
-    order = Window.partitionBy(*keys, "end").orderBy("source", "request_id", "cost_usd")
-    last = (
-        rows.filter(~early)
-        .select(*keys, "end", "cost_usd", F.row_number().over(order).alias("rn"))
-        .filter(F.col("rn") <= max(1, needed))
+    moment = rows.filter(~early).select(*keys, "end", "source", "request_id", "cost_usd")
+    last = first_rows(moment, [*keys, "end"], ["source", "request_id", "cost_usd"], max(1, needed)).select(
+        *keys, "end", "cost_usd", "rn"
     )
     count = F.greatest(F.col("before") + 1, F.lit(needed))
     totals = (

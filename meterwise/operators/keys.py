@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meterwise.operators.small import first_rows
 from meterwise.settings import SkewThresholds
 
 
@@ -24,11 +25,10 @@ def sample_records(
 ) -> DataFrame:
     """The first records of each hottest shard since `start`, up to the sample size.
 
-    The rank filter is applied before the shuffle too, so each task sends at most a sample.
+    Hot shards are what this looks at, so a stream's records are ranked in parts first.
     """
     rows = records.filter(F.col("ts") >= F.lit(start)).join(hottest, ["stream", "shard_id"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("stream").orderBy(*order))
-    return rows.withColumn("place", place).filter(F.col("place") <= thresholds.sample_records).drop("place")
+    return first_rows(rows, ["stream"], order, thresholds.sample_records).drop("rn")
 
 
 def key_shares(sample: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meterwise.session import ensure_checkpoint_dir
 
 MAX_ROWS = 50_000
+_SALTS = 64
 
 
 def fetched(table: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame | None:
@@ -43,3 +45,17 @@ def settled(table: DataFrame) -> DataFrame:
     """Compute a table that several results read, once, and keep it in the checkpoint folder."""
     ensure_checkpoint_dir(table.sparkSession)
     return table.checkpoint()
+
+
+def first_rows(table: DataFrame, keys: list[str], order: list[str], count: int) -> DataFrame:
+    """The first `count` rows of every key, with their rank as `rn`.
+
+    Ranked twice: first within parts of a key, chosen by a hash of the whole row, then over what is
+    left of all parts. A key holding most of the rows is so ranked by many tasks, and the second
+    ranking sees no more than `count` rows of each part.
+    """
+    salted = table.withColumn("salt", F.pmod(F.xxhash64(*table.columns), F.lit(_SALTS)))
+    part = Window.partitionBy(*keys, "salt").orderBy(*order)
+    near = salted.withColumn("rn", F.row_number().over(part)).filter(F.col("rn") <= count).drop("salt", "rn")
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return near.withColumn("rn", F.row_number().over(whole)).filter(F.col("rn") <= count)
