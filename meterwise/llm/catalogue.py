@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import leaks, lines, lm, mixing, nearcopies, quality, tokens, toxicity, urls
+from meterwise.llm import leaks, lines, lm, mixing, nearcopies, quality, repeats, tokens, toxicity, urls
 from meterwise.llm.sql import SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,6 +61,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return result.drop("kept").withColumnRenamed("id", "doc_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
@@ -90,6 +95,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_token_counts": op5_token_counts,
+    "op6_byte_repeats": op6_byte_repeats,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_near_copies": op9_near_copies,

@@ -25,11 +25,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from meterwise.llm.shared import as_bytes
 
 # Fixed: the pattern of the byte-level vocabularies and how their files write the 256 bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters on whose classes every version of Unicode agrees; others are split by the library's own splitter.
+_SETTLED = r"[^\u0000-\u052F\u2000-\u206F]"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 MEMORY = 300_000
 
@@ -57,7 +60,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocabulary))
         self.specials = [t["content"] for t in content.get("added_tokens", ())]
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self.piece = regex.compile(PATTERN)
+        self.piece, self.blanks, self.unsettled = regex.compile(PATTERN), regex.compile(r"\s*"), regex.compile(_SETTLED)
+        self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.memory = memory
         self.totals: dict[str, int] = {}
         self.follows: dict[tuple[bytes, bytes], bool] = {}
@@ -131,8 +135,13 @@ class PrefixCounter:
         if at < len(text):
             yield at, text[at:], False
 
+    def pieces(self, segment: str) -> list[str]:
+        if self.unsettled.search(segment):
+            return [segment[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(segment)]
+        return self.piece.findall(segment)
+
     def count(self, text: str) -> int:
-        return sum(1 if special else sum(map(self.total, self.piece.findall(s))) for _, s, special in self.segments(text))
+        return sum(1 if special else self.count_plain(s) for _, s, special in self.segments(text))
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of each of the text's prefixes, the empty one first, the whole text last."""
@@ -153,22 +162,20 @@ class PrefixCounter:
         return counts
 
     def count_plain(self, text: str) -> int:
-        return sum(map(self.total, self.piece.findall(text)))
+        return sum(map(self.total, self.pieces(text)))
 
     def _tail(self, segment: str) -> tuple[str, int]:
         """What a following character can still change: from the last piece with a letter on, and its tokens."""
-        found = list(self.piece.finditer(segment))
+        found = self.pieces(segment)
         k = len(found) - 1
-        while k > 0 and found[k].group().isspace():
+        while k > 0 and self.blanks.fullmatch(found[k]):
             k -= 1
-        tail = segment[found[k].start() :] if found else ""
-        return tail, sum(self.total(m.group()) for m in found[max(k, 0) :])
+        return "".join(found[max(k, 0) :]), sum(map(self.total, found[max(k, 0) :]))
 
     def _segment_prefixes(self, segment: str) -> np.ndarray:
         counts = np.zeros(len(segment) + 1, dtype=np.int64)
-        base, run_start, run_base = 0, -1, 0
-        for found in self.piece.finditer(segment):
-            piece, start = found.group(), found.start()
+        base, start, run_start, run_base = 0, 0, -1, 0
+        for piece in self.pieces(segment):
             data = piece.encode()
             table = self.table(data)
             ends = np.cumsum([len(c.encode()) for c in piece])
@@ -176,11 +183,9 @@ class PrefixCounter:
             if piece in CONTRACTIONS:
                 # cut short, it is an apostrophe and a letter
                 inside[:-1] = np.arange(1, len(piece))
-            counts[start + 1 : found.end() + 1] = base + inside
+            counts[start + 1 : start + len(piece) + 1] = base + inside
             # a prefix that ends in white space ends in one piece: the whole run up to there
-            blanks = 0
-            while blanks < len(piece) and piece[blanks].isspace():
-                blanks += 1
+            blanks = self.blanks.match(piece).end()
             if blanks:
                 if run_start < 0:
                     run_start, run_base = start, base
@@ -193,6 +198,7 @@ class PrefixCounter:
             base += int(inside[-1])
             if blanks < len(piece):
                 run_start = -1
+            start += len(piece)
         counts[len(segment)] = base
         return counts
 
