@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import leaks, lines, lm, mixing, nearcopies, quality, repeats, tokens, toxicity, urls
+from meterwise.llm import choices, leaks, lines, lm, mixing, nearcopies, quality, repeats, tokens, toxicity, urls
 from meterwise.llm.sql import SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
-MIX_BUDGET_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 3, 17
-
-# Weights of the mixing query: (domain, language, source, weight). Sources are grouped in fives.
-MIX_WEIGHTS = (
-    ("d0", None, None, 3), ("d1", None, None, 2), ("d0", "en", None, 2), ("d1", "de", None, 4), ("d0", "en", "src1", 3),
-)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,17 +22,9 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-def mix_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MIX_WEIGHTS, "domain string, language string, source string, weight bigint")
-
-
-def mix_domain(source: str = "source"):
-    return F.concat(F.lit("d"), F.expr(f"cast(regexp_extract({source}, '([0-9]+)', 1) as int) div 5"))
-
-
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixed(
-        table(spark, sf_dir, "documents"), mix_weights(spark), mix_domain(), MIX_BUDGET_PERCENT, MIX_EPOCHS, MIX_SEED
+        table(spark, sf_dir, "documents"), choices.mix_weights(spark), choices.mix_domain(), **choices.MIX
     )
     return mixed.withColumnRenamed("id", "doc_id")
 
@@ -100,4 +87,5 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_near_copies": op9_near_copies,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }

@@ -93,6 +93,11 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return cleaned.select(*(F.col("left").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns))
 
 
+def without_repeats_or_empties(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """As without_repeats, less the rows of which no line with a word is left."""
+    return without_repeats(docs, id_column, text_column).filter(F.coalesce(F.col(text_column), F.lit("")).rlike(WORD))
+
+
 def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, text): lines with a word, how many go, and what is left, for every row."""
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))

@@ -119,3 +119,26 @@ def mixed(
     last_range = near.filter("before + inside > rest").withColumn("sum", F.sum("n_tokens").over(upto)).filter("before + sum <= rest")
     columns = ["id", *TREE, "n_tokens", F.col("whole").alias("epoch")]
     return full.union(whole_ranges.select(*columns)).union(last_range.select(*columns))
+
+
+def drawn(
+    docs: DataFrame, weights: DataFrame, domain: Column, budget_percent: int = 100, max_epochs: int = 3, seed: int = 0,
+    id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", source_column: str = "source",
+) -> DataFrame:
+    """The rows of `docs`, as they are, once for every epoch in which they are taken, with the epoch as `epoch`.
+
+    An own column called `epoch` is replaced.
+    """
+    taken = mixed(
+        docs, weights, domain, budget_percent, max_epochs, seed, id_column, text_column, language_column, source_column
+    ).select("id", *TREE, "epoch").distinct()
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_column).alias("own_id"),
+        named(domain).alias("own_domain"), named(F.col(language_column)).alias("own_language"), named(F.col(source_column)).alias("own_source"),
+    )
+    same = F.col("own_id").eqNullSafe(F.col("id"))
+    for name in TREE:
+        same = same & (F.col(f"own_{name}") == F.col(name))
+    columns = [c for c in docs.columns if c != "epoch"]
+    return rows.join(taken, same).select(*(F.col("row")[c].alias(c) for c in columns), "epoch")

@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meterwise.llm.shared import as_bytes, components, lowered_words, mixed, settled, united, word_ids
 
@@ -157,6 +158,23 @@ def near_copies(
     )
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs`, as they are, with one document of every group of near copies.
+
+    The document with the smallest id stays; of rows sharing that id, the one with the smallest text.
+    Rows with a null id stay.
+    """
+    kept = near_copies(docs, shingle, percent, id_column, text_column).filter("kept AND id IS NOT NULL").select(F.col("id").alias("kept_id")).distinct()
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_column).alias("own_id"), F.col(text_column).alias("own_text")
+    )
+    named = rows.join(kept, F.col("own_id") == F.col("kept_id"), "left_semi")
+    first = Window.partitionBy("own_id").orderBy("own_text")
+    named = named.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row")
+    both = named.union(rows.filter("own_id IS NULL").select("row"))
+    return both.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def _joining_pairs(ids: np.ndarray, packed: list[bytes], percent: int) -> pd.DataFrame:
     """Pairs that join the documents of one task as their links do, at most one less than there are documents."""
     order = np.argsort(ids, kind="stable")

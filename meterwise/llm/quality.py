@@ -93,6 +93,13 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "d
     )
 
 
+def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
+    """The rows that are kept, as they are. They travel as one struct, so no column name can clash."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_column).alias("text"))
+    kept = judged(rows, rules, "row", "text").filter("kept")
+    return kept.select(*(F.col("id")[c].alias(c) for c in docs.columns))
+
+
 def _failure(rule: Rule) -> Column:
     """The rule's name when it fails, else null."""
     ratio, fails = F.expr(rule.ratio), F.lit(False)
