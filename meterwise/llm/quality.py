@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.llm.shared import BREAK, WORD
+from meterwise.operators.small import once
 
 WINDOW = 5
 BASE_MIN_WORDS = 10
@@ -96,8 +97,9 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "d
 def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
     """The rows that are kept, as they are. They travel as one struct, so no column name can clash."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_column).alias("text"))
-    kept = judged(rows, rules, "row", "text").filter("kept")
-    return kept.select(*(F.col("id")[c].alias(c) for c in docs.columns))
+    # the verdict is finished before it is filtered on: a filter moved below would repeat all its parts
+    verdicts = once(judged(rows, rules, "row", "text"), F.col("id"), F.col("kept"))
+    return verdicts.filter("kept").select(*(F.col("id")[c].alias(c) for c in docs.columns))
 
 
 def _failure(rule: Rule) -> Column:
