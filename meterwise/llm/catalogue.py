@@ -32,7 +32,7 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = quality.judged(table(spark, sf_dir, "documents"))
     return result.selectExpr(
-        "id AS doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"
+        "id AS doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "concat_ws(',', failed_rules) AS failed_rules"
     )
 
 

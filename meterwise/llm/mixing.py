@@ -42,7 +42,7 @@ def shared_out(nodes: DataFrame, above: list[str], name: str) -> DataFrame:
     are full; the others divide what is left by weight.
     """
     siblings = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
-    before = siblings.orderBy((F.col("most") / F.col("weight")).asc_nulls_last(), name).rowsBetween(Window.unboundedPreceding, -1)
+    before = siblings.orderBy(F.try_divide(F.col("most"), F.col("weight")).asc_nulls_last(), name).rowsBetween(Window.unboundedPreceding, -1)
     done, gone = F.coalesce(F.sum("most").over(before), F.lit(0)), F.coalesce(F.sum("weight").over(before), F.lit(0))
     full = F.col("most") * (F.sum("weight").over(siblings) - gone) <= F.col("weight") * (F.col("budget") - done)
     full = F.when(full & (F.col("weight") > 0), 1).otherwise(0)
