@@ -39,8 +39,9 @@ from meterwise.llm.shared import as_bytes, lowered_words, settled
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 HEAD, VOCABULARY = 100_000, 510
-SIZE, NOISE, BATCH, ROUNDS, RATE = 16, 48, 4096, 2, 0.1
+SIZE, NOISE, BATCH, ROUNDS, RATE = 16, 48, 1024, 2, 0.04
 END = " "  # no word has a space
+MIN_STEPS = 40
 _FLUSH, _CHUNK = 200_000, 400_000
 _LOG10 = float(np.log(10))
 
@@ -133,7 +134,7 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int):
         self.model, self.draw = model, np.random.default_rng(seed)
-        self.squares = [np.full_like(w, 0.1) for w in model.weights()]
+        self.squares = [np.full_like(w, 1e-6) for w in model.weights()]
         self.seen = 0
 
     def learn(self, far: np.ndarray, near: np.ndarray, token: np.ndarray) -> None:
@@ -141,12 +142,14 @@ class Trainer:
         self.seen += len(token)
         wide = len(self.model.vectors)
         triple, times = np.unique((far * wide + near) * wide + token, return_counts=True)
-        order = self.draw.permutation(len(triple))
-        triple, times = triple[order], times[order].astype(np.float32)
-        far, near, token = triple // (wide * wide), triple // wide % wide, triple % wide
-        for at in range(0, len(token), BATCH):
-            part = slice(at, at + BATCH)
-            self._step(far[part], near[part], token[part], times[part] / times[part].sum())
+        times = times.astype(np.float32)
+        steps = -(-len(triple) // BATCH)
+        for _ in range(-(-MIN_STEPS // steps)):
+            order = self.draw.permutation(len(triple))
+            for at in range(0, len(order), BATCH):
+                part = order[at : at + BATCH]
+                own, share = triple[part], times[part] / times[part].sum()
+                self._step(own // (wide * wide), own // wide % wide, own % wide, share)
 
     def _step(self, far: np.ndarray, near: np.ndarray, token: np.ndarray, share: np.ndarray) -> None:
         m = self.model
