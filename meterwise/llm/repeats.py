@@ -4,21 +4,22 @@ Every byte covered by a SPAN-byte string that also starts in a document with a s
 strings are judged on the input. Each window of SPAN bytes has an anchor: its GRAM bytes of least hash
 (leftmost among equals). Equal windows have equal anchors, so only anchors need to meet.
 
-1. Every document sends its anchors, about one in sixteen places, as hashes: of the anchor, and of its
+1. Every document sends its anchors, about one in eighteen places, as hashes: of the anchor, and of its
    surroundings, which hold all windows with that anchor. Sorted by anchor, surroundings and id, a
    stream of constant memory gives two kinds of finding: surroundings that a smaller id has are removed
-   whole; the smallest id of surroundings whose anchor occurs in others too is open.
+   whole; the smallest id of surroundings is open if others of its anchor agree with it in the SIDE
+   bytes before or after, as they must to share a window.
 2. Open surroundings (at the edges of copied passages) come together by anchor as bytes. Their shard is
    sorted by external induced sorting, and windows that agree with one of a smaller id are removed.
-3. Findings meet their documents once more; each is checked against the text there and applied.
+3. Findings meet their documents once more, whose anchors, worked out again, tell where they apply.
 
-Scale: the texts move twice, to meet open places and to meet findings; the rest is hashes and places.
-Copies, however many, are settled in the stream; only different surroundings of one anchor share a
-shard, which is read in order of anchor in bounded pieces. A piece grows only with the surroundings of
-one anchor, whose queues then spill to disk.
+Scale: the texts move once, both to cut out open surroundings and to apply the findings; the rest is
+hashes. Copies, however many, are settled in the stream; only different surroundings of one anchor
+share a shard, which is read in order of anchor in bounded pieces. A piece grows only with the
+surroundings of one anchor, whose queues then spill to disk.
 
-Hashes are 64 bits each for anchor and surroundings; a wrong removal needs two different surroundings
-with both equal.
+Hashes are 64 bits each for anchor and surroundings (12 bits of either side and 40 of the whole); a
+wrong removal needs two different surroundings with both equal.
 
 Rows: a null text is empty. A row with a null id keeps everything and makes nobody lose anything. Rows
 sharing an id are the same document: none makes the other lose anything.
@@ -36,24 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.llm.induced import repeated_windows, suffix_order
-from meterwise.llm.shared import as_bytes, mixed, settled
+from meterwise.llm.shared import as_bytes, mixed, written
 
-SPAN, GRAM = 50, 20
+SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
+SIDE = (SPAN - GRAM) // 2
 SHARD_BYTES = 1 << 21
 _SLICE = 1 << 22
 _ALL = (1 << WINDOW) - 1
+_SIDE_BITS, _SIDE_MASK = 12, (1 << 12) - 1
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each place on."""
-    one = data.astype(np.uint64) + np.uint64(1)
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    two = mixed(one[:-1] * factor + one[1:])
-    four = mixed(two[:-2] * factor + two[2:])
-    eight = mixed(four[:-4] * factor + four[4:])
-    sixteen = mixed(eight[:-8] * factor + eight[8:])
-    return mixed(sixteen[:-4] * factor + four[16:])
+    value, width = data.astype(np.uint64) + np.uint64(1), 1
+    while width < GRAM:
+        value = mixed(value[:-width] * np.uint64(0x9E3779B97F4A7C15) + value[width:])
+        width *= 2
+    return value
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +87,11 @@ def around(text: bytes, place: int) -> bytes:
 
 
 def surroundings(text: bytes, place: int) -> int:
-    """A hash of them, and of where the anchor lies."""
-    return xxhash.xxh3_64_intdigest(around(text, place), seed=min(place, SPAN - GRAM))
+    """A 64-bit hash of them and of where the anchor lies: 12 bits each of the SIDE bytes before and after the gram, 40 of all."""
+    whole = xxhash.xxh3_64_intdigest(around(text, place), seed=min(place, SPAN - GRAM))
+    before = xxhash.xxh32_intdigest(text[max(0, place - SIDE) : place]) & _SIDE_MASK
+    after = xxhash.xxh32_intdigest(text[place + GRAM : place + GRAM + SIDE]) & _SIDE_MASK
+    return before << 52 | after << 40 | whole & ((1 << 40) - 1)
 
 
 def _signed(values) -> pa.Array:
@@ -96,28 +100,35 @@ def _signed(values) -> pa.Array:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, places, grams, contexts = [], [], [], []
+        rows, grams, contexts = [], [], []
         for row, text in enumerate(as_bytes(batch.column(1))):
             place, gram = anchors(text)
             if len(place):
                 rows.append(np.full(len(place), row))
-                places.append(place)
                 grams.append(gram)
                 contexts += [surroundings(text, p) for p in place.tolist()]
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [_signed(np.concatenate(grams)), _signed(contexts), batch.column(0).take(pa.array(np.concatenate(rows))),
-                 pa.array(np.concatenate(places))],
-                names=["gram", "context", "id", "place"],
+                [_signed(np.concatenate(grams)), _signed(contexts), batch.column(0).take(pa.array(np.concatenate(rows)))],
+                names=["gram", "context", "id"],
             )
 
 
+def _resembling(group: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Of different contexts of anchors, those that agree with another of their anchor in a hash of either side."""
+    result = np.zeros(len(group), dtype=bool)
+    for shift in (52, 40):
+        side = (context.astype(np.uint64) >> np.uint64(shift)).astype(np.int64) & _SIDE_MASK
+        _, back, count = np.unique(group << _SIDE_BITS | side, return_inverse=True, return_counts=True)
+        result |= count[back] > 1
+    return result
+
+
 def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by gram, context and id: those with a smaller id of their context, and open ones."""
     held, last_gram, last_context, first_id = None, None, None, None
-    names = ["gram", "context", "id", "place", "open"]
 
-    def judged(table: pa.Table, whole: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+    def judged(table: pa.Table, whole: bool) -> tuple[pa.RecordBatch | None, pa.Table | None]:
         """`whole`: the last anchor's rows are all here; else they are kept back, unless they are too many."""
         nonlocal last_gram, last_context, first_id
         gram, context = (table[c].to_numpy() for c in ("gram", "context"))
@@ -128,38 +139,36 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return None, table
         part = table.slice(0, stop)
         gram, context = gram[:stop], context[:stop]
-        ids = part["id"].combine_chunks()
+        own = np.asarray(part["id"].to_pylist(), dtype=object)
         new_gram = np.concatenate(([gram[0] != last_gram], gram[1:] != gram[:-1]))
         new_context = new_gram | np.concatenate(([context[0] != last_context], context[1:] != context[:-1]))
         leader = np.maximum.accumulate(np.where(new_context, np.arange(stop), -1))
-        own = np.asarray(ids.to_pylist(), dtype=object)
         lead = np.where(leader >= 0, own[np.maximum(leader, 0)], first_id)
         copied = own != lead
-        # anchors with more than one context, or whose rows go on in another part
+        # the smallest id of each context, where another context of the anchor may share a window
         group = np.cumsum(new_gram)
-        kinds = np.bincount(group, weights=new_context)
-        kinds[group[0]] += not new_gram[0]
-        kinds[group[-1]] += not whole and stop == len(table)
-        open_ = ~copied & (kinds[group] > 1)
+        heads = np.flatnonzero(new_context)
+        open_ = np.zeros(stop, dtype=bool)
+        open_[heads] = _resembling(group[heads], context[heads])
+        if not new_gram[0]:
+            open_[heads[group[heads] == group[0]]] = True
+        if not whole and stop == len(table):
+            open_[heads[group[heads] == group[-1]]] = True
         keep = np.flatnonzero(copied | open_)
         last_gram, last_context, first_id = gram[-1], context[-1], lead[-1]
-        kept = part.take(pa.array(keep)).combine_chunks().append_column("open", pa.array(open_[keep]))
-        rest = table.slice(stop) if stop < len(table) else None
-        batches = kept.to_batches()
-        return (batches[0] if batches else None), rest
+        kept = part.take(pa.array(keep)).append_column("open", pa.array(open_[keep])).combine_chunks().to_batches()
+        return (kept[0] if kept else None), (table.slice(stop) if stop < len(table) else None)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        out, held = judged(table, False)
-        if out is not None and out.num_rows:
-            yield out.rename_columns(names)
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            out, held = judged(table if held is None else pa.concat_tables([held, table]), False)
+            if out is not None:
+                yield out
     if held is not None:
         out, _ = judged(held, True)
-        if out is not None and out.num_rows:
-            yield out.rename_columns(names)
+        if out is not None:
+            yield out
 
 
 def _shard_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,17 +181,17 @@ def _shard_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _masked(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[4])
+            size += len(row[3])
     if held:
         yield from _masked(held)
 
 
 def _masked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, context, id, place, bytes) of whole anchors."""
-    sizes = np.array([len(r[4]) for r in rows])
+    """Rows (gram, context, id, bytes, lead) of whole anchors; lead is the bytes before the anchor."""
+    sizes = np.array([len(r[3]) for r in rows])
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     # 0 ends the shard, 1 ends a row, the bytes follow
-    text = np.frombuffer(b"\0".join(r[4] for r in rows), dtype=np.uint8).astype(np.int64) + 2
+    text = np.frombuffer(b"\0".join(r[3] for r in rows), dtype=np.uint8).astype(np.int64) + 2
     text = np.concatenate([text, [1, 0]])
     text[begin[1:] - 1] = 1
     order = suffix_order(text)
@@ -203,23 +212,23 @@ def _masked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.concatenate((starts, [len(group)]))))
     later = rank > least
     masks = np.zeros(len(rows), dtype=np.int64)
-    lead = np.array([min(r[3], SPAN - GRAM) for r in rows])
+    lead = np.array([r[4] for r in rows])
     np.bitwise_or.at(masks, owner[later], np.int64(1) << (offset[later] - lead[owner[later]] + SPAN - GRAM))
     keep = np.flatnonzero(masks)
     if len(keep):
         id_values = pa.array(ids)
         yield pa.RecordBatch.from_arrays(
-            [id_values.take(pa.array(keep)), pa.array([rows[k][3] for k in keep], pa.int64()),
-             pa.array([rows[k][1] for k in keep], pa.int64()), pa.array(masks[keep])],
-            names=["id", "place", "context", "mask"],
+            [id_values.take(pa.array(keep)), pa.array([rows[k][1] for k in keep], pa.int64()), pa.array(masks[keep])],
+            names=["id", "context", "mask"],
         )
 
 
-def removed_spans(text: bytes, findings: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of bytes to remove. Bit k of a mask is the window that starts SPAN - GRAM - k bytes before its place."""
+def removed_spans(text: bytes, masks: dict[int, int]) -> list[tuple[int, int]]:
+    """Maximal runs of bytes to remove, from the masks of contexts. Bit k is the window that starts SPAN - GRAM - k bytes before its anchor."""
     edge = np.zeros(len(text) + 1, dtype=np.int32)
-    for place, context, mask in findings:
-        if place + GRAM > len(text) or surroundings(text, place) != context % (1 << 64):
+    for place in anchors(text)[0].tolist():
+        mask = masks.get(surroundings(text, place))
+        if not mask:
             continue
         first, last = max(0, place - SPAN + GRAM), min(place, len(text) - SPAN)
         if mask == _ALL:
@@ -237,49 +246,55 @@ def removed_spans(text: bytes, findings: list[tuple[int, int, int]]) -> list[tup
     return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
 
 
-def findings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, place, context, mask): for each anchor, the windows around it that a smaller id has."""
-    narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).filter("id IS NOT NULL")
+def _unsigned(value: int) -> int:
+    return value % (1 << 64)
+
+
+def findings(narrow: DataFrame) -> DataFrame:
+    """Of a table (id, text): (id, context, mask), for the anchors with that context the windows that a smaller id has."""
     id_type = narrow.schema["id"].dataType.simpleString()
-    rows = narrow.mapInArrow(_anchor_rows, f"gram bigint, context bigint, id {id_type}, place bigint")
+    rows = narrow.filter("id IS NOT NULL").mapInArrow(_anchor_rows, f"gram bigint, context bigint, id {id_type}")
     sorted_rows = rows.repartition("gram").sortWithinPartitions("gram", "context", "id")
-    found = settled(sorted_rows.mapInArrow(_findings, f"gram bigint, context bigint, id {id_type}, place bigint, open boolean"))
-    whole = found.filter("NOT open").select("id", "place", "context", F.lit(_ALL).cast("bigint").alias("mask"))
-    places = found.filter("open").groupBy("id").agg(F.collect_list(F.struct("gram", "context", "place")).alias("places"))
+    found = written(sorted_rows.mapInArrow(_findings, f"gram bigint, context bigint, id {id_type}, open boolean"))
+    whole = found.filter("NOT open").select("id", "context", F.lit(_ALL).cast("bigint").alias("mask"))
+    wanted = found.filter("open").groupBy("id").agg(F.collect_set(F.struct("context", "gram")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
-            for id_, text, spots in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                for spot in spots:
-                    if spot["place"] + GRAM <= len(text) and surroundings(text, spot["place"]) == spot["context"] % (1 << 64):
-                        for column, value in zip(out, (spot["gram"], spot["context"], id_, spot["place"], around(text, spot["place"]))):
+            for id_, text, pairs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                grams = {_unsigned(p["context"]): p for p in pairs or ()}
+                for place in anchors(text)[0].tolist() if grams else ():
+                    pair = grams.pop(surroundings(text, place), None)
+                    if pair:
+                        for column, value in zip(out, (pair["gram"], pair["context"], id_, around(text, place), min(place, SPAN - GRAM))):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], batch.schema.field(0).type),
-                 pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())],
-                names=["gram", "context", "id", "place", "bytes"],
-            )
+            kinds = (pa.int64(), pa.int64(), batch.schema.field(0).type, pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gram", "context", "id", "bytes", "lead"])
 
-    cuts = narrow.join(places, "id").select("id", "text", "places").mapInArrow(
-        cut, f"gram bigint, context bigint, id {id_type}, place bigint, bytes binary"
+    # a left join, as the one that applies the findings: the two share one exchange of the texts
+    cuts = narrow.join(wanted, "id", "left").select("id", "text", "wanted").mapInArrow(
+        cut, f"gram bigint, context bigint, id {id_type}, bytes binary, lead bigint"
     )
     shards = cuts.repartition("gram").sortWithinPartitions("gram", "id")
-    edges = shards.mapInArrow(_shard_masks, f"id {id_type}, place bigint, context bigint, mask bigint")
-    return whole.union(edges)
+    return whole.union(shards.mapInArrow(_shard_masks, f"id {id_type}, context bigint, mask bigint"))
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row; kept is the remaining bytes."""
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
-    lost = findings(docs, id_column, text_column).groupBy("id").agg(F.collect_list(F.struct("place", "context", "mask")).alias("found"))
+    lost = findings(narrow).groupBy("id").agg(F.collect_list(F.struct("context", "mask")).alias("found"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
             for text, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                spans = removed_spans(text, [(f["place"], f["context"], f["mask"]) for f in found]) if found else []
+                masks: dict[int, int] = {}
+                for f in found or ():
+                    key = _unsigned(f["context"])
+                    masks[key] = masks.get(key, 0) | f["mask"]
+                spans = removed_spans(text, masks) if masks else []
                 stops = [0, *(x for span in spans for x in span), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(stops[::2], stops[1::2]))
                 for column, value in zip(out, (len(text), len(text) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest())):
@@ -290,6 +305,6 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    return narrow.join(lost, "id", "left").mapInArrow(
+    return narrow.join(lost, "id", "left").select("id", "text", "found").mapInArrow(
         apply, f"id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
     )
