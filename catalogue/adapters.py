@@ -6,14 +6,12 @@ Each function takes the dialect, `spark` or `duck`; the few words that differ ar
 from __future__ import annotations
 
 import datetime as dt
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterwise.session import configure
+from meterwise.session import configure, shared_folder
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -38,11 +36,8 @@ def duck(sql: Callable[[str], str]) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/meterwise-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="meterwise-"), "data")
+    """A new folder in the place that driver and executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
 
 
 # --- words that differ between the dialects -------------------------------------------------------

@@ -191,24 +191,49 @@ SQL["rule_document"] = (
     "UNION ALL SELECT 'Rules = [' UNION ALL SELECT ']'"
 )
 
-_EVIDENCE = {
-    "IsComplete": "'no nulls in ' || format('{:,}', row_count) || ' rows'",
-    "ColumnDataType": "'read as ' || source_type",
-}
+
+def evidence_sql(name: str, level: str) -> str:
+    """The evidence of every rule of a whole table, under the rule's number."""
+    t, present = TOLERANCES[level], "(row_count - null_count)"
+    many = lambda x: f"format('{{:,}}', {x})"
+    share = lambda x: f"format('{{:.3f}}', CAST({x} AS DOUBLE))"
+    short = lambda x: f"format('{{:.6g}}', CAST({x} AS DOUBLE))"
+    percent, shown = f"{t.numeric_padding * 100:g}%", SHAPE.shown_values
+    listed = (
+        f"array_to_string([v.value || ' x ' || {many('v.n')} FOR v IN top_list[1:{shown}]], ', ') "
+        f"|| CASE WHEN len(top_list) > {shown} THEN ', +' || (len(top_list) - {shown}) || ' others' ELSE '' END"
+    )
+    evidence = [
+        f"CASE WHEN null_count = 0 THEN 'every one of ' || {many('row_count')} || ' rows has a value' ELSE 'filled in ' || {many(present)} || ' rows of ' || {many('row_count')} "
+        f"|| ', a share of ' || {share(present + ' / row_count')} || '; {level} tolerance lowers the bar by {t.completeness_margin}' END",
+        f"CASE WHEN distinct_count = {present} AND null_count = 0 THEN 'key candidate: each of ' || {many('row_count')} || ' rows has its own value' "
+        f"WHEN distinct_count = {present} THEN 'no value occurs twice among ' || {many(present)} || '; empty in ' || {many('null_count')} || ' rows, which rules out a key' "
+        f"ELSE 'few repeats: ' || {many('distinct_count')} || ' different values in ' || {many(present)} || ' filled rows, a share of ' || {share('distinct_count / ' + present)} "
+        f"|| '; {level} tolerance lowers the bar by {t.uniqueness_margin}' END",
+        f"'closed list of ' || distinct_count || ', counted over ' || {many(present)} || ' filled rows: ' || {listed}",
+        "'the list had ' || distinct_count || ' members; more of them, or none at all, is a change'",
+        f"CASE WHEN maximum > minimum THEN 'seen from ' || {short('minimum')} || ' up to ' || {short('maximum')} ELSE 'only ' || {short('minimum')} || ' was seen' END "
+        f"|| '; {level} tolerance adds {percent} on both ends'",
+        f"'sizes seen: ' || min_length || ' - ' || max_length || ' bytes; {level} tolerance adds {t.length_padding} on both ends'",
+        "'stored type: ' || source_type",
+    ]
+    columns = " UNION ALL ".join(f"SELECT CAST((column_no + 1) * 16 + {i} AS INT) AS rule_no, {e} AS evidence FROM prof" for i, e in enumerate(evidence))
+    return (
+        f"facts AS (SELECT 0 AS rule_no, 'table size when profiled: ' || {many('count(*)')} || '; {level} tolerance of plus or minus {t.row_count_tolerance * 100:g}%' AS evidence FROM src "
+        f"UNION ALL SELECT 1, 'width when profiled: {len(COLUMNS[name])}' UNION ALL {columns})"
+    )
 
 
-def _evidence(spark, sf_dir):
-    rules = derived(spark, sf_dir, "gaps", "balanced")
-    return rules.filter(F.col("rule_type").isin(*_EVIDENCE)).select("rule_no", "rule_type", "column", "op", "low", "evidence")
+def _evidence_query(name: str, level: str):
+    return lambda spark, sf_dir: derived(spark, sf_dir, name, level).select("rule_no", "rule_text", "evidence")
 
 
-QUERIES["rule_evidence"] = _evidence
-SQL["rule_evidence"] = (
-    f"WITH {rules_sql('gaps', 'balanced')} SELECT r.rule_no, split_part(rule_text, ' ', 1) AS rule_type, name AS column, "
-    "CASE WHEN rule_text LIKE 'Is%' THEN '' ELSE '=' END AS op, CASE WHEN rule_text LIKE 'Is%' THEN NULL ELSE split_part(rule_text, '\"', 4) END AS low, "
-    f"CASE WHEN rule_text LIKE 'Is%' THEN {_EVIDENCE['IsComplete']} ELSE {_EVIDENCE['ColumnDataType']} END AS evidence "
-    "FROM rules AS r JOIN prof AS p ON r.rule_no // 16 - 1 = column_no WHERE rule_text LIKE 'IsComplete%' OR rule_text LIKE 'ColumnDataType%'"
-)
+# Between them these tables bring up all kinds of evidence.
+for _suffix, _name, _level in (("", "gaps", "balanced"), ("_documents", "documents", "strict"), ("_part", "part", "lenient")):
+    QUERIES[f"rule_evidence{_suffix}"] = _evidence_query(_name, _level)
+    SQL[f"rule_evidence{_suffix}"] = (
+        f"WITH {rules_sql(_name, _level)}, {evidence_sql(_name, _level)} SELECT rule_no, rule_text, evidence FROM rules JOIN facts USING (rule_no)"
+    )
 
 
 # --- applying rules -------------------------------------------------------------------------------
@@ -323,10 +348,10 @@ def _sampled(spark, sf_dir):
 QUERIES["sampled_rules"] = _sampled
 SQL["sampled_rules"] = """
   WITH t AS (SELECT count(*) AS n FROM orders), s AS (SELECT o_orderkey AS k FROM orders ORDER BY o_orderkey LIMIT 100),
-  m AS (SELECT min(k) AS lo, max(k) AS hi, max(n) AS n, '; from a sample of 100 of ' || format('{:,}', max(n)) || ' rows' AS tail FROM s, t)
-  SELECT 'RowCount between ' || CAST(floor(n * 0.8::DOUBLE) AS BIGINT) || ' and ' || CAST(ceil(n * 1.2::DOUBLE) AS BIGINT) AS rule_text, format('{:,}', n) || ' rows in the file, allowing 20% either way at balanced strictness' AS evidence FROM m
-  UNION ALL SELECT 'ColumnCount = 6', '6 columns in the profiled file'
-  UNION ALL SELECT 'IsComplete "o_orderkey"', 'no nulls in 100 rows' || tail FROM m
-  UNION ALL SELECT 'IsPrimaryKey "o_orderkey"', 'all 100 values distinct and non-null, so this looks like a key' || tail FROM m
-  UNION ALL SELECT 'ColumnValues "o_orderkey" between ' || CAST(floor(lo - (hi - lo) * 0.05::DOUBLE) AS BIGINT) || ' and ' || CAST(ceil(hi + (hi - lo) * 0.05::DOUBLE) AS BIGINT), 'observed ' || lo || ' to ' || hi || ', widened by 5% at balanced strictness' || tail FROM m
-  UNION ALL SELECT 'ColumnDataType "o_orderkey" = "Long"', 'read as int64' || tail FROM m"""
+  m AS (SELECT min(k) AS lo, max(k) AS hi, max(n) AS n, ' [sample: 100 rows out of ' || format('{:,}', max(n)) || ']' AS tail FROM s, t)
+  SELECT 'RowCount between ' || CAST(floor(n * 0.8::DOUBLE) AS BIGINT) || ' and ' || CAST(ceil(n * 1.2::DOUBLE) AS BIGINT) AS rule_text, 'table size when profiled: ' || format('{:,}', n) || '; balanced tolerance of plus or minus 20%' AS evidence FROM m
+  UNION ALL SELECT 'ColumnCount = 6', 'width when profiled: 6'
+  UNION ALL SELECT 'IsComplete "o_orderkey"', 'every one of 100 rows has a value' || tail FROM m
+  UNION ALL SELECT 'IsPrimaryKey "o_orderkey"', 'key candidate: each of 100 rows has its own value' || tail FROM m
+  UNION ALL SELECT 'ColumnValues "o_orderkey" between ' || CAST(floor(lo - (hi - lo) * 0.05::DOUBLE) AS BIGINT) || ' and ' || CAST(ceil(hi + (hi - lo) * 0.05::DOUBLE) AS BIGINT), 'seen from ' || lo || ' up to ' || hi || '; balanced tolerance adds 5% on both ends' || tail FROM m
+  UNION ALL SELECT 'ColumnDataType "o_orderkey" = "Long"', 'stored type: int64' || tail FROM m"""

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from meterwise.functions.text import short_number, thousands
 from meterwise.operators.invocations import identity_label
-from meterwise.operators.small import first_rows, sized
+from meterwise.operators.small import first_rows
 from meterwise.operators.spacing import spaced
 from meterwise.settings import UsageThresholds
 
@@ -23,11 +23,12 @@ _BLOCK_WINDOWS = 16
 
 
 def _calls(costed: DataFrame) -> DataFrame:
+    """What the detectors read of each call, kept by the first of them that runs."""
     return costed.select(
         identity_label().alias("identity_arn"), "model_id", "input_tokens", "request_id", "source",
         F.unix_micros("ts").alias("at"),
         F.coalesce("cost_usd", F.lit(0).cast("decimal(20,6)")).alias("cost_usd"),
-    )
+    ).persist()
 
 
 def _dense_moments(calls: DataFrame, keys: list[str], width: int, needed: int) -> DataFrame:
@@ -59,11 +60,11 @@ def _measured(calls: DataFrame, found: DataFrame, keys: list[str], width: int, n
     """Start, count and cost of each finding: the calls up to its first triggering call.
 
     Findings of one key are more than a window apart, so every call belongs to at most one. The
-    join is on the key and a one-window slot; findings are broadcast only if they are few.
+    join is on the key and a one-window slot, so a caller is spread over its slots.
     """
     slots = F.array(F.floor(F.col("at") / width) - 1, F.floor(F.col("at") / width))
     targets = found.select(*keys, F.col("at").alias("end"), F.explode(slots).alias("slot"))
-    rows = calls.withColumn("slot", F.floor(F.col("at") / width)).join(sized(targets), [*keys, "slot"])
+    rows = calls.withColumn("slot", F.floor(F.col("at") / width)).join(targets, [*keys, "slot"])
     rows = rows.filter((F.col("at") <= F.col("end")) & (F.col("at") >= F.col("end") - width))
     early = F.col("at") < F.col("end")
     spans = rows.groupBy(*keys, "end").agg(

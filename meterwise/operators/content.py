@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from meterwise.functions.json import kind, leaf
 from meterwise.functions.text import strip
-from meterwise.operators.small import sized
 from meterwise.settings import SCHEMA_TYPE
 
 
@@ -22,15 +21,17 @@ def fetch(records: DataFrame, request_ids: DataFrame) -> DataFrame:
     typed = (kind(leaf(raw, "$.schemaType")) == "STRING") & (
         F.try_variant_get(raw, "$.schemaType", "string") == SCHEMA_TYPE
     )
-    # Only the place of each match is grouped; the bodies are read from the one chosen record.
+    # The ids are looked up first; bodies are rendered for the records found, not for the whole log.
     rows = records.filter(typed).select(
         F.try_variant_get(raw, "$.requestId", "string").alias("request_id"),
-        "path", "position", "source",
+        "path", "position", "source", "raw",
+    )
+    found = rows.join(wanted, "request_id", "left_semi").select(
+        "request_id", "path", "position", "source",
         F.coalesce(F.try_variant_get(raw, "$.modelId", "string"), F.lit("")).alias("model_id"),
         F.to_json(leaf(raw, "$.input.inputBodyJson")).alias("input_body"),
         F.to_json(leaf(raw, "$.output.outputBodyJson")).alias("output_body"),
     )
-    found = rows.join(sized(wanted), "request_id", "left_semi")
     body = F.struct("source", "model_id", "input_body", "output_body")
     return (
         found.groupBy("request_id")

@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.functions.text import model_key, model_scope, service_key, strip
-from meterwise.operators.small import fetched, sized
 from meterwise.settings import TOKEN_KINDS
 
 RATES = "decimal(12,6)"
 MONEY = "decimal(20,6)"
-_REGION_MARK = "region"
 
 
 def rate_table(prices: DataFrame) -> DataFrame:
@@ -34,33 +32,24 @@ def rate_table(prices: DataFrame) -> DataFrame:
         F.concat(F.lit("words:"), service_key(F.col("service_name"))),
     )
     rates = [f"rate_{k}" for k in kinds]
-    found = (
+    return (
         wide.select("region", "service_name", *rates, F.explode(keys).alias("price_key"))
         .groupBy("region", "price_key")
         .agg(F.min_by(F.struct("service_name", *rates), "service_name").alias("r"))
         .select("region", "price_key", "r.*")
     )
-    # A row that says no more than that the region has prices.
-    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("service_name", *rates)]
-    marks = prices.select("region").distinct().select("region", F.lit(_REGION_MARK).alias("price_key"), *none)
-    return found.unionByName(marks)
 
 
 def with_cost(inv: DataFrame, prices: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Add `service_name`, `cost_usd` and `no_price_reason`.
 
-    `overrides` (model_id, service_name) names a price for models the words cannot reach. Prices
-    and overrides are broadcast only after a check of their size; the log is never shuffled then.
+    `overrides` (model_id, service_name) names a price for models the words cannot reach. The joins
+    carry no hints: the planner sizes prices and overrides in bytes and splits hot models.
     """
-    table = rate_table(prices)
-    local = fetched(table)
-    lookup, mark = (table if local is None else local), F.col("price_key") == _REGION_MARK
-    rates = lookup.filter(~mark)
-    regions = lookup.filter(mark).select("region", F.lit(True).alias("region_priced"))
-    if local is not None:
-        rates, regions = F.broadcast(rates), F.broadcast(regions)
-    words = model_key(F.col("model_id"))
-    key = F.when(words != "", F.concat(F.lit("words:"), words))
+    # An id without words has the key "words:", which no service has, so the words are worked out once.
+    rates = rate_table(prices).filter(F.col("price_key") != "words:")
+    regions = prices.select("region").distinct().select("region", F.lit(True).alias("region_priced"))
+    key = F.concat(F.lit("words:"), model_key(F.col("model_id")))
     keyed = inv
     if overrides is not None:
         # An id is looked up as it is written, then trimmed and in lower case.
@@ -69,8 +58,8 @@ def with_cost(inv: DataFrame, prices: DataFrame, overrides: DataFrame | None = N
         lower = named.select(
             F.col("model_id").alias("lower_id"), F.col("service").alias("lower_service")
         )
-        keyed = keyed.join(sized(exact), "model_id", "left").join(
-            sized(lower), F.lower(strip(F.col("model_id"))) == F.col("lower_id"), "left"
+        keyed = keyed.join(exact, "model_id", "left").join(
+            lower, F.lower(strip(F.col("model_id"))) == F.col("lower_id"), "left"
         )
         service = F.coalesce("exact_service", "lower_service")
         key = F.coalesce(F.concat(F.lit("name:"), service), key)

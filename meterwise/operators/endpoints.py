@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from meterwise.functions.text import fixed, percent, short_number, thousands
 from meterwise.operators.shards import in_window
-from meterwise.operators.small import sized
 from meterwise.settings import (
     ACCELERATED_FAMILIES, BILLING_STATUSES, ENDPOINT_STATUSES, ENDPOINT_VERDICTS, INVOCATIONS_METRIC,
     SERVERLESS_MAX_MEMORY_GB, SIZE_MEMORY_GB, WASTE_VERDICTS, IdleThresholds,
@@ -175,7 +174,7 @@ def with_cost(
     """Add monthly cost, waste, remedy and the reason where an amount is unknown."""
     t, count = thresholds, F.col("instance_count")
     priced = judged.join(
-        sized(hosting.groupBy("region", "instance_type").agg(F.max("usd_per_hour").alias("hourly"))),
+        hosting.groupBy("region", "instance_type").agg(F.max("usd_per_hour").alias("hourly")),
         ["region", "instance_type"], "left",
     )
     hourly = F.col("hourly").cast("decimal(18,6)")
@@ -242,7 +241,7 @@ def _serverless_comparison(rows: DataFrame, serverless: DataFrame, hours: float,
         F.col("remedy") == "move_to_serverless",
         F.round(monthly_calls * t.seconds_per_invocation * F.col("per_second").cast("double"), 2).cast("decimal(20,2)"),
     )
-    joined = rows.join(sized(prices), "region", "left").withColumn("serverless_monthly_usd", estimate)
+    joined = rows.join(prices, "region", "left").withColumn("serverless_monthly_usd", estimate)
     fills = F.col("wasted_monthly_usd").isNull() & F.col("serverless_monthly_usd").isNotNull() & F.col("monthly_usd").isNotNull()
     saved = F.greatest(F.lit(0).cast("decimal(20,2)"), (F.col("monthly_usd") - F.col("serverless_monthly_usd")).cast("decimal(20,2)"))
     note = F.when(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.operators.small import sized
 from meterwise.settings import UsageThresholds
 
 
@@ -45,8 +44,8 @@ def percentiles(inv: DataFrame, thresholds: UsageThresholds = UsageThresholds())
 def outliers(inv: DataFrame, thresholds: UsageThresholds = UsageThresholds()) -> DataFrame:
     """Requests strictly above their model's percentile, where the model has enough samples.
 
-    The cut-offs are one row per model and direction. Once their number is checked they are
-    broadcast, and the log is filtered where it lies.
+    The smallest cut-off of each direction, a single value, thins the log out where it lies; what is
+    left meets the cut-offs in a plain join.
     """
     cutoffs = (
         _directions(inv)
@@ -56,8 +55,10 @@ def outliers(inv: DataFrame, thresholds: UsageThresholds = UsageThresholds()) ->
         .select("model_id", "direction", "cutoff")
     )
     rows = _directions(inv, "request_id", "identity_arn", "ts", "source")
+    smallest = {d: cutoffs.filter(F.col("direction") == d).agg(F.min("cutoff")).scalar() for d in ("input", "output")}
+    least = F.when(F.col("direction") == "input", smallest["input"]).otherwise(smallest["output"])
     return (
-        rows.join(sized(cutoffs), ["model_id", "direction"])
+        rows.filter(F.col("tokens") > least).join(cutoffs, ["model_id", "direction"])
         .filter(F.col("tokens") > F.col("cutoff"))
         .select(
             "request_id", "model_id", "identity_arn", "ts",

@@ -91,15 +91,15 @@ def derive_rules(
     )
 
 
-# --- Fixed values: the wording of evidence, which rule documents carry as comments ----------------
+# --- Evidence: the facts behind each rule, which rule documents carry as comments -----------------
 
 
 def _suffix() -> Column:
     rows, total = thousands(F.col("row_count")), thousands(F.col("total_row_count"))
     return (
         F.when(~F.col("sampled"), "")
-        .when(F.col("total_row_count").isNull(), _text("; from a sample of ", rows, " rows"))
-        .otherwise(_text("; from a sample of ", rows, " of ", total, " rows"))
+        .when(F.col("total_row_count").isNull(), _text(" [sample: ", rows, " rows]"))
+        .otherwise(_text(" [sample: ", rows, " rows out of ", total, "]"))
     )
 
 
@@ -108,13 +108,13 @@ def _table_rules(t: Tolerance, level: str) -> list[Column]:
     low = F.greatest(F.lit(0), F.floor(total * F.lit(1 - t.row_count_tolerance)))
     high = F.ceil(total * F.lit(1 + t.row_count_tolerance))
     counted = _text(
-        thousands(total),
-        f" rows in the file, allowing {_percent_text(t.row_count_tolerance)} either way at {level} strictness",
+        "table size when profiled: ", thousands(total),
+        f"; {level} tolerance of plus or minus {_percent_text(t.row_count_tolerance)}",
     )
     columns = F.col("columns").cast("string")
     return [
         F.when(total > 0, _rule("RowCount", "between", counted, low=low, high=high)),
-        _rule("ColumnCount", "=", _text(columns, " columns in the profiled file"), low=columns),
+        _rule("ColumnCount", "=", _text("width when profiled: ", columns), low=columns),
     ]
 
 
@@ -122,22 +122,21 @@ def _column_rules(t: Tolerance, level: str, shape: QualityShape) -> list[Column]
     name, kind, suffix = F.col("name"), F.col("kind"), _suffix()
     rows, nulls, present = F.col("row_count"), F.col("null_count"), F.col("non_null_count")
     distinct, top = F.col("distinct_count"), F.col("top_values")
-    at_level = f" at {level} strictness"
+    tolerance = f"{level} tolerance"
 
     complete_at = _hundredths(F.col("completeness") - t.completeness_margin)
     completeness = F.when(
         rows > 0,
         F.when(
             F.col("is_complete"),
-            _rule("IsComplete", "", _text("no nulls in ", thousands(rows), " rows", suffix), column=name),
+            _rule("IsComplete", "", _text("every one of ", thousands(rows), " rows has a value", suffix), column=name),
         ).when(
             complete_at > 0,
             _rule(
                 "Completeness", ">=",
                 _text(
-                    thousands(present), " of ", thousands(rows), " rows non-null (",
-                    fixed(F.col("completeness"), 3),
-                    f" observed), less a {t.completeness_margin} margin{at_level}", suffix,
+                    "filled in ", thousands(present), " rows of ", thousands(rows), ", a share of ",
+                    fixed(F.col("completeness"), 3), f"; {tolerance} lowers the bar by {t.completeness_margin}", suffix,
                 ),
                 column=name, low=plain_number(complete_at),
             ),
@@ -152,7 +151,7 @@ def _column_rules(t: Tolerance, level: str, shape: QualityShape) -> list[Column]
             F.col("is_distinct") & F.col("is_complete"),
             _rule(
                 "IsPrimaryKey", "",
-                _text("all ", thousands(rows), " values distinct and non-null, so this looks like a key", suffix),
+                _text("key candidate: each of ", thousands(rows), " rows has its own value", suffix),
                 column=name,
             ),
         ).when(
@@ -160,8 +159,8 @@ def _column_rules(t: Tolerance, level: str, shape: QualityShape) -> list[Column]
             _rule(
                 "IsUnique", "",
                 _text(
-                    "all ", thousands(present), " non-null values distinct, but ", thousands(nulls),
-                    " rows are null, so this is unique without being a key", suffix,
+                    "no value occurs twice among ", thousands(present), "; empty in ", thousands(nulls),
+                    " rows, which rules out a key", suffix,
                 ),
                 column=name,
             ),
@@ -170,9 +169,8 @@ def _column_rules(t: Tolerance, level: str, shape: QualityShape) -> list[Column]
             _rule(
                 "Uniqueness", ">=",
                 _text(
-                    thousands(distinct), " distinct values across ", thousands(present), " non-null rows (",
-                    fixed(F.col("uniqueness"), 3),
-                    f" observed), so nearly a key; less a {t.uniqueness_margin} margin{at_level}", suffix,
+                    "few repeats: ", thousands(distinct), " different values in ", thousands(present), " filled rows, a share of ",
+                    fixed(F.col("uniqueness"), 3), f"; {tolerance} lowers the bar by {t.uniqueness_margin}", suffix,
                 ),
                 column=name, low=plain_number(unique_at),
             ),
@@ -187,20 +185,20 @@ def _column_rules(t: Tolerance, level: str, shape: QualityShape) -> list[Column]
     )
     shown = F.array_join(
         F.transform(
-            F.slice(top, 1, shape.shown_values), lambda v: _text(v["value"], " (", thousands(v["count"]), ")")
+            F.slice(top, 1, shape.shown_values), lambda v: _text(v["value"], " x ", thousands(v["count"]))
         ),
         ", ",
     )
     more = F.when(
         F.size(top) > shape.shown_values,
-        _text(", and ", (F.size(top) - shape.shown_values).cast("string"), " more"),
+        _text(", +", (F.size(top) - shape.shown_values).cast("string"), " others"),
     ).otherwise("")
     allowed = F.when(
         category,
         _rule(
             "ColumnValues", "in",
             _text(
-                distinct.cast("string"), " distinct values across ", thousands(present), " non-null rows: ",
+                "closed list of ", distinct.cast("string"), ", counted over ", thousands(present), " filled rows: ",
                 shown, more, suffix,
             ),
             column=name, values=F.array_sort(F.transform(top, lambda v: v["value"])),
@@ -211,9 +209,7 @@ def _column_rules(t: Tolerance, level: str, shape: QualityShape) -> list[Column]
         _rule(
             "DistinctValuesCount", "between",
             _text(
-                distinct.cast("string"),
-                " distinct values observed; this guards against the set collapsing, while the "
-                "allowed-value rule guards against it growing", suffix,
+                "the list had ", distinct.cast("string"), " members; more of them, or none at all, is a change", suffix,
             ),
             column=name, low=F.lit(1), high=distinct,
         ),
@@ -226,13 +222,13 @@ def _column_rules(t: Tolerance, level: str, shape: QualityShape) -> list[Column]
     bottom = F.when(whole, F.floor(low - pad).cast("double")).otherwise(low - pad)
     ceiling = F.when(whole, F.ceil(high + pad).cast("double")).otherwise(high + pad)
     observed = F.when(
-        span > 0, _text("observed ", short_number(low), " to ", short_number(high))
-    ).otherwise(_text("constant at ", short_number(low)))
+        span > 0, _text("seen from ", short_number(low), " up to ", short_number(high))
+    ).otherwise(_text("only ", short_number(low), " was seen"))
     numeric = F.when(
         low.isNotNull() & high.isNotNull(),
         _rule(
             "ColumnValues", "between",
-            _text(observed, f", widened by {_percent_text(t.numeric_padding)}{at_level}", suffix),
+            _text(observed, f"; {tolerance} adds {_percent_text(t.numeric_padding)} on both ends", suffix),
             column=name, low=lower_bound(bottom), high=upper_bound(ceiling),
         ),
     )
@@ -243,8 +239,8 @@ def _column_rules(t: Tolerance, level: str, shape: QualityShape) -> list[Column]
         _rule(
             "ColumnLength", "between",
             _text(
-                "observed lengths ", short.cast("string"), " to ", long.cast("string"),
-                f" characters, padded by {t.length_padding}{at_level}", suffix,
+                "sizes seen: ", short.cast("string"), " - ", long.cast("string"),
+                f" bytes; {tolerance} adds {t.length_padding} on both ends", suffix,
             ),
             column=name, low=F.greatest(F.lit(0), short - t.length_padding), high=long + t.length_padding,
         ),
@@ -253,6 +249,6 @@ def _column_rules(t: Tolerance, level: str, shape: QualityShape) -> list[Column]
     type_names = F.create_map(*[F.lit(x) for pair in DATA_TYPE_RULES.items() for x in pair])
     typed = F.when(
         kind.isin(*DATA_TYPE_RULES),
-        _rule("ColumnDataType", "=", _text("read as ", F.col("source_type"), suffix), column=name, low=type_names[kind]),
+        _rule("ColumnDataType", "=", _text("stored type: ", F.col("source_type"), suffix), column=name, low=type_names[kind]),
     )
     return [completeness, key, allowed, distinct_range, numeric, length, typed]

@@ -1,4 +1,4 @@
-"""Joining with tables that ought to be small, and evaluating expensive columns once."""
+"""Evaluating expensive columns once, and the first rows of every key."""
 
 from __future__ import annotations
 
@@ -6,30 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterwise.session import ensure_checkpoint_dir
-
-MAX_ROWS = 50_000
 _SALTS = 64
 
 
-def fetched(table: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame | None:
-    """The table as local rows if it has at most `max_rows`, else None. Never fetches more than that."""
-    rows = table.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return table.sparkSession.createDataFrame(rows, table.schema)
-
-
-def sized(table: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Mark a table for broadcast only once it is known to be small.
-
-    A larger table comes back as it was and takes part in a shuffled join, where adaptive execution
-    splits hot keys.
-    """
-    local = fetched(table, max_rows)
-    return table if local is None else F.broadcast(local)
-
-
 def once(table: DataFrame, *fields: Column) -> DataFrame:
     """Select `fields`, each evaluated exactly once a row whatever is selected or filtered later.
 
@@ -41,12 +20,6 @@ def once(table: DataFrame, *fields: Column) -> DataFrame:
     return computed.select(F.inline(F.array(F.struct(*names))))
 
 
-def settled(table: DataFrame) -> DataFrame:
-    """Compute a table that several results read, once, and keep it in the checkpoint folder."""
-    ensure_checkpoint_dir(table.sparkSession)
-    return table.checkpoint()
-
-
 def first_rows(table: DataFrame, keys: list[str], order: list[str], count: int) -> DataFrame:
     """The first `count` rows of every key, with their rank as `rn`.
 

@@ -5,11 +5,9 @@ pick, and so on. Every pick depends on the one before, which in one pass would n
 key in one task. Instead, time is cut into blocks. A block is entered either at its first point or
 at the first point more than a gap after a pick in an earlier block, so only the points within one
 gap of its start can be entries. For those few the last pick inside the block is worked out without
-knowing which entry will be taken. Blocks of blocks are reduced in the same way; what is left for
-one key is walked once, and the walk is then repeated inside each block from its true entry. All
-steps are exact, and no task holds more than one block of one key.
-
-Points found to be few are walked per key at once.
+knowing which entry will be taken. Blocks of blocks are reduced in the same way, until a block spans the
+data; its entries are walked, and the walk is then repeated inside each block from its true entry.
+All steps are exact, and no task holds more than one block of one key.
 """
 
 from __future__ import annotations
@@ -20,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterwise.operators.small import MAX_ROWS, fetched
-
-BLOCK_GAPS = (32, 1024)
+# Block sizes in gaps. With gaps of a minute the last is 31 years, so the last walk sees the entries of a block or two.
+BLOCK_GAPS = (64, 64**2, 64**3, 64**4)
 
 
 def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +51,7 @@ def _walk(at: np.ndarray, last: np.ndarray, first: int, gap: int) -> list[int]:
     return picks
 
 
-def spaced(points: DataFrame, keys: list[str], gap: int, few: int = MAX_ROWS) -> DataFrame:
+def spaced(points: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """Rows (keys, at) of `points` (keys, at BIGINT, no duplicates) picked more than `gap` apart."""
     schema = T.StructType(
         [points.schema[k] for k in keys]
@@ -91,10 +88,6 @@ def spaced(points: DataFrame, keys: list[str], gap: int, few: int = MAX_ROWS) ->
         picks = _walk(at, last, start, gap)
         return rows(table, at[picks], last[picks])
 
-    local = fetched(points, few)
-    if local is not None:
-        level = local.select(*keys, "at", F.col("at").alias("last"))
-        return level.groupBy(*keys).applyInArrow(walk_all, schema).select(*keys, "at")
     level = points.select(*keys, "at", F.col("at").alias("last"))
     levels = []
     for size in BLOCK_GAPS:

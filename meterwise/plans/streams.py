@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from meterwise.operators import keys, shards as sh, streams as st
 from meterwise.operators.endpoints import verdict_counts
-from meterwise.operators.small import settled
 from meterwise.settings import STREAM_VERDICTS, SkewThresholds
 
 
@@ -30,10 +29,10 @@ def stream_scan(
     relevant = sh.shards_in_window(shards, start).join(streams.select("stream"), "stream", "left_semi")
     # Datapoints are read only for streams that emit all the metrics.
     watched = relevant.join(measurable, "stream", "left_semi")
-    # One row per shard; kept, so that the datapoints are read once for all that follows.
-    scored = settled(
-        sh.utilisation(watched, sh.traffic(points, start, end), sh.window_minutes(start, end), thresholds)
-    )
+    # One row per shard, kept by the first result that runs, so that the datapoints are read once.
+    scored = sh.utilisation(
+        watched, sh.traffic(points, start, end), sh.window_minutes(start, end), thresholds
+    ).persist()
     statistics = sh.statistics(scored, thresholds)
     diagnosed = st.diagnose(streams, scored, statistics, thresholds)
     counted = sh.resharding(relevant).withColumnRenamed("open_shard_count", "open_shards_listed")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,10 +45,13 @@ def local_session(cores: str = "8", memory: str = "8g", name: str = "meterwise")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a session without one gets a local folder."""
+    """Use the shared checkpoint folder the cluster names; a session without one keeps checkpoints in its warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = os.path.join(tempfile.mkdtemp(prefix="meterwise-"), "checkpoint")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the named checkpoint folder, else a new one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/meterwise-{uuid.uuid4().hex}"

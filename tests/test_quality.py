@@ -49,9 +49,9 @@ def test_rules_of_orders(spark, orders_file):
 def test_document_layout(spark, orders_file, tmp_path):
     rules = quality_report(tb.read_table(spark, orders_file))["rules"]
     text = ruletext.document(rules, "one\n\ntwo").first().document
-    assert text.startswith("# one\n#\n# two\n\nRules = [\n    # 500 rows in the file, allowing 20% either way at balanced strictness\n")
+    assert text.startswith("# one\n#\n# two\n\nRules = [\n    # table size when profiled: 500; balanced tolerance of plus or minus 20%\n")
     assert (
-        "    # 4 distinct values across 500 non-null rows: NEW (125), PAID (125), SHIPPED (125), VOID\n    # (125)\n"
+        "    # closed list of 4, counted over 500 filled rows: NEW x 125, PAID x 125, SHIPPED x 125, VOID x\n    # 125\n"
         '    ColumnValues "status" in ["NEW", "PAID", "SHIPPED", "VOID"],\n\n'
     ) in text
     assert text.endswith('\n    ColumnLength "customer_note" between 4 and 17\n]\n')
@@ -64,8 +64,8 @@ def test_sample_of_text_hides_the_row_count(spark, orders_file):
     assert (loaded.sampled, loaded.total_row_count) == (True, None)
     rules = rl.derive_rules(pf.profile(loaded.table, sampled=True))
     assert texts(rules)[:3] == ["ColumnCount = 5", 'IsComplete "order_id"', 'IsPrimaryKey "order_id"']
-    assert rules.filter("rule_type = 'ColumnCount'").first().evidence == "5 columns in the profiled file"
-    assert rules.filter("rule_type = 'IsPrimaryKey'").first().evidence.endswith("so this looks like a key; from a sample of 120 rows")
+    assert rules.filter("rule_type = 'ColumnCount'").first().evidence == "width when profiled: 5"
+    assert rules.filter("rule_type = 'IsPrimaryKey'").first().evidence.endswith("rows has its own value [sample: 120 rows]")
     assert tb.read_table(spark, orders_file, 501).sampled is False
     assert tb.read_table(spark, orders_file, 500).sampled is True
     with pytest.raises(ValueError):
