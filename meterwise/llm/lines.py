@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.llm.shared import WORD
+from meterwise.operators.small import once
 
 SPAN = 3
 
@@ -34,9 +35,9 @@ def _lines(text: Column) -> Column:
 
 def windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per window: (id, pos, digest), pos counting the lines that hold a word."""
-    lines = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL").select(
-        "id", F.transform(_lines(F.col("text")), lambda part: part["line"]).alias("lines")
-    )
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL")
+    # arrays read by position are finished first, or they would be made anew for every position
+    lines = once(rows, F.col("id"), F.transform(_lines(F.col("text")), lambda part: part["line"]).alias("lines"))
     count = F.size("lines") - (SPAN - 1)
     digests = F.transform(
         F.slice("lines", F.lit(1), count),
@@ -60,24 +61,25 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return starts.select("id", F.array_sort(F.array_distinct(covered)).alias("removed"))
 
 
-def _left_over(text: Column, gone: Column) -> Column:
+def _left_over(parts: Column, gone: Column) -> Column:
     """The text without the \n-parts at the positions `gone`."""
-    parts = F.split(text, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
-    return F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
+    return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
 
 
 def _cleaned(rows: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """`rows` (id, text, ...) with `n_lines`, `gone` (positions among all \n-parts, or null) and `left`."""
     lost = removals(docs, id_column, text_column)
-    joined = rows.join(lost, "id", "left").withColumn("at", F.transform(_lines(F.col("text")), lambda part: part["at"]))
+    joined = once(
+        rows.join(lost, "id", "left"), *(F.col(c) for c in rows.columns), F.col("removed"),
+        F.transform(_lines(F.col("text")), lambda part: part["at"]).alias("at"), F.split("text", "\n").alias("parts"),
+    )
     # rows that share an id pool their positions; those beyond a row's own lines fall away
     gone = F.array_compact(F.transform("removed", lambda k: F.get("at", k)))
     return (
         joined.withColumn("n_lines", F.coalesce(F.size("at"), F.lit(0)).cast("long"))
         .withColumn("gone", gone)
-        .withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
-        .withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_left_over(F.col("text"), F.col("gone"))))
+        .withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_left_over(F.col("parts"), F.col("gone"))))
     )
 
 
@@ -95,7 +97,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def without_repeats_or_empties(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """As without_repeats, less the rows of which no line with a word is left."""
-    return without_repeats(docs, id_column, text_column).filter(F.coalesce(F.col(text_column), F.lit("")).rlike(WORD))
+    cleaned = without_repeats(docs, id_column, text_column)
+    return once(cleaned, *(F.col(f"`{c}`") for c in cleaned.columns)).filter(F.coalesce(F.col(text_column), F.lit("")).rlike(WORD))
 
 
 def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
