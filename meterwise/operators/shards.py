@@ -16,8 +16,6 @@ from meterwise.settings import (
 )
 
 _KEYS = ["stream", "shard_id"]
-# Shares are ranked in buckets of nearly equal value, this many per factor of e.
-_BUCKETS_PER_E = 1024
 
 
 def window_minutes(start: dt.datetime, end: dt.datetime) -> int:
@@ -117,23 +115,24 @@ def utilisation(
 def gini(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Gini coefficient of `value` per `key`: 0 when even, towards 1 when one row has it all.
 
-    Needs the rank of every value in its group. Equal values are first counted; ranks are then made
-    of a rank within a bucket of close values and the size of the lower buckets, so a group of any
-    size is ranked by many tasks. A negative value is an error.
+    Needs the rank of every value in its group. Equal values are first counted, then dealt out by
+    range of (key, value) into parts of about equal size, however close the values lie; a rank is the
+    rank within the part and the size of the lower parts. A negative value is an error.
     """
     x = F.col(value)
     checked = F.when(x < 0, F.raise_error(F.lit(f"{value} must not be negative"))).otherwise(x)
     counted = rows.groupBy(key, checked.cast("double").alias("x")).agg(F.count("*").alias("m"))
-    bucket = F.when(F.col("x") > 0, F.floor(F.ln("x") * _BUCKETS_PER_E)).otherwise(F.lit(-(2**40)))
-    counted = counted.withColumn("bucket", bucket)
-    in_bucket = Window.partitionBy(key, "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("below", F.sum("m").over(in_bucket) - F.col("m"))
-    sizes = counted.groupBy(key, "bucket").agg(F.sum("m").alias("size"))
-    lower = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = sizes.select(key, "bucket", (F.sum("size").over(lower) - F.col("size")).alias("offset"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # kept, so that both uses see the same ranges
+    counted = counted.repartitionByRange(parts, key, "x").withColumn("part", F.spark_partition_id()).persist()
+    in_part = Window.partitionBy(key, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("below", F.sum("m").over(in_part) - F.col("m"))
+    sizes = counted.groupBy(key, "part").agg(F.sum("m").alias("size"))
+    lower = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = sizes.select(key, "part", (F.sum("size").over(lower) - F.col("size")).alias("offset"))
     m, first = F.col("m"), F.col("below") + F.col("offset")
     rank_sum = m * first + m * (m + 1) / 2
-    sums = ranked.join(offsets, [key, "bucket"]).groupBy(key).agg(
+    sums = ranked.join(offsets, [key, "part"]).groupBy(key).agg(
         F.sum(rank_sum * F.col("x")).alias("weighted"),
         F.sum(m * F.col("x")).alias("total"),
         F.sum("m").alias("n"),

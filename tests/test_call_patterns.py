@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from meterwise.operators import anomalies, spacing
+from meterwise.operators import anomalies, percentiles, spacing
 from meterwise.operators.spacing import spaced
 from meterwise.settings import NO_IDENTITY, UsageThresholds
 
@@ -74,12 +74,11 @@ def grouped(rows, key):
 THRESHOLDS = UsageThresholds(burst_window_seconds=7, burst_count=8, repeat_count=5)
 
 
-@pytest.mark.parametrize("few", [50_000, 5])
-def test_bursts_equal_a_loop(traffic, monkeypatch, few):
+@pytest.mark.parametrize("blocks", [spacing.BLOCK_GAPS, (4, 16)])
+def test_bursts_equal_a_loop(traffic, monkeypatch, blocks):
     rows, table = traffic
-    monkeypatch.setattr(spacing, "BLOCK_GAPS", (4, 16))
+    monkeypatch.setattr(spacing, "BLOCK_GAPS", blocks)
     monkeypatch.setattr(anomalies, "_BLOCK_WINDOWS", 2)
-    monkeypatch.setattr(anomalies, "spaced", lambda p, k, g: spaced(p, k, g, few))
     want = sorted((who, *s) for (who,), items in grouped(rows, lambda w, m, t: (w,)).items() for s in loop(items, 7, 8))
     got = sorted(
         (r.identity_arn, utc(r.window_start), utc(r.window_end), r.request_count, float(r.cost_usd))
@@ -111,7 +110,7 @@ def test_spacing_in_blocks_equals_a_walk(spark, monkeypatch, seed):
                 want.add((key, at))
                 last = at
     table = spark.createDataFrame(sorted(points), "k string, at bigint")
-    assert {tuple(r) for r in spaced(table, ["k"], 10, few=0).collect()} == want
+    assert {tuple(r) for r in spaced(table, ["k"], 10).collect()} == want
 
 
 def test_loop_of_one_size_is_a_repeated_shape(spark):
@@ -157,3 +156,12 @@ def test_no_rows(spark):
 def test_rates_of_a_window_without_length(spark):
     found = anomalies.with_rates(anomalies.bursts(frame(spark, [call(0, tokens=n, n=n) for n in range(60)]))).first()
     assert (found.duration_seconds, found.calls_per_minute) == (0, 60)
+
+
+def test_building_a_query_runs_nothing(spark, traffic):
+    _, table = traffic
+    spark.sparkContext.setJobGroup("building", "no job is to carry this")
+    anomalies.detect(table, THRESHOLDS)
+    percentiles.outliers(table.withColumn("output_tokens", F.col("input_tokens")))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("running", "")
