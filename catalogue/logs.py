@@ -132,7 +132,7 @@ def usage_by_identity(spark, sf_dir):
     return money(totals.by_identity(costed(spark, sf_dir)))
 
 
-_HOUR = "strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ')"
+_HOUR = "strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S+00:00')"
 _DAY = "strftime(ts, '%Y-%m-%d')"
 
 
@@ -308,8 +308,8 @@ _BURST_SQL = f"""
       FROM walk AS w JOIN ordered AS o ON o.identity = w.identity AND o.i = w.i + 1)
     SELECT 'burst' AS kind, identity AS identity_arn, strftime(first_ts, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS window_end, n AS request_count, CAST(span_cost AS DOUBLE) AS cost_usd,
-      CAST(NULL AS VARCHAR) AS model_id FROM walk WHERE taken"""
-_ANOMALY = ("kind", "identity_arn", "window_start", "window_end", "request_count", "cost_usd", "model_id")
+      CAST(NULL AS VARCHAR) AS model_id, n || ' calls within {BURST.burst_window_seconds}s; the threshold is {BURST.burst_count}' AS detail FROM walk WHERE taken"""
+_ANOMALY = ("kind", "identity_arn", "window_start", "window_end", "request_count", "cost_usd", "model_id", "detail")
 
 
 def _plain(found: DataFrame) -> DataFrame:
@@ -329,7 +329,8 @@ _JUMP_SQL = f"""
     SELECT 'rate_jump' AS kind, identity AS identity_arn,
       strftime(make_timestamp(slot * {JUMP.burst_window_seconds * 1000000}), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
       strftime(make_timestamp((slot + 1) * {JUMP.burst_window_seconds * 1000000}), '%Y-%m-%d %H:%M:%S.%f') AS window_end,
-      n AS request_count, CAST(cost AS DOUBLE) AS cost_usd, CAST(NULL AS VARCHAR) AS model_id
+      n AS request_count, CAST(cost AS DOUBLE) AS cost_usd, CAST(NULL AS VARCHAR) AS model_id,
+      n || ' calls in this window against a median of ' || format('{{:.6g}}', CAST(usual AS DOUBLE)) || ', ' || CAST(round_even(n / usual, 0) AS BIGINT) || ' times as many' AS detail
     FROM base WHERE windows >= {JUMP.jump_minimum_windows} AND n >= {JUMP.jump_minimum_count} AND n / usual >= {JUMP.jump_multiple}"""
 
 
@@ -346,13 +347,18 @@ def rate_jumps(spark, sf_dir):
     return _plain(anomalies.rate_jumps(by_model_caller(costed(spark, sf_dir)), JUMP))
 
 
+def _shape_detail(width: int) -> str:
+    return f"n || ' calls to ' || model_id || ' with the same input size of ' || format('{{:,}}', input_tokens) || ' tokens within {width}s'"
+
+
 # Token counts in fives, so that sizes repeat.
 _COARSE = COSTED.replace("costed AS (", "own AS (") + ", costed AS (SELECT * REPLACE (input_tokens // 50 * 50 AS input_tokens) FROM own WHERE input_tokens IS NOT NULL)"
 _REPEAT_SQL = f"""
     {_span_sql('identity, model_id, input_tokens', REPEAT.burst_window_seconds, REPEAT.repeat_count)},
     firsts AS (SELECT *, row_number() OVER (PARTITION BY identity, model_id, input_tokens ORDER BY rn) AS i FROM cand)
     SELECT 'repeated_shape' AS kind, identity AS identity_arn, strftime(first_ts, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
-      strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS window_end, n AS request_count, CAST(span_cost AS DOUBLE) AS cost_usd, model_id
+      strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS window_end, n AS request_count, CAST(span_cost AS DOUBLE) AS cost_usd, model_id,
+      {_shape_detail(REPEAT.burst_window_seconds)} AS detail
     FROM firsts WHERE i = 1"""
 
 
@@ -371,10 +377,11 @@ def repeated_shapes(spark, sf_dir):
     r AS (WITH {_span_sql('identity, model_id, input_tokens', BURST.burst_window_seconds, 2)},
       firsts AS (SELECT *, row_number() OVER (PARTITION BY identity, model_id, input_tokens ORDER BY rn) AS i FROM cand)
       SELECT 'repeated_shape' AS kind, identity AS identity_arn, strftime(first_ts, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
-        strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS window_end, n AS request_count, CAST(span_cost AS DOUBLE) AS cost_usd, model_id FROM firsts WHERE i = 1 AND input_tokens IS NOT NULL),
+        strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS window_end, n AS request_count, CAST(span_cost AS DOUBLE) AS cost_usd, model_id,
+        {_shape_detail(BURST.burst_window_seconds)} AS detail FROM firsts WHERE i = 1 AND input_tokens IS NOT NULL),
     every AS (SELECT * FROM b UNION ALL SELECT * FROM j UNION ALL SELECT * FROM r),
     timed AS (SELECT *, (epoch_us(CAST(window_end AS TIMESTAMP)) - epoch_us(CAST(window_start AS TIMESTAMP))) / 1000000.0 AS d FROM every)
-    SELECT kind, identity_arn, window_start, window_end, request_count, cost_usd, model_id, round(d, 3) AS duration_seconds,
+    SELECT kind, identity_arn, window_start, window_end, request_count, cost_usd, model_id, detail, round(d, 3) AS duration_seconds,
       round(CASE WHEN d <= 0 THEN request_count ELSE request_count / (d / 60) END, 4) AS calls_per_minute FROM timed""",
 )
 def anomalies_with_rates(spark, sf_dir):

@@ -108,16 +108,29 @@ _SHARD_ROUNDED = ("coverage", "by_bytes", "by_records", "utilisation", "share_of
 @query(
     "shard_utilisation",
     f"WITH {SCORED} SELECT stream, shard_id, is_open, throttled_records, observed_minutes, binding, counted, "
-    f"{', '.join(f'round({c}, 6) AS {c}' for c in _SHARD_ROUNDED)}, observed_minutes = 0 AS silent FROM scored",
+    f"{', '.join(f'round({c}, 6) AS {c}' for c in _SHARD_ROUNDED)}, "
+    "CASE WHEN observed_minutes = 0 THEN 'no data for this shard in the window' WHEN NOT counted THEN 'seen for only ' || CAST(round(coverage * 100) AS INT) || '% of the window, too little to compare' END AS excluded_reason FROM scored",
 )
 def shard_utilisation(spark, sf_dir):
     return scored(spark, sf_dir).select(
         "stream", "shard_id", "is_open", "throttled_records", "observed_minutes", "binding", "counted",
         *[F.round(c, 6).alias(c) for c in _SHARD_ROUNDED],
-        F.coalesce(F.col("excluded_reason").startswith("no data"), F.lit(False)).alias("silent"),
+        "excluded_reason",
     )
 
 
+_KEYS_TEXT = "choose a key with more distinct values, or salt the busy one and merge downstream"
+_LACKS = f"lacks AS (SELECT stream, array_to_string([x FOR x IN {_NEED} IF NOT list_contains(enabled_metrics, x)], ' ') AS lacking FROM stream)"
+_PROVISIONED = "j.capacity_mode = 'PROVISIONED'"
+_HEADLINE = f"""CASE verdict WHEN 'no_shard_metrics' THEN 'Per-shard metrics are switched off: skew is not measurable' WHEN 'no_traffic' THEN 'Nothing was written in this window'
+  WHEN 'healthy' THEN 'Writes were not throttled' WHEN 'skew' THEN 'Key skew: one shard is full and the others are not' WHEN 'mixed' THEN 'Key skew on a stream that is busy anyway'
+  WHEN 'capacity' THEN CASE WHEN shard_count IS NULL THEN 'Full, with too few shards for skew to matter' WHEN {_PROVISIONED} THEN 'Too few shards for an even load' ELSE 'More load than the stream has scaled to' END
+  ELSE 'Throttled by spikes shorter than one datapoint' END"""
+_REMEDY = f"""CASE verdict WHEN 'no_shard_metrics' THEN 'enable enhanced monitoring for ' || lacking || ' and look again later' WHEN 'no_traffic' THEN 'check the producers and the window if traffic was expected'
+  WHEN 'healthy' THEN 'none needed' WHEN 'skew' THEN CASE WHEN {_PROVISIONED} THEN 'more shards' ELSE 'scaling' END || ' cannot help, one key stays on one shard: {_KEYS_TEXT}'
+  WHEN 'mixed' THEN CASE WHEN {_PROVISIONED} THEN 'add shards' ELSE 'let the stream scale to the new peak' END || ', and {_KEYS_TEXT}'
+  WHEN 'capacity' THEN CASE WHEN {_PROVISIONED} THEN 'add shards' WHEN shard_count IS NULL THEN 'retry with backoff until the stream has scaled out' ELSE 'ramp up more slowly, retry with backoff, or ask for higher limits' END
+  ELSE 'batch and spread out the writes; ' || CASE WHEN {_PROVISIONED} THEN 'failing that, add shards' ELSE 'the stream does not scale on spikes' END END"""
 _STAT_ROUNDED = ("max_to_mean", "variation", "hottest_share", "mean_utilisation", "max_utilisation", "gini")
 
 
@@ -137,9 +150,9 @@ def gini_of_order_value(spark, sf_dir):
     return sh.gini(orders, "customer", "o_totalprice").withColumn("gini", F.round("gini", 6))
 
 
-@query("stream_verdicts", f"WITH {VERDICTS} SELECT stream, capacity_mode, throttled_records, verdict, verdict IN ('skew', 'mixed', 'capacity', 'bursty') AS is_problem FROM judged")
+@query("stream_verdicts", f"WITH {VERDICTS}, {_LACKS} SELECT j.stream, j.capacity_mode, throttled_records, verdict, verdict IN ('skew', 'mixed', 'capacity', 'bursty') AS is_problem, {_HEADLINE} AS headline, {_REMEDY} AS remedy FROM judged AS j LEFT JOIN stats AS t ON j.stream = t.stream LEFT JOIN lacks AS k ON j.stream = k.stream")
 def stream_verdicts(spark, sf_dir):
-    return scan(spark, sf_dir)["streams"].select("stream", "capacity_mode", "throttled_records", "verdict", "is_problem")
+    return scan(spark, sf_dir)["streams"].select("stream", "capacity_mode", "throttled_records", "verdict", "is_problem", "headline", "remedy")
 
 
 @query("stream_verdict_counts", f"WITH {VERDICTS}, names AS (SELECT unnest({list(STREAM_VERDICTS)}) AS verdict) SELECT n.verdict, count(j.verdict) AS count FROM names AS n LEFT JOIN judged AS j ON n.verdict = j.verdict GROUP BY 1")

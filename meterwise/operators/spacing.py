@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Block sizes in gaps. With gaps of a minute the last is 31 years, so the last walk sees the entries of a block or two.
-BLOCK_GAPS = (64, 64**2, 64**3, 64**4)
+BLOCK_GAPS = (256, 256**2, 256**3)
 
 
 def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -67,7 +67,7 @@ def by_identity(costed: DataFrame) -> DataFrame:
 
 
 def by_hour(costed: DataFrame) -> DataFrame:
-    return grouped(costed, F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ssXXX"), False)
+    return grouped(costed, F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ssxxx"), False)
 
 
 def by_day(costed: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def all_groupings(costed: DataFrame) -> DataFrame:
     )
     key = (
         F.when(F.col("gid") == 7, F.col("model_id")).when(F.col("gid") == 11, F.col("identity"))
-        .when(F.col("gid") == 13, F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ssXXX"))
+        .when(F.col("gid") == 13, F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ssxxx"))
         .when(F.col("gid") == 14, F.col("day").cast("string")).otherwise("all")
     )
     return _finished(sets.withColumns({"grouping": name, "key": key}), ["grouping", "key"])
