@@ -10,6 +10,7 @@ from catalogue.logs import money
 from meterwise.operators import endpoints as ep
 from meterwise.plans.endpoints import endpoint_scan
 from meterwise.settings import ENDPOINT_VERDICTS, IdleThresholds
+from meterwise.sinks import documents
 from meterwise.sinks.reports import finding_rows, nested
 from meterwise.sources import inventory
 
@@ -229,3 +230,17 @@ def instance_type_parts(spark, sf_dir):
     family = F.get(F.array(*[F.lit(x) for x in ("ml.m5.", "ml.g5.", "ml.", "ml.inf2.")]), F.col("p_size") % 4)
     kind = F.concat(family, sizes)
     return part.select("p_partkey", ep.instance_family(kind).alias("family"), ep.approximate_memory_gb(kind).alias("memory_gb"))
+
+
+@query(
+    "region_documents",
+    f"""WITH {_findings_sql(False)} SELECT region, count(*) AS count, CAST(sum(wasted) AS DOUBLE) AS wasted_monthly_usd,
+      string_agg(endpoint || '/' || variant || ':' || verdict || ':' || remedy, ',' ORDER BY endpoint, variant) AS findings FROM findings GROUP BY 1""",
+)
+def region_documents(spark, sf_dir):
+    document = F.col("document")
+    shown = F.transform(document["findings"], lambda f: F.concat(f["endpoint"], F.lit("/"), f["variant"], F.lit(":"), f["verdict"], F.lit(":"), f["remedy"]))
+    found = documents.region_documents(scan(spark, sf_dir)["findings"]).select(
+        "region", document["count"].alias("count"), document["wasted_monthly_usd"].alias("wasted_monthly_usd"), F.array_join(shown, ",").alias("findings")
+    )
+    return money(found, "wasted_monthly_usd")

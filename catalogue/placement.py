@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogue import adapters as ad
 from meterwise.operators import placement as pl
+from meterwise.sinks import documents
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -161,3 +162,22 @@ def placement_explanations(spark, sf_dir):
         F.array_join("caveats", ",").alias("caveats"), F.size("runners_up").cast("bigint").alias("runners_up"),
         F.size("rejections").cast("bigint").alias("rejections"),
     )
+
+
+@query(
+    "workload_documents",
+    f"""WITH {BASE} SELECT workload_id, winner AS recommended,
+      (SELECT coalesce(string_agg(r.option || ':' || CAST(r.score AS BIGINT), ',' ORDER BY r.rank), '') FROM ranked AS r WHERE r.workload_id = best.workload_id) AS ranked,
+      (SELECT coalesce(string_agg(g.option || ':' || constraint_id, ',' ORDER BY g.option, constraint_id), '') FROM gone AS g WHERE g.workload_id = best.workload_id) AS rejected
+    FROM best""",
+)
+def workload_documents(spark, sf_dir):
+    document = F.col("document")
+    ranked = F.transform(document["ranked"], lambda r: F.concat_ws(":", r["option"], r["score"].cast("bigint").cast("string")))
+    rejected = F.flatten(
+        F.transform(document["rejected"], lambda o: F.transform(o["eliminations"], lambda e: F.concat_ws(":", o["option"], e["constraint_id"])))
+    )
+    return documents.workload_documents(judged(spark, sf_dir)).select(
+        "workload_id", document["recommended"].alias("recommended"), F.array_join(ranked, ",").alias("ranked"),
+        F.array_join(F.array_sort(rejected), ",").alias("rejected"),
+    )

@@ -9,6 +9,7 @@ from catalogue.adapters import load, scratch
 from catalogue.logs import money
 from meterwise.operators import evaluate as ev, profile as pf, rules as rl, ruletext
 from meterwise.settings import TOLERANCES, QualityShape
+from meterwise.sinks import documents
 from meterwise.sources import tables as tb
 
 QUERIES: dict = {}
@@ -355,3 +356,20 @@ SQL["sampled_rules"] = """
   UNION ALL SELECT 'IsPrimaryKey "o_orderkey"', 'key candidate: each of 100 rows has its own value' || tail FROM m
   UNION ALL SELECT 'ColumnValues "o_orderkey" between ' || CAST(floor(lo - (hi - lo) * 0.05::DOUBLE) AS BIGINT) || ' and ' || CAST(ceil(hi + (hi - lo) * 0.05::DOUBLE) AS BIGINT), 'seen from ' || lo || ' up to ' || hi || '; balanced tolerance adds 5% on both ends' || tail FROM m
   UNION ALL SELECT 'ColumnDataType "o_orderkey" = "Long"', 'stored type: int64' || tail FROM m"""
+
+
+def _profile_document(spark, sf_dir):
+    profiled = pf.profile(table(spark, sf_dir, "gaps"), SHAPE)
+    document = F.col("document")
+    columns = F.transform(document["columns"], lambda c: F.concat_ws(":", c["name"], c["kind"], c["null_count"].cast("string")))
+    rules = F.transform(document["rules"], lambda r: r["rule_text"])
+    return documents.profile_document(profiled, rl.derive_rules(profiled, "balanced", SHAPE)).select(
+        document["row_count"].alias("row_count"), F.array_join(columns, "|").alias("columns"), F.array_join(rules, "|").alias("rules")
+    )
+
+
+QUERIES["profile_document"] = _profile_document
+SQL["profile_document"] = (
+    f"WITH {rules_sql('gaps', 'balanced')} SELECT max(row_count) AS row_count, string_agg(name || ':' || kind || ':' || null_count, '|' ORDER BY column_no) AS columns, "
+    "(SELECT string_agg(rule_text, '|' ORDER BY rule_no) FROM rules) AS rules FROM prof"
+)

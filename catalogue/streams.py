@@ -10,6 +10,7 @@ from meterwise.operators import keys, shards as sh, streams as st
 from meterwise.operators.endpoints import verdict_counts
 from meterwise.plans.streams import stream_scan
 from meterwise.settings import STREAM_VERDICTS
+from meterwise.sinks import documents
 from meterwise.sources import inventory
 
 QUERIES: dict = {}
@@ -256,3 +257,17 @@ def shard_inventory(spark, sf_dir):
     )
     response = F.to_json(F.struct(F.col("stream").alias("StreamName"), F.array(one).alias("Shards")))
     return inventory.shards(s.select(response.alias("response"))).drop("closed_at")
+
+
+@query(
+    "stream_documents",
+    f"""WITH {VERDICTS} SELECT j.stream, verdict, CASE WHEN verdict = 'no_shard_metrics' THEN '' ELSE coalesce((SELECT string_agg(shard_id || ':' || binding || ':' || CAST(throttled_records AS BIGINT), ',' ORDER BY shard_id) FROM scored AS s WHERE s.stream = j.stream), '') END AS shards
+    FROM judged AS j""",
+)
+def stream_documents(spark, sf_dir):
+    document = F.col("document")
+    shown = F.transform(
+        document["shards"], lambda s: F.concat_ws(":", s["shard_id"], s["binding"], s["throttled_records"].cast("bigint").cast("string"))
+    )
+    found = documents.stream_documents(scan(spark, sf_dir))
+    return found.select(document["stream"].alias("stream"), document["diagnosis"]["verdict"].alias("verdict"), F.array_join(shown, ",").alias("shards"))
