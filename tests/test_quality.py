@@ -51,7 +51,7 @@ def test_document_layout(spark, orders_file, tmp_path):
     text = ruletext.document(rules, "one\n\ntwo").first().document
     assert text.startswith("# one\n#\n# two\n\nRules = [\n    # table size when profiled: 500; balanced tolerance of plus or minus 20%\n")
     assert (
-        "    # closed list of 4, counted over 500 filled rows: NEW x 125, PAID x 125, SHIPPED x 125, VOID x\n    # 125\n"
+        "    # closed list of 4, counted over 500 filled rows: NEW x 125, PAID x 125, SHIPPED x 125,\n    # VOID x 125\n"
         '    ColumnValues "status" in ["NEW", "PAID", "SHIPPED", "VOID"],\n\n'
     ) in text
     assert text.endswith('\n    ColumnLength "customer_note" between 4 and 17\n]\n')
