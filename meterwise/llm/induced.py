@@ -6,7 +6,8 @@ the falling suffixes in a pass over the first letters upwards, the rising ones i
 passes run on a priority queue of letters; a letter's entries leave in the order in which they came.
 An entry of a letter may bring another of the same letter, so a letter is worked in layers, each a few
 vector operations. Queues longer than `memory` entries live in unnamed temporary files of the task.
-Where there are about as many letters as entries, as there are one level down, entries go one by one.
+Where there are about as many letters as entries, a queue has nothing to gather: there the ranks of
+pairs are sorted instead of recursing further.
 """
 
 from __future__ import annotations
@@ -114,34 +115,6 @@ def _pass(text: np.ndarray, wanted: np.ndarray, sign: int, sources: dict[int, np
     return result
 
 
-def _single_pass(text: list[int], wanted: list[bool], sign: int, sources: dict[int, list[int]]) -> dict[int, list[int]]:
-    """As _pass, entry by entry."""
-    queued: dict[int, list[int]] = {}
-    heap = [sign * letter for letter in sources]
-    heapq.heapify(heap)
-    result: dict[int, list[int]] = {}
-    while heap:
-        letter = sign * heapq.heappop(heap)
-        own = queued.pop(letter, None)
-        if own is not None:
-            result[letter] = own
-        for entries in (own, sources.pop(letter, None)):
-            # entries of the same letter are added to the list while it is read
-            for entry in entries or ():
-                before = entry - 1
-                if entry and wanted[before]:
-                    at = text[before]
-                    if at == letter:
-                        own.append(before)
-                    elif at in queued:
-                        queued[at].append(before)
-                    else:
-                        queued[at] = [before]
-                        if at not in sources:
-                            heapq.heappush(heap, sign * at)
-    return result
-
-
 def _by_letter(text: np.ndarray, entries: np.ndarray) -> dict[int, np.ndarray]:
     """Ordered suffixes, cut where the first letter changes."""
     letters = text[entries]
@@ -151,8 +124,6 @@ def _by_letter(text: np.ndarray, entries: np.ndarray) -> dict[int, np.ndarray]:
 
 def _induced(text: np.ndarray, rising: np.ndarray, lms: np.ndarray, memory: int) -> np.ndarray:
     """All suffixes in order, from LMS suffixes in order."""
-    if DENSE * (int(text.max()) + 1) > len(text):
-        return _singly_induced(text, rising, lms)
     falling = _pass(text, ~rising, 1, _by_letter(text, lms), memory)
     # downwards everything is met back to front; the end mark is nobody's predecessor
     back = {c: e[::-1] for c, e in falling.items()}
@@ -167,17 +138,15 @@ def _induced(text: np.ndarray, rising: np.ndarray, lms: np.ndarray, memory: int)
     return np.concatenate(parts)
 
 
-def _singly_induced(text: np.ndarray, rising: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    letters, end = text.tolist(), int(text[-1])
-    falling = _single_pass(letters, (~rising).tolist(), 1, {c: e.tolist() for c, e in _by_letter(text, lms).items()})
-    back = {c: e[::-1] for c, e in falling.items()}
-    back.setdefault(end, [len(text) - 1])
-    up = _single_pass(letters, rising.tolist(), -1, back)
-    result = [len(text) - 1]
-    for letter in sorted({*falling, *up}):
-        result += falling.get(letter, ())
-        result += reversed(up.get(letter, ()))
-    return np.array(result, dtype=np.int64)
+def _doubled(ranks: np.ndarray) -> np.ndarray:
+    """Suffix order of a string of ranks with about as many letters as places: ranks of pairs, the reach doubled each time."""
+    reach = 1
+    while ranks.max() + 1 < len(ranks):
+        after = np.zeros_like(ranks)
+        after[:-reach] = ranks[reach:] + 1
+        _, ranks = np.unique(ranks * (len(ranks) + 1) + after, return_inverse=True)
+        reach *= 2
+    return np.argsort(ranks)
 
 
 def _names(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -216,7 +185,8 @@ def suffix_order(text: np.ndarray, memory: int = MEMORY) -> np.ndarray:
         if names[-1] + 1 < len(lms):
             rank = np.empty(count, dtype=np.int64)
             rank[ordered] = names
-            ordered = lms[suffix_order(rank[lms], memory)]
+            dense = DENSE * (int(names[-1]) + 1) < len(lms)
+            ordered = lms[suffix_order(rank[lms], memory) if dense else _doubled(rank[lms])]
         lms = ordered
     return _induced(text, rising, lms, memory)
 

@@ -7,7 +7,7 @@ strings are judged on the input. Each window of SPAN bytes has an anchor: its GR
 1. Every document sends its anchors, about one in eighteen places, as hashes: of the anchor, and of its
    surroundings, which hold all windows with that anchor. Sorted by anchor, surroundings and id, a
    stream of constant memory gives two kinds of finding: surroundings that a smaller id has are removed
-   whole; the smallest id of surroundings is open if others of its anchor agree with it in the SIDE
+   whole; the smallest id of surroundings is open if others of its anchor agree with it in the GRAM
    bytes before or after, as they must to share a window.
 2. Open surroundings (at the edges of copied passages) come together by anchor as bytes. Their shard is
    sorted by external induced sorting, and windows that agree with one of a smaller id are removed.
@@ -41,7 +41,6 @@ from meterwise.llm.shared import as_bytes, mixed, written
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
-SIDE = (SPAN - GRAM) // 2
 SHARD_BYTES = 1 << 21
 _SLICE = 1 << 22
 _ALL = (1 << WINDOW) - 1
@@ -57,28 +56,46 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return value
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of all windows, ascending, and their hashes."""
-    places, hashes = [], []
-    for at in range(0, max(1, len(text) - SPAN + 1), _SLICE):
-        part = np.frombuffer(text[at : at + _SLICE + SPAN - 1], dtype=np.uint8)
-        if len(part) < SPAN:
-            break
-        grams = gram_hashes(part)
+def marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of all windows: their places, ascending, their hashes, and hashes of their surroundings."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(text) - SPAN + 1, _SLICE):
+        low, high = max(0, at - 2 * SPAN), at + _SLICE + 3 * SPAN
+        grams = gram_hashes(np.frombuffer(text[low:high], dtype=np.uint8))
+        part = grams[at - low : at - low + _SLICE + WINDOW - 1]
         # the place, in the low bits, decides among equal hashes
-        keyed = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-        least, width = keyed, 1
+        least, width = (part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64), 1
         while 2 * width <= WINDOW:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         least = np.minimum(least[: len(least) - (WINDOW - width)], least[WINDOW - width :])
-        own = np.unique((least & np.uint64((1 << 24) - 1)).astype(np.int64))
-        places.append(own + at)
-        hashes.append(grams[own])
-    if not places:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
+        place = at + np.unique((least & np.uint64((1 << 24) - 1)).astype(np.int64))
+        found.append((place, grams[place - low], _surroundings(text, place, grams, low)))
+    if not found:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+    place, gram, context = (np.concatenate(x) for x in zip(*found))
+    place, first = np.unique(place, return_index=True)
+    return place, gram[first], context[first]
+
+
+def _surroundings(text: bytes, place: np.ndarray, grams: np.ndarray, low: int) -> np.ndarray:
+    """Hashes of what lies around each anchor: 12 bits each of the GRAM bytes before and after it, 40 of all its windows.
+
+    Away from the ends of the text all is made of gram hashes; there, of the bytes and the anchor's place in them.
+    """
+    at = place - low
+    gram = lambda step: grams[np.clip(at + step, 0, len(grams) - 1)]
+    before = np.where(place >= GRAM, gram(-GRAM), 0)
+    after = np.where(place + 2 * GRAM <= len(text), gram(GRAM), 0)
+    reach = SPAN - GRAM
+    whole = np.zeros(len(place), dtype=np.uint64)
+    for step in (-reach, GRAM - reach, -GRAM, 0, GRAM, 2 * GRAM, reach):
+        whole = mixed(whole * np.uint64(0x9E3779B97F4A7C15) + gram(step))
+    for k in np.flatnonzero((place < reach) | (place + SPAN > len(text))).tolist():
+        p = int(place[k])
+        whole[k] = xxhash.xxh3_64_intdigest(around(text, p), seed=1 + min(p, reach))
+    sides = (before >> np.uint64(52) << np.uint64(52)) | (after >> np.uint64(52) << np.uint64(40))
+    return sides | (whole & np.uint64((1 << 40) - 1))
 
 
 def around(text: bytes, place: int) -> bytes:
@@ -86,14 +103,6 @@ def around(text: bytes, place: int) -> bytes:
     return text[max(0, place - SPAN + GRAM) : place + SPAN]
 
 
-def surroundings(text: bytes, place: int) -> int:
-    """A 64-bit hash of them and of where the anchor lies: 12 bits each of the SIDE bytes before and after the gram, 40 of all."""
-    whole = xxhash.xxh3_64_intdigest(around(text, place), seed=min(place, SPAN - GRAM))
-    before = xxhash.xxh32_intdigest(text[max(0, place - SIDE) : place]) & _SIDE_MASK
-    after = xxhash.xxh32_intdigest(text[place + GRAM : place + GRAM + SIDE]) & _SIDE_MASK
-    return before << 52 | after << 40 | whole & ((1 << 40) - 1)
-
-
 def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.uint64).astype(np.int64))
 
@@ -102,14 +111,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, grams, contexts = [], [], []
         for row, text in enumerate(as_bytes(batch.column(1))):
-            place, gram = anchors(text)
+            place, gram, context = marks(text)
             if len(place):
                 rows.append(np.full(len(place), row))
                 grams.append(gram)
-                contexts += [surroundings(text, p) for p in place.tolist()]
+                contexts.append(context)
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [_signed(np.concatenate(grams)), _signed(contexts), batch.column(0).take(pa.array(np.concatenate(rows)))],
+                [_signed(np.concatenate(grams)), _signed(np.concatenate(contexts)), batch.column(0).take(pa.array(np.concatenate(rows)))],
                 names=["gram", "context", "id"],
             )
 
@@ -226,10 +235,10 @@ def _masked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 def removed_spans(text: bytes, masks: dict[int, int]) -> list[tuple[int, int]]:
     """Maximal runs of bytes to remove, from the masks of contexts. Bit k is the window that starts SPAN - GRAM - k bytes before its anchor."""
     edge = np.zeros(len(text) + 1, dtype=np.int32)
-    for place in anchors(text)[0].tolist():
-        mask = masks.get(surroundings(text, place))
-        if not mask:
-            continue
+    places, _, contexts = marks(text)
+    contexts = contexts.astype(np.int64)
+    for at in np.flatnonzero(np.isin(contexts, list(masks))).tolist():
+        place, mask = int(places[at]), masks[int(contexts[at])]
         first, last = max(0, place - SPAN + GRAM), min(place, len(text) - SPAN)
         if mask == _ALL:
             if first <= last:
@@ -246,10 +255,6 @@ def removed_spans(text: bytes, masks: dict[int, int]) -> list[tuple[int, int]]:
     return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
 
 
-def _unsigned(value: int) -> int:
-    return value % (1 << 64)
-
-
 def findings(narrow: DataFrame) -> DataFrame:
     """Of a table (id, text): (id, context, mask), for the anchors with that context the windows that a smaller id has."""
     id_type = narrow.schema["id"].dataType.simpleString()
@@ -263,12 +268,15 @@ def findings(narrow: DataFrame) -> DataFrame:
         for batch in batches:
             out = [[], [], [], [], []]
             for id_, text, pairs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                grams = {_unsigned(p["context"]): p for p in pairs or ()}
-                for place in anchors(text)[0].tolist() if grams else ():
-                    pair = grams.pop(surroundings(text, place), None)
-                    if pair:
-                        for column, value in zip(out, (pair["gram"], pair["context"], id_, around(text, place), min(place, SPAN - GRAM))):
-                            column.append(value)
+                if not pairs:
+                    continue
+                place, gram, context = marks(text)
+                context, first = np.unique(context.astype(np.int64), return_index=True)
+                known = np.isin(context, [pair["context"] for pair in pairs])
+                first = first[known]
+                for p, g, c in zip(place[first].tolist(), gram[first].astype(np.int64).tolist(), context[known].tolist()):
+                    for column, value in zip(out, (g, c, id_, around(text, p), min(p, SPAN - GRAM))):
+                        column.append(value)
             kinds = (pa.int64(), pa.int64(), batch.schema.field(0).type, pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gram", "context", "id", "bytes", "lead"])
 
@@ -292,8 +300,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             for text, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 masks: dict[int, int] = {}
                 for f in found or ():
-                    key = _unsigned(f["context"])
-                    masks[key] = masks.get(key, 0) | f["mask"]
+                    masks[f["context"]] = masks.get(f["context"], 0) | f["mask"]
                 spans = removed_spans(text, masks) if masks else []
                 stops = [0, *(x for span in spans for x in span), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(stops[::2], stops[1::2]))
