@@ -15,7 +15,7 @@ tokens against NOISE tokens drawn from the training counts), starting from commo
 weights are averaged by tokens in two steps of sums, ROUNDS times.
 
 Scale: word counts are summed over all training texts, task by task before the shuffle, and stay a
-table. The HEAD most frequent words, a fixed number, are broadcast and settle most tokens while texts
+table. The most frequent words, at most HEAD, are broadcast and settle most tokens while texts
 are read; the other words of each text, counted per text, meet their counts in a join. None of those is
 frequent, so the join has no hot key. The model is tens of kilobytes whatever the input.
 
@@ -221,7 +221,17 @@ class Corpus:
     def of(cls, counts: DataFrame) -> Corpus:
         total = counts.agg(F.sum("c"), F.count("*")).first()
         tokens, distinct = total[0] or 0, total[1]
-        head = {r.word.encode(): r.c for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()}
+        # words by eighths of powers of two: the levels from the top that fit into HEAD are fetched, nothing else
+        level = F.floor(F.log2("c") * 8)
+        sizes = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+        lowest, room = max(sizes, default=0) + 1, HEAD
+        for top in sorted(sizes, reverse=True):
+            room -= sizes[top]
+            if room < 0:
+                break
+            lowest = top
+        rows = counts.filter(level >= lowest).collect()
+        head = {r.word.encode(): r.c for r in sorted(rows, key=lambda r: (-r.c, r.word))}
         end = END.encode()
         if distinct and end not in head:
             head[end] = counts.filter(F.col("word") == END).first().c
