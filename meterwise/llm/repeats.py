@@ -111,10 +111,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, grams, contexts = [], [], []
         for row, text in enumerate(as_bytes(batch.column(1))):
-            place, gram, context = marks(text)
-            if len(place):
-                rows.append(np.full(len(place), row))
-                grams.append(gram)
+            _, gram, context = marks(text)
+            # a text that repeats itself sends each of its contexts once
+            context, first = np.unique(context, return_index=True)
+            if len(first):
+                rows.append(np.full(len(first), row))
+                grams.append(gram[first])
                 contexts.append(context)
         if rows:
             yield pa.RecordBatch.from_arrays(
