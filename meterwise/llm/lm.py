@@ -5,19 +5,23 @@ before it: with token vectors r, position matrices C1, C2 and biases b,
 
     s(w | u, v) = (r_u C1 + r_v C2) . r_w + b_w,     log P = s - log sum exp s,
 
-over the VOCABULARY most frequent words, the end, and one class for all other words. A word w of that
-class costs log P(class) + log((c_w + 1) / (N_o + V_o + 1)), with c_w its count in the training texts and
+over the VOCABULARY most frequent words, the end, clusters of further words, and one class for all other
+words. Every word seen MIN_COUNT times or more has its own vector: beyond the VOCABULARY most frequent
+ones they lie, by falling count, in clusters, and P(w) = P(cluster) P(w in cluster), the second factor a
+softmax of the same form over the words of the cluster. A word w of the class of other words costs log P(class) + log((c_w + 1) / (N_o + V_o + 1)), with c_w its count in the training texts and
 N_o, V_o tokens and distinct words of the class there, so that probabilities sum to one, unseen words
 together taking the last share.
 
 Training reads every training text. Each task runs noise-contrastive estimation over its own texts (true
-tokens against NOISE tokens drawn from the training counts), starting from common weights; the tasks'
-weights are averaged by tokens in two steps of sums, ROUNDS times.
+tokens against NOISE tokens drawn from the training counts, within a cluster from those of its words),
+starting from common weights; the tasks' weights are averaged by tokens, ROUNDS times.
 
 Scale: word counts are summed over all training texts, task by task before the shuffle, and stay a
 table. The most frequent words, at most HEAD, are broadcast and settle most tokens while texts
 are read; the other words of each text, counted per text, meet their counts in a join. None of those is
-frequent, so the join has no hot key. The model is tens of kilobytes whatever the input.
+frequent, so the join has no hot key. The model has SIZE + 1 numbers for every word seen MIN_COUNT times,
+so it grows with the input; a position costs the clusters and one cluster, about twice the root of that.
+Tasks send the changes of the rows they touched, in blocks of ROWS rows, each summed by itself.
 
 Rows: a null or empty text is one end. Repeated rows and null ids are scored row by row; a null id counts
 as the empty text in the fold rule. Without training texts every count is 0 and the model uniform.
@@ -25,6 +29,7 @@ as the empty text in the fold rule. Without training texts every count is 0 and
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,10 +43,10 @@ from pyspark.sql import functions as F
 from meterwise.llm.shared import as_bytes, lowered_words, settled
 
 FOLDS, HELD_OUT_FOLD = 7, 2
-HEAD, VOCABULARY = 100_000, 510
+HEAD, VOCABULARY, MIN_COUNT, CLUSTER = 100_000, 510, 100, 512
 SIZE, NOISE, BATCH, ROUNDS, RATE = 16, 48, 1024, 2, 0.04
 END = " "  # no word has a space
-MIN_STEPS = 40
+MIN_STEPS, ROWS = 40, 128
 _FLUSH, _CHUNK = 200_000, 400_000
 _LOG10 = float(np.log(10))
 
@@ -75,58 +80,85 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Weights. Token numbers: vocabulary 0..n-1 (the end included), other words n, start of text n + 1."""
+    """Weights. Rows: the most frequent words 0..n-1 (the end included), other words n, one row for each of C
+    clusters, start of text n + C + 1, then the words of the clusters. `noise` has the shares of the first
+    n + C + 1 rows, `tail` those of the cluster words, which lie `width` to a cluster.
+    """
 
     vectors: np.ndarray
     biases: np.ndarray
     near: np.ndarray
     far: np.ndarray
     noise: np.ndarray
+    tail: np.ndarray
+    width: int
 
     @classmethod
-    def fresh(cls, noise: np.ndarray) -> Model:
+    def fresh(cls, noise: np.ndarray, tail: np.ndarray | None = None, width: int = CLUSTER) -> Model:
+        tail = np.empty(0) if tail is None else tail
         draw = np.random.default_rng(11)
         eye = np.eye(SIZE, dtype=np.float32) * 0.5
-        vectors = draw.normal(0, 0.1, (len(noise) + 1, SIZE)).astype(np.float32)
-        return cls(vectors, np.log(noise).astype(np.float32), eye.copy(), eye.copy() * 0.5, noise)
+        vectors = draw.normal(0, 0.1, (len(noise) + 1 + len(tail), SIZE)).astype(np.float32)
+        biases = np.concatenate((np.log(noise), [0], np.log(tail))).astype(np.float32)
+        return cls(vectors, biases, eye.copy(), eye.copy() * 0.5, noise, tail, width)
 
     def weights(self) -> list[np.ndarray]:
         return [self.vectors, self.biases, self.near, self.far]
 
-    def packed(self) -> np.ndarray:
-        return np.concatenate([w.ravel() for w in self.weights()]).astype(np.float64)
+    def copied(self) -> Model:
+        return Model(*(w.copy() for w in self.weights()), self.noise, self.tail, self.width)
 
-    def unpacked(self, values: np.ndarray) -> Model:
-        parts, at = [], 0
-        for w in self.weights():
-            parts.append(values[at : at + w.size].reshape(w.shape).astype(np.float32))
-            at += w.size
-        return Model(*parts, self.noise)
+    @property
+    def start(self) -> int:
+        return len(self.noise)
+
+    def cluster_rows(self, cluster: int) -> slice:
+        first = self.start + 1 + cluster * self.width
+        return slice(first, min(first + self.width, len(self.vectors)))
+
+    def outputs(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row that stands for each token among the first rows, and its cluster, -1 where it has none."""
+        cluster = np.where(token > self.start, (token - self.start - 1) // self.width, -1)
+        count = -(-len(self.tail) // self.width)
+        return np.where(cluster >= 0, self.start - count + cluster, token), cluster
 
     def predicted(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
         return self.vectors[near] @ self.near + self.vectors[far] @ self.far
 
-    def log_probabilities(self, far: np.ndarray, near: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Natural log P(token | far, near) of each position; contexts that recur are normalised once."""
-        wide = len(self.vectors)
-        context, back = np.unique(far * wide + near, return_inverse=True)
-        hidden = self.predicted(context // wide, context % wide)
-        outputs = np.ascontiguousarray(self.vectors[:-1].T)
-        whole = np.empty(len(context), dtype=np.float32)
-        for at in range(0, len(context), BATCH):
+    def _norms(self, hidden: np.ndarray, rows: slice) -> np.ndarray:
+        """Log of the sum of exp scores over some rows."""
+        outputs, biases = np.ascontiguousarray(self.vectors[rows].T), self.biases[rows]
+        whole = np.empty(len(hidden), dtype=np.float32)
+        for at in range(0, len(hidden), BATCH):
             scores = hidden[at : at + BATCH] @ outputs
-            scores += self.biases
+            scores += biases
             top = scores.max(axis=1)
             scores -= top[:, None]
             np.exp(scores, out=scores)
             whole[at : at + BATCH] = np.log(scores.sum(axis=1)) + top
-        own = np.einsum("ij,ij->i", hidden[back], self.vectors[token]) + self.biases[token]
-        return own.astype(np.float64) - whole[back]
+        return whole
+
+    def log_probabilities(self, far: np.ndarray, near: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Natural log P(token | far, near) of each position; contexts that recur are normalised once."""
+        wide = len(self.vectors)
+        context, back = np.unique(far * wide + near, return_inverse=True)
+        hidden = self.predicted(context // wide, context % wide)
+        whole = self._norms(hidden, slice(0, self.start))
+        row, cluster = self.outputs(token)
+        score = lambda at, rows: np.einsum("ij,ij->i", hidden[back[at]], self.vectors[rows]) + self.biases[rows]
+        result = score(slice(None), row).astype(np.float64) - whole[back]
+        for at, which in _by_cluster(cluster):
+            result[at] += score(at, token[at]) - self._norms(hidden[back[at]], self.cluster_rows(which))
+        return result
 
 
-def _added(rows: np.ndarray, slopes: np.ndarray, count: int) -> np.ndarray:
-    at = (rows[:, None] * SIZE + np.arange(SIZE)).ravel()
-    return np.bincount(at, weights=slopes.ravel(), minlength=count * SIZE).reshape(count, SIZE).astype(np.float32)
+def _by_cluster(cluster: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """The places of each cluster, those without one left out."""
+    order = np.argsort(cluster, kind="stable")
+    order = order[np.searchsorted(cluster[order], 0) :]
+    kinds, first = np.unique(cluster[order], return_index=True)
+    for which, at in zip(kinds.tolist(), np.split(order, first[1:])):
+        yield at, which
 
 
 class Trainer:
@@ -135,27 +167,43 @@ class Trainer:
     def __init__(self, model: Model, seed: int):
         self.model, self.draw = model, np.random.default_rng(seed)
         self.squares = [np.full_like(w, 1e-6) for w in model.weights()]
+        self.touched = np.zeros(len(model.vectors), dtype=bool)
+        self.offset = np.log(NOISE * np.concatenate((model.noise, [1], model.tail))).astype(np.float32)
+        self.upto, self.tail_upto = np.cumsum(model.noise), np.concatenate(([0], np.cumsum(model.tail)))
         self.seen = 0
 
     def learn(self, far: np.ndarray, near: np.ndarray, token: np.ndarray) -> None:
-        """Triples of token numbers; equal ones are learnt once, by their number."""
+        """Triples of rows; equal ones are learnt once, by their number."""
         self.seen += len(token)
-        wide = len(self.model.vectors)
-        triple, times = np.unique((far * wide + near) * wide + token, return_counts=True)
+        m = self.model
+        wide = len(m.vectors)
+        context, back = np.unique(far * wide + near, return_inverse=True)
+        triple, times = np.unique(back * wide + token, return_counts=True)
+        far, near, token = context[triple // wide] // wide, context[triple // wide] % wide, triple % wide
+        row, cluster = m.outputs(token)
         times = times.astype(np.float32)
         steps = -(-len(triple) // BATCH)
         for _ in range(-(-MIN_STEPS // steps)):
             order = self.draw.permutation(len(triple))
-            for at in range(0, len(order), BATCH):
-                part = order[at : at + BATCH]
-                own, share = triple[part], times[part] / times[part].sum()
-                self._step(own // (wide * wide), own // wide % wide, own % wide, share)
+            for part, noise in self._batches(order, cluster):
+                self._step(far[part], near[part], (row if noise is None else token)[part], times[part] / times[part].sum(), noise)
 
-    def _step(self, far: np.ndarray, near: np.ndarray, token: np.ndarray, share: np.ndarray) -> None:
+    def _batches(self, order: np.ndarray, cluster: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """Triples to learn at once; with the noise rows where they are learnt within their cluster."""
+        for at in range(0, len(order), BATCH):
+            yield order[at : at + BATCH], None
         m = self.model
-        rows = len(m.vectors)
-        noise = self.draw.choice(len(m.noise), NOISE, p=m.noise)
-        offset = np.log(NOISE * m.noise).astype(np.float32)
+        for at, which in _by_cluster(cluster[order]):
+            rows = m.cluster_rows(which)
+            low, high = (self.tail_upto[k - m.start - 1] for k in (rows.start, rows.stop))
+            for k in range(0, len(at), BATCH):
+                drawn = np.searchsorted(self.tail_upto, low + (high - low) * self.draw.random(NOISE), side="right") + m.start
+                yield order[at[k : k + BATCH]], np.clip(drawn, rows.start, rows.stop - 1)
+
+    def _step(self, far: np.ndarray, near: np.ndarray, token: np.ndarray, share: np.ndarray, noise: np.ndarray | None) -> None:
+        m, offset = self.model, self.offset
+        if noise is None:
+            noise = np.minimum(np.searchsorted(self.upto, self.draw.random(NOISE), side="right"), m.start - 1)
         hidden = m.predicted(far, near)
         true = np.einsum("ij,ij->i", hidden, m.vectors[token]) + m.biases[token] - offset[token]
         false = hidden @ m.vectors[noise].T + m.biases[noise] - offset[noise]
@@ -163,14 +211,47 @@ class Trainer:
         true = -share / (1 + np.exp(np.clip(true, -30, 30)))
         false = share[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
         hidden_slope = true[:, None] * m.vectors[token] + false @ m.vectors[noise]
-        vectors = _added(token, true[:, None] * hidden, rows)
-        vectors += _added(noise, false.T @ hidden, rows)
-        vectors += _added(near, hidden_slope @ m.near.T, rows) + _added(far, hidden_slope @ m.far.T, rows)
-        biases = np.bincount(token, weights=true, minlength=rows - 1) + np.bincount(noise, weights=false.sum(axis=0), minlength=rows - 1)
-        slopes = [vectors, biases.astype(np.float32), m.vectors[near].T @ hidden_slope, m.vectors[far].T @ hidden_slope]
-        for weight, slope, square in zip(m.weights(), slopes, self.squares):
-            square += slope * slope
-            weight -= RATE * slope / np.sqrt(square)
+        near_slope, far_slope = m.vectors[near].T @ hidden_slope, m.vectors[far].T @ hidden_slope
+        # only the rows that occur change
+        rows, back = np.unique(np.concatenate((token, noise, near, far)), return_inverse=True)
+        slopes = np.concatenate((true[:, None] * hidden, false.T @ hidden, hidden_slope @ m.near.T, hidden_slope @ m.far.T))
+        at = (back[:, None] * SIZE + np.arange(SIZE)).ravel()
+        vectors = np.bincount(at, weights=slopes.ravel(), minlength=len(rows) * SIZE).reshape(len(rows), SIZE).astype(np.float32)
+        scored = len(token) + len(noise)
+        biases = np.bincount(back[:scored], weights=np.concatenate((true, false.sum(axis=0))), minlength=len(rows)).astype(np.float32)
+        self.touched[rows] = True
+        places = (rows, rows, slice(None), slice(None))
+        for weight, slope, square, place in zip(m.weights(), (vectors, biases, near_slope, far_slope), self.squares, places):
+            grown = square[place] + slope * slope
+            square[place] = grown
+            weight[place] -= RATE * slope / np.sqrt(grown)
+
+    def changes(self, start: Model) -> Iterator[tuple[int, bytes]]:
+        """What was learnt, times the tokens seen: the matrices and the number of tokens as block -1, then the touched blocks of rows."""
+        m, seen = self.model, np.float32(self.seen)
+        moved = [(own - old).ravel() * seen for own, old in ((m.near, start.near), (m.far, start.far))]
+        yield -1, np.concatenate((*moved, [seen])).astype(np.float32).tobytes()
+        for block in np.unique(np.flatnonzero(self.touched) // ROWS).tolist():
+            part = slice(block * ROWS, (block + 1) * ROWS)
+            vectors, biases = m.vectors[part] - start.vectors[part], m.biases[part] - start.biases[part]
+            yield block, (np.column_stack((vectors, biases)) * seen).astype(np.float32).tobytes()
+
+
+def _averaged(model: Model, sums: dict[int, bytes]) -> Model:
+    """`model` with the tasks' changes, averaged by tokens."""
+    if -1 not in sums:
+        return model
+    model = model.copied()
+    values = np.frombuffer(sums.pop(-1))
+    tokens, square = values[-1], SIZE * SIZE
+    model.near += (values[:square] / tokens).reshape(SIZE, SIZE).astype(np.float32)
+    model.far += (values[square : 2 * square] / tokens).reshape(SIZE, SIZE).astype(np.float32)
+    for block, packed in sums.items():
+        change = (np.frombuffer(packed) / tokens).reshape(-1, SIZE + 1).astype(np.float32)
+        part = slice(block * ROWS, (block + 1) * ROWS)
+        model.vectors[part] += change[:, :-1]
+        model.biases[part] += change[:, -1]
+    return model
 
 
 def _positions(numbers: list[list[int]], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -208,12 +289,13 @@ def _numbers(words: list[bytes], number: dict[bytes, int], other: int, end: int)
 
 @dataclass
 class Corpus:
-    """What is broadcast: totals, the head's counts, the model's vocabulary."""
+    """What is broadcast: totals, the head's counts, the model's vocabulary and the words of its clusters."""
 
     tokens: int
     distinct: int
     head: dict[bytes, int]
     vocabulary: list[bytes]
+    tail: list[bytes]
     other_tokens: int
     other_distinct: int
 
@@ -221,7 +303,7 @@ class Corpus:
     def of(cls, counts: DataFrame) -> Corpus:
         total = counts.agg(F.sum("c"), F.count("*")).first()
         tokens, distinct = total[0] or 0, total[1]
-        # words by eighths of powers of two: the levels from the top that fit into HEAD are fetched, nothing else
+        # words by eighths of powers of two: the levels from the top that fit into HEAD are fetched, and the model's words
         level = F.floor(F.log2("c") * 8)
         sizes = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
         lowest, room = max(sizes, default=0) + 1, HEAD
@@ -230,56 +312,60 @@ class Corpus:
             if room < 0:
                 break
             lowest = top
-        rows = counts.filter(level >= lowest).collect()
+        rows = counts.filter((level >= lowest) | (F.col("c") >= MIN_COUNT)).collect()
         head = {r.word.encode(): r.c for r in sorted(rows, key=lambda r: (-r.c, r.word))}
         end = END.encode()
         if distinct and end not in head:
             head[end] = counts.filter(F.col("word") == END).first().c
         vocabulary = sorted((w for w in list(head)[: VOCABULARY + 1] if w != end), key=lambda w: (-head[w], w))[:VOCABULARY] + [end]
-        inside = sum(head.get(w, 0) for w in vocabulary)
-        return cls(tokens, distinct, head, vocabulary, tokens - inside, max(0, distinct - len(vocabulary)))
+        known = set(vocabulary)
+        tail = [w for w, c in head.items() if c >= MIN_COUNT and w not in known]
+        inside = sum(head.get(w, 0) for w in (*vocabulary, *tail))
+        return cls(tokens, distinct, head, vocabulary, tail, tokens - inside, max(0, distinct - len(vocabulary) - len(tail)))
+
+    def width(self) -> int:
+        return max(CLUSTER, math.isqrt(len(self.tail)))
 
-    def noise(self) -> np.ndarray:
-        shares = np.array([self.head.get(w, 0) for w in self.vocabulary] + [self.other_tokens], dtype=np.float64) + 1
-        return shares / shares.sum()
+    def fresh(self) -> Model:
+        tail = np.array([self.head[w] for w in self.tail], dtype=np.float64)
+        starts = np.arange(0, len(tail), self.width())
+        clusters = np.add.reduceat(tail, starts) if len(tail) else tail
+        shares = np.concatenate(([self.head.get(w, 0) for w in self.vocabulary], [self.other_tokens], clusters)) + 1.0
+        return Model.fresh(shares / shares.sum(), tail / np.repeat(clusters, self.width())[: len(tail)], self.width())
+
+    def rows(self, model: Model) -> dict[bytes, int]:
+        """The model's row of each of its words."""
+        number = {w: k for k, w in enumerate(self.vocabulary)}
+        number.update((w, model.start + 1 + k) for k, w in enumerate(self.tail))
+        return number
 
 
 def fitted(texts: DataFrame, corpus: Corpus) -> Model:
     """The model trained on a table of texts (text)."""
-    model = Model.fresh(corpus.noise())
+    model = corpus.fresh()
     context = texts.sparkSession.sparkContext
+    number, other = context.broadcast(corpus.rows(model)), len(corpus.vocabulary)
     for turn in range(ROUNDS):
-        shared = context.broadcast((model, corpus.vocabulary))
+        shared = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            start, vocabulary = shared.value
-            number = {w: k for k, w in enumerate(vocabulary)}
-            other, end = len(vocabulary), len(vocabulary) - 1
-            trainer = None
+            start, trainer = shared.value, None
             for batch in batches:
                 for chunk in _chunks(as_bytes(batch.column(0))):
                     if trainer is None:
-                        trainer = Trainer(start.unpacked(start.packed()), seed=turn)
-                    far, near, token, _ = _positions([_numbers(w, number, other, end) for w in chunk], other + 1)
+                        trainer = Trainer(start.copied(), seed=turn)
+                    far, near, token, _ = _positions([_numbers(w, number.value, other, other - 1) for w in chunk], start.start)
                     trainer.learn(far, near, token)
             if trainer:
-                weighted = trainer.model.packed() * trainer.seen
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([float(trainer.seen)]), pa.array([weighted.tobytes()], pa.binary())], names=["tokens", "sums"]
-                )
+                for block, sums in trainer.changes(start):
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sums], pa.binary())], names=["block", "sums"])
 
         def summed(group: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x) for x in group["sums"])
-            return pd.DataFrame({"part": group["part"].iloc[:1], "tokens": [group["tokens"].sum()], "sums": [total.tobytes()]})
-
-        parts = texts.mapInArrow(run, "tokens double, sums binary")
-        parts = parts.withColumn("part", F.spark_partition_id() % 1024)
-        for count in (1024, 32):
-            parts = parts.withColumn("part", F.col("part") % count).groupBy("part").applyInPandas(summed, "part int, tokens double, sums binary")
-        rows = parts.collect()
-        tokens = sum(r.tokens for r in rows)
-        if tokens:
-            model = model.unpacked(sum(np.frombuffer(r.sums) for r in sorted(rows, key=lambda r: r.part)) / tokens)
+            total = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in group["sums"])
+            return pd.DataFrame({"block": group["block"].iloc[:1], "sums": [total.tobytes()]})
+
+        parts = texts.mapInArrow(run, "block int, sums binary").groupBy("block").applyInPandas(summed, "block int, sums binary")
+        model = _averaged(model, {r.block: bytes(r.sums) for r in parts.collect()})
     return model
 
 
@@ -298,7 +384,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = shared.value
-        number = {w: k for k, w in enumerate(known.vocabulary)}
+        number = known.rows(own)
         other, end = len(known.vocabulary), len(known.vocabulary) - 1
         floor = np.log10(known.tokens + known.distinct + 1)
         base_of = {w: np.log10(c + 1) - floor for w, c in known.head.items()}
@@ -308,7 +394,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         for batch in batches:
             row, base, score, size, in_head, rest = 0, [], [], [], [], []
             for chunk in _chunks(as_bytes(batch.column(3))):
-                far, near, token, begin = _positions([_numbers(w, number, other, end) for w in chunk], other + 1)
+                far, near, token, begin = _positions([_numbers(w, number, other, end) for w in chunk], own.start)
                 sums = np.add.reduceat(own.log_probabilities(far, near, token), begin) / _LOG10
                 for words, own_sum in zip(chunk, sums):
                     tail = Counter(w for w in words if w not in base_of)

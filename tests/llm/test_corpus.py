@@ -298,6 +298,28 @@ def test_model_probabilities_sum_to_one():
     assert np.exp(model.log_probabilities(far, near, np.arange(9))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_words_beyond_the_most_frequent_have_probabilities_of_their_own(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm, "CLUSTER", 64)
+    draw = random.Random(5)
+    rows = [(k, " ".join(f"k{w} v{w}" for w in (draw.randrange(600) for _ in range(600)))) for k in range(260)]
+    texts = spark.createDataFrame([(t,) for _, t in rows], "text string")
+    corpus = lm.Corpus.of(lm.token_counts(texts))
+    assert len(corpus.vocabulary) == 511 and len(corpus.tail) == 690 and corpus.other_tokens == 0
+    model = lm.fitted(texts, corpus)
+    number = corpus.rows(model)
+    every = np.array([*number.values(), len(corpus.vocabulary)])
+    for context in (number[corpus.tail[0]], number[corpus.vocabulary[0]], model.start):
+        same = np.repeat(context, len(every))
+        assert np.exp(model.log_probabilities(np.repeat(model.start, len(every)), same, every)).sum() == pytest.approx(1, abs=1e-4)
+    # beyond the most frequent words too, the word before tells more than the counts
+    pairs = [(number[b"k%d" % w], number[b"v%d" % w], corpus.head[b"v%d" % w]) for w in range(600) if number[b"v%d" % w] > model.start]
+    near, token, count = (np.array(x) for x in zip(*pairs))
+    gained = model.log_probabilities(np.repeat(model.start, len(near)), near, token) - np.log(count / corpus.tokens)
+    assert gained.mean() > 0.5
+
+
 # --- toxicity ----------------------------------------------------------------------------------------
 
 
