@@ -15,8 +15,10 @@ strings are judged on the input. Each window of SPAN bytes has an anchor: its GR
 
 Scale: the texts move once, both to cut out open surroundings and to apply the findings; the rest is
 hashes. Copies, however many, are settled in the stream; only different surroundings of one anchor
-share a shard, which is read in order of anchor in bounded pieces. A piece grows only with the
-surroundings of one anchor, whose queues then spill to disk.
+share a shard, which is read in order of anchor in pieces of about SHARD_BYTES. An anchor with more open
+surroundings than HOT is not sorted: its surroundings fall apart into their windows, each by the place
+of the anchor and a 128-bit hash of the window. A batch of texts sends the smallest id of each window
+and settles the others itself; a stream of constant memory compares the smallest ids.
 
 Hashes are 64 bits each for anchor and surroundings (12 bits of either side and 40 of the whole); a
 wrong removal needs two different surroundings with both equal.
@@ -42,6 +44,8 @@ from meterwise.llm.shared import as_bytes, mixed, written
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
 SHARD_BYTES = 1 << 21
+# as many surroundings as fill a shard
+HOT = SHARD_BYTES // (2 * SPAN - GRAM)
 _SLICE = 1 << 22
 _ALL = (1 << WINDOW) - 1
 _SIDE_BITS, _SIDE_MASK = 12, (1 << 12) - 1
@@ -161,13 +165,17 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(new_context)
         open_ = np.zeros(stop, dtype=bool)
         open_[heads] = _resembling(group[heads], context[heads])
+        # an anchor that is not here at once is hot in all its parts
+        parted = np.zeros(stop, dtype=bool)
         if not new_gram[0]:
-            open_[heads[group[heads] == group[0]]] = True
+            parted |= group == group[0]
         if not whole and stop == len(table):
-            open_[heads[group[heads] == group[-1]]] = True
+            parted |= group == group[-1]
+        open_[heads[parted[heads]]] = True
+        hot = parted | (np.bincount(group[open_], minlength=group[-1] + 1)[group] > HOT)
         keep = np.flatnonzero(copied | open_)
         last_gram, last_context, first_id = gram[-1], context[-1], lead[-1]
-        kept = part.take(pa.array(keep)).append_column("open", pa.array(open_[keep])).combine_chunks().to_batches()
+        kept = part.take(pa.array(keep)).append_column("open", pa.array(open_[keep])).append_column("hot", pa.array(hot[keep])).combine_chunks().to_batches()
         return (kept[0] if kept else None), (table.slice(stop) if stop < len(table) else None)
 
     for batch in batches:
@@ -182,17 +190,54 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
+def _hot_windows(surroundings: list[tuple]) -> Iterator[tuple]:
+    """Surroundings (context, id, bytes, lead) of hot anchors as rows (key, context, id, digest, lead) of their windows.
+
+    Here lead is the place of the anchor in the window. Of a window that recurs, the smallest id goes to meet others; the rest
+    are settled: a smaller id has the window, which an empty digest says.
+    """
+    rows, least = [], {}
+    for context, id_, around_, lead in surroundings:
+        for at in range(max(0, lead - SPAN + GRAM), min(lead, len(around_) - SPAN) + 1):
+            digest = xxhash.xxh3_128_digest(around_[at : at + SPAN], seed=lead - at)
+            rows.append((digest, context, id_, lead - at))
+            if digest not in least or id_ < least[digest]:
+                least[digest] = id_
+    sent = set()
+    for digest, context, id_, lead in rows:
+        if id_ > least[digest]:
+            yield context, context, id_, b"", lead
+        elif digest not in sent:
+            sent.add(digest)
+            yield int.from_bytes(digest[:8], "little", signed=True), context, id_, digest, lead
+
+
 def _shard_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of open rows sorted by gram and id: which of each row's windows a smaller id has."""
+    """Of open rows sorted by hot, gram, bytes and id: which of each row's windows a smaller id has."""
     held: list[tuple] = []
-    size = 0
+    size, first = 0, (None, None)
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        ids, contexts, masks = [], [], []
+        for *row, hot in zip(*(c.to_pylist() for c in batch.columns)):
+            if hot:
+                _, context, id_, digest, lead = row
+                if digest and digest != first[0]:
+                    first = digest, id_
+                if not digest or id_ > first[1]:
+                    ids.append(id_)
+                    contexts.append(context)
+                    masks.append(1 << (SPAN - GRAM - lead))
+                continue
             if size > SHARD_BYTES and row[0] != held[-1][0]:
                 yield from _masked(held)
                 held, size = [], 0
-            held.append(row)
+            held.append(tuple(row))
             size += len(row[3])
+        if ids:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, batch.schema.field(2).type), pa.array(contexts, pa.int64()), pa.array(masks, pa.int64())],
+                names=["id", "context", "mask"],
+            )
     if held:
         yield from _masked(held)
 
@@ -257,36 +302,46 @@ def removed_spans(text: bytes, masks: dict[int, int]) -> list[tuple[int, int]]:
     return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, text, wanted): the open surroundings, or their windows where the anchor is hot."""
+    for batch in batches:
+        out, hot = [[], [], [], [], [], []], []
+        for id_, text, pairs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            if not pairs:
+                continue
+            place, gram, context = marks(text)
+            context, first = np.unique(context.astype(np.int64), return_index=True)
+            known = np.isin(context, [pair["context"] for pair in pairs])
+            first = first[known]
+            of_hot = {pair["context"] for pair in pairs if pair["hot"]}
+            for p, g, c in zip(place[first].tolist(), gram[first].astype(np.int64).tolist(), context[known].tolist()):
+                lead = min(p, SPAN - GRAM)
+                if c in of_hot:
+                    hot.append((c, id_, around(text, p), lead))
+                    continue
+                for column, value in zip(out, (g, c, id_, around(text, p), lead, False)):
+                    column.append(value)
+        for row in _hot_windows(hot):
+            for column, value in zip(out, (*row, True)):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), batch.schema.field(0).type, pa.binary(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gram", "context", "id", "bytes", "lead", "hot"])
+
+
 def findings(narrow: DataFrame) -> DataFrame:
     """Of a table (id, text): (id, context, mask), for the anchors with that context the windows that a smaller id has."""
     id_type = narrow.schema["id"].dataType.simpleString()
     rows = narrow.filter("id IS NOT NULL").mapInArrow(_anchor_rows, f"gram bigint, context bigint, id {id_type}")
     sorted_rows = rows.repartition("gram").sortWithinPartitions("gram", "context", "id")
-    found = written(sorted_rows.mapInArrow(_findings, f"gram bigint, context bigint, id {id_type}, open boolean"))
+    found = written(sorted_rows.mapInArrow(_findings, f"gram bigint, context bigint, id {id_type}, open boolean, hot boolean"))
     whole = found.filter("NOT open").select("id", "context", F.lit(_ALL).cast("bigint").alias("mask"))
-    wanted = found.filter("open").groupBy("id").agg(F.collect_set(F.struct("context", "gram")).alias("wanted"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for id_, text, pairs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                if not pairs:
-                    continue
-                place, gram, context = marks(text)
-                context, first = np.unique(context.astype(np.int64), return_index=True)
-                known = np.isin(context, [pair["context"] for pair in pairs])
-                first = first[known]
-                for p, g, c in zip(place[first].tolist(), gram[first].astype(np.int64).tolist(), context[known].tolist()):
-                    for column, value in zip(out, (g, c, id_, around(text, p), min(p, SPAN - GRAM))):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), batch.schema.field(0).type, pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gram", "context", "id", "bytes", "lead"])
+    wanted = found.filter("open").groupBy("id").agg(F.collect_set(F.struct("context", "gram", "hot")).alias("wanted"))
 
     # a left join, as the one that applies the findings: the two share one exchange of the texts
     cuts = narrow.join(wanted, "id", "left").select("id", "text", "wanted").mapInArrow(
-        cut, f"gram bigint, context bigint, id {id_type}, bytes binary, lead bigint"
+        _cut, f"gram bigint, context bigint, id {id_type}, bytes binary, lead bigint, hot boolean"
     )
-    shards = cuts.repartition("gram").sortWithinPartitions("gram", "id")
+    shards = cuts.repartition("gram").sortWithinPartitions("hot", "gram", F.when(F.col("hot"), F.col("bytes")), "id")
     return whole.union(shards.mapInArrow(_shard_masks, f"id {id_type}, context bigint, mask bigint"))
 
 

@@ -164,6 +164,48 @@ def test_byte_repeats_equal_brute_force(spark, awkward, nothing):
     assert repeats.without_repeats(nothing).count() == 0
 
 
+def test_an_anchor_with_more_contexts_than_a_piece_holds_is_split(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "HOT", 20)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1000)
+    held, masked = [], repeats._masked
+    monkeypatch.setattr(repeats, "_masked", lambda rows: held.append(Counter(r[0] for r in rows)) or masked(rows))
+    draw, rows = random.Random(12), []
+    for doc in range(400):
+        before, after = ("".join(draw.choice("xy") for _ in range(60)) for _ in range(2))
+        if doc % 3:
+            # some of the bytes around the filler recur
+            before = before[:30] + "left side " * 3
+            after = "right side of it "[: draw.randint(1, 17)] + after
+        rows.append((doc, before[draw.randint(0, 40) :] + "0" * 16 + after))
+    rows += [(7, rows[8][1]), (900, rows[8][1] + rows[10][1])]
+    draw.shuffle(rows)
+
+    def run(step, rows, names, size):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + size]]) for k in range(0, len(rows), size)]
+        return [tuple(r.values()) for b in step(iter(batches)) for r in b.to_pylist()]
+
+    found = run(repeats._findings, sorted(run(repeats._anchor_rows, rows, ["id", "text"], 90)), ["gram", "context", "id"], 10_000)
+    wanted = {d: [{"gram": g, "context": c, "hot": h} for g, c, x, open_, h in found if open_ and x == d] for d, _ in rows}
+    assert any(pair["hot"] for pairs in wanted.values() for pair in pairs)
+    cuts = run(repeats._cut, [(d, t, wanted[d]) for d, t in rows], ["id", "text", "wanted"], 90)
+    cuts.sort(key=lambda r: (r[5], r[0], r[3] if r[5] else b"", r[2]))
+    masks = run(repeats._shard_masks, cuts, ["gram", "context", "id", "bytes", "lead", "hot"], 1000)
+    masks += [(x, c, repeats._ALL) for _, c, x, open_, _ in found if not open_]
+    assert all(count <= 20 for piece in held for count in piece.values())
+    got = []
+    for doc, text in rows:
+        body, own = text.encode(), {}
+        for x, context, mask in masks:
+            if x == doc:
+                own[context] = own.get(context, 0) | mask
+        spans = repeats.removed_spans(body, own)
+        kept = b"".join(body[a:b] for a, b in zip([0] + [b for _, b in spans], [a for a, _ in spans] + [len(body)]))
+        got.append((doc, len(body), len(body) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+    assert ordered(got) == brute_repeats(rows)
+
+
 # --- near copies -------------------------------------------------------------------------------------
 
 
