@@ -11,8 +11,11 @@ banded alignment finds the place with the fewest edits, and the passage counts a
 within the budget, a tenth of its length.
 
 Texts are compared as UTF-8 bytes with A-Z lowered and every white-space byte read as a space, so places
-are byte offsets in the text as given. Benchmark items longer than PASSAGE bytes are cut into passages;
-finding one is a leak of the item. Items of fewer than MIN_BYTES bytes are no evidence and are not sought.
+are byte offsets in the text as given. Benchmark items longer than PASSAGE bytes are cut into passages, a
+new one every half passage, the last at the end; finding one is a leak of the item. Passages have PASSAGE
+bytes or less, so any run of 3 / 2 * PASSAGE bytes of an item holds a whole one. Items of fewer than
+MIN_BYTES bytes leak where they occur exactly, between word boundaries: no letter, digit or byte beyond
+ASCII continues a word of the item. Items without a word are not sought.
 
 Scale: documents are read once and never shuffled. The benchmark is the stated query set: it is taken in
 blocks of about BLOCK_BYTES bytes, by hash, and each block is broadcast, so the size of a broadcast does
@@ -43,6 +46,9 @@ _BITS = 22
 _FOLD = bytes(ord(" ") if b in b"\t\n\x0b\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+
+
 def folded(text: bytes) -> bytes:
     return text.translate(_FOLD)
 
@@ -71,15 +77,27 @@ class Passages:
     def __init__(self, items: list[tuple[int, bytes]]):
         """`items`: (position of the item, its folded text)."""
         self.owner, self.text = [], []
+        self.short: dict[bytes, list[int]] = {}
         for owner, text in items:
             if len(text) < MIN_BYTES:
+                if text.strip(b" "):
+                    self.short.setdefault(text.strip(b" "), []).append(owner)
                 continue
             parts = max(1, -(-len(text) // PASSAGE))
             width = -(-len(text) // parts)
-            for at in range(0, len(text), width):
+            starts = {0} if parts == 1 else {*range(0, len(text), width), *range(width // 2, len(text) - width, width), len(text) - width}
+            for at in sorted(starts):
                 if len(text[at : at + width]) >= MIN_BYTES:
                     self.owner.append(owner)
                     self.text.append(text[at : at + width])
+        # short items by the length of their start, at most Q bytes, and the start as a value
+        self.starts: dict[int, np.ndarray] = {}
+        self.lengths: dict[bytes, list[int]] = {}
+        for text in sorted(self.short, key=len):
+            self.lengths.setdefault(text[:Q], []).append(len(text))
+        for n in {len(start) for start in self.lengths}:
+            own = [int.from_bytes(start, "little") for start in self.lengths if len(start) == n]
+            self.starts[n] = np.array(sorted(own), dtype=np.uint64)
         sizes = np.array([len(t) for t in self.text], dtype=np.int64)
         self.budget = np.array([edit_budget(n) for n in sizes], dtype=np.int64)
         self.needed = sizes - Q + 1 - Q * self.budget
@@ -97,9 +115,34 @@ class Passages:
 
     def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """Leaks in one folded text: (item position, start, end, edits), overlapping ones of an item reduced to the best."""
-        found: list[tuple[int, int, int, int]] = []
+        found = list(self._exact(text)) if self.short else []
         if not self.text or len(text) < Q:
-            return found
+            return sorted(found)
+        return sorted(found + self._near(text))
+
+    def _exact(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
+        """Short items between word boundaries; of places of an item that overlap, the first."""
+        free: dict[bytes, int] = {}
+        for low in range(0, len(text), SLICE):
+            part = np.frombuffer(text[low : low + SLICE + Q], dtype=np.uint8)
+            grams = _grams(np.concatenate((part, np.zeros(Q - 1, dtype=np.uint8))))[: min(SLICE, len(text) - low)]
+            word = _WORD[np.frombuffer(text[max(0, low - 1) : low + len(grams)], dtype=np.uint8)]
+            word = word if low else np.concatenate(([False], word))
+            begins = np.flatnonzero(~(word[1:] & word[:-1]))
+            for n, starts in self.starts.items():
+                own = grams[begins] & np.uint64((1 << 8 * n) - 1)
+                for at in (low + begins[np.isin(own, starts)]).tolist():
+                    for size in self.lengths.get(text[at : at + n], ()):
+                        item, end = text[at : at + size], at + size
+                        if item not in self.short or at < free.get(item, 0):
+                            continue
+                        if end < len(text) and _WORD[text[end]] and _WORD[text[end - 1]]:
+                            continue
+                        free[item] = end
+                        yield from ((owner, at, end, 0) for owner in self.short[item])
+
+    def _near(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        found: list[tuple[int, int, int, int]] = []
         step = max(SLICE, 4 * self.reach)
         at = 0
         while True:
@@ -112,7 +155,7 @@ class Passages:
         for hit in sorted(set(found), key=lambda h: (h[0], h[3], h[1], h[2])):
             if not any(b[0] == hit[0] and b[1] < hit[2] and hit[1] < b[2] for b in best):
                 best.append(hit)
-        return sorted(best)
+        return best
 
     def _slice(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
         grams = _grams(np.frombuffer(text, dtype=np.uint8))

@@ -305,6 +305,25 @@ def test_leaks_are_those_within_the_edit_budget(spark, nothing):
     assert leaks.leaks(nothing, bench).count() == 0
 
 
+def test_quotations_across_a_cut_and_short_items_leak(spark):
+    long, words = prose(300, 300)[:1200], "Is 7 a prime?"
+    items = spark.createDataFrame([(1, long), (2, words), (3, "ox"), (4, " "), (5, ""), (6, "ox"), (7, prose(301, 500)[:1801])], "item_id bigint, text string")
+    rows = [
+        (1, "qq " + long[100:1000] + " qq"), (2, "He asked (is 7 a\tPRIME?), twice: Is 7 a prime?"), (3, "This 7 a prime? foxes, oxen"), (4, "an ox\u00e9 ox"),
+        (5, "OX"), (6, prose(301, 500)[903:1802]), (7, "is 7 a prim"), (8, "x" * (leaks.SLICE - 1) + " ox"), (9, "x" * (leaks.SLICE - 1) + "ox"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ordered((r.id, r.item_id) for r in leaks.leaks(docs, items).collect())
+    assert got == ordered([(1, 1), (2, 2), (2, 2), (4, 3), (4, 6), (5, 3), (5, 6), (6, 7), (8, 3), (8, 6)])
+    assert {r.doc_id for r in leaks.without_leaks(docs, items).collect()} == {3, 7, 9}
+    # every run of 899 bytes of any long item is found
+    for size in (601, 1199, 1200, 1801, 5000):
+        text = leaks.folded(prose(size, 2000)[:size].encode())
+        known = leaks.Passages([(0, text)])
+        for at in range(0, max(1, size - 898), 97):
+            assert known.search(text[at : at + 899]), (size, at)
+
+
 # --- language model ----------------------------------------------------------------------------------
 
 
