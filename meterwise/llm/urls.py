@@ -4,10 +4,12 @@ The tree is built level by level. At every level, below (host, template so far):
 
 * variable segments become wildcards: digit runs are `{n}` and long hexadecimal runs `{x}`; of the
   other segments, those seen in less than one of RARE of the parent's pages become `*` where the
-  parent has more than WIDE different ones;
+  parent has more than WIDE different ones, unless the share of bad pages differs from that of the
+  rest of these by more than chance;
 * branches that are statistically alike merge into `~`: a branch keeps its name only where the share
   of bad pages below it differs from that of its siblings by more than chance (two-proportion test);
-* levels below LEVELS are one tail, `**`.
+* levels go on until paths end or no place is left with good and bad labelled pages below it, where
+  nothing could keep its name: what follows is `~` at every level.
 
 A page is blocked where the smoothed purity of its template, (good + GOOD_PRIOR) / (labelled +
 GOOD_PRIOR + BAD_PRIOR), is below MIN_PURITY. A template without labels is allowed.
@@ -36,7 +38,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-LEVELS = 4
+LEVELS = 4  # of the SQL counterpart, which ends there
 WIDE, RARE = 20, 50
 ALIKE = 3.84
 GOOD_PRIOR, BAD_PRIOR = 4, 1
@@ -65,52 +67,51 @@ def fixed_rule(host: Column, path: Column) -> tuple[Column, Column]:
     return rule, action
 
 
-def _level_columns() -> list[str]:
-    return [f"s{k}" for k in range(1, LEVELS + 1)]
-
-
 def shapes(places: DataFrame) -> DataFrame:
-    """The columns host, s1..s<LEVELS>: segments with digit and hexadecimal runs generalised, '' where there is none."""
-    segments = F.array_remove(F.split("path", "/"), "")
-    cut = places.withColumn("segments", segments)
-    for k, name in enumerate(_level_columns()):
-        part = F.coalesce(F.get("segments", F.lit(k)), F.lit(""))
-        part = F.regexp_replace(part, "[0-9a-fA-F]{16,}", "{x}")
-        part = F.regexp_replace(part, "[0-9]+", "{n}")
-        if k == LEVELS - 1:
-            part = F.when(F.size("segments") > LEVELS, F.lit("**")).otherwise(part)
-        cut = cut.withColumn(name, part)
-    return cut.drop("segments")
+    """The column segments: those of the path, with digit and hexadecimal runs generalised."""
+    part = lambda x: F.regexp_replace(F.regexp_replace(x, "[0-9a-fA-F]{16,}", "{x}"), "[0-9]+", "{n}")
+    return places.withColumn("segments", F.transform(F.array_remove(F.split("path", "/"), ""), part))
 
 
 def templates(counted: DataFrame) -> DataFrame:
-    """Shapes (host, s1.., n, labelled, bad) with the template of each, t1.., from the root down."""
-    tree = counted
-    for k, name in enumerate(_level_columns()):
-        above = ["host", *(f"t{j}" for j in range(1, k + 1))]
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
+    """Shapes (host, segments, n, labelled, bad) with the template of each, from the root down."""
+    above, own = ["host", "template"], ["host", "segments", "n", "labelled", "bad", "template"]
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
+    tree, level, ended = counted.withColumn("template", F.lit("")), 0, []
+    while True:
+        parents = tree.groupBy(*above).agg(F.sum("n").alias("whole"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         # every level is read several times, so it is written down: the plan would grow with each level
-        tree = settled(tree)
-        branches = settled(tree.groupBy(*above, name).agg(*sums))
-        parents = branches.groupBy(*above).agg(F.count("*").alias("kinds"), F.sum("n").alias("whole"))
-        folds = (F.col("kinds") > WIDE) & (F.col("n") * RARE < F.col("whole")) & ~F.col(name).contains("{")
-        branches = settled(branches.join(parents, above).withColumn("t", F.when(folds, F.lit("*")).otherwise(F.col(name))))
-        grown = branches.groupBy(*above, "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        total = grown.groupBy(*above).agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-        named = grown.join(total, above).withColumn("own", _differs())
-        place = branches.select(*above, name, "t").join(named.select(*above, "t", "own"), [*above, "t"])
-        place = place.select(*above, name, F.when(F.col("own") | (F.col("t") == ""), F.col("t")).otherwise(F.lit("~")).alias(f"t{k + 1}"))
-        tree = tree.join(place, [*above, name])
-    return tree
-
-
-def _differs() -> Column:
-    """Whether a branch's share of bad pages differs from its siblings'.
+        tree = settled(tree.join(parents, above))
+        both = (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled"))
+        rest = F.repeat(F.lit("/~"), F.size("segments") - level)
+        ended.append(tree.filter(~both).withColumn("template", F.concat("template", rest)).select(*own))
+        tree = tree.filter(both).withColumn("name", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
+        if tree.isEmpty():
+            return reduce(DataFrame.union, ended)
+        branches = settled(tree.groupBy(*above, "name", "whole", "all_labelled", "all_bad").agg(*sums))
+        kinds = branches.groupBy(*above).agg(F.count("*").alias("kinds"))
+        rare = (F.col("kinds") > WIDE) & (F.col("n") * RARE < F.col("whole")) & ~F.col("name").contains("{") & (F.col("name") != "")
+        branches = branches.join(kinds, above).withColumn("rare", rare)
+        folded = branches.filter("rare").groupBy(*above).agg(F.sum("labelled").alias("rare_labelled"), F.sum("bad").alias("rare_bad"))
+        folds = F.col("rare") & ~F.coalesce(_differs("rare_labelled", "rare_bad"), F.lit(False))
+        branches = settled(branches.join(folded, above, "left").withColumn("t", F.when(folds, F.lit("*")).otherwise(F.col("name"))))
+        grown = branches.groupBy(*above, "t", "all_labelled", "all_bad").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        named = grown.withColumn("own", _differs("all_labelled", "all_bad")).select(*above, "t", "own")
+        place = branches.select(*above, "name", "t").join(named, [*above, "t"])
+        place = place.select(*above, "name", F.when(F.col("own") | (F.col("t") == ""), F.col("t")).otherwise(F.lit("~")).alias("t"))
+        tree = tree.join(place, [*above, "name"])
+        ended.append(tree.filter("name = ''").select(*own))
+        tree = tree.filter("name <> ''").withColumn("template", F.concat("template", F.lit("/"), "t")).select(*own)
+        level += 1
+
+
+def _differs(labelled: str, bad: str) -> Column:
+    """Whether a branch's share of bad pages differs from its siblings', given the sums of all of them.
 
     With b of n bad here, c of m bad in the siblings, N = n + m and B = b + c:
     (b*m - c*n)^2 * N > ALIKE * n*m * B*(N-B), the two-proportion test without its divisions.
     """
-    n, b, whole, worse = (F.col(c).cast("double") for c in ("labelled", "bad", "all_labelled", "all_bad"))
+    n, b, whole, worse = (F.col(c).cast("double") for c in ("labelled", "bad", labelled, bad))
     m, c = whole - n, worse - b
     gap = b * m - c * n
     return gap * gap * whole > F.lit(ALIKE).cast("double") * n * m * worse * (whole - worse)
@@ -125,24 +126,18 @@ def judged(
     """
     places = located(pages, id_column, url_column)
     known = labels.select("key", "bad").filter("key IS NOT NULL").groupBy("key").agg(F.max("bad").cast("bigint").alias("bad"))
-    levels = _level_columns()
     shaped = shapes(places)
     marked = shaped.withColumn("key", key).join(known, "key", "left")
-    counted = marked.groupBy("host", *levels).agg(
+    counted = marked.groupBy("host", "segments").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
     tree = settled(templates(counted))
-    names = [f"t{k}" for k in range(1, LEVELS + 1)]
-    pure = tree.groupBy("host", *names).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    pure = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     purity = (F.col("labelled") - F.col("bad") + GOOD_PRIOR) / (F.col("labelled") + GOOD_PRIOR + BAD_PRIOR)
     pure = pure.withColumn("purity", purity.cast("double"))
-    text = reduce(lambda a, b: F.concat(a, F.when(F.col(b) == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.col(b)))), names, F.lit(""))
-    found = (
-        tree.select("host", *levels, *names).join(pure.select("host", *names, "purity"), ["host", *names])
-        .select("host", *levels, text.alias("template"), "purity")
-    )
+    found = tree.select("host", "segments", "template").join(pure.select("host", "template", "purity"), ["host", "template"])
     rule, action = fixed_rule(F.col("host"), F.col("path"))
     own = F.when(F.col("purity") < MIN_PURITY, F.lit("block")).otherwise(F.lit("allow"))
-    return shaped.join(found, ["host", *levels]).select(
+    return shaped.join(found, ["host", "segments"]).select(
         "id", "host", "path", rule.alias("rule"), "template", "purity", F.coalesce(action, own).alias("verdict")
     )

@@ -434,6 +434,19 @@ def test_rules_and_templates(spark):
     assert urls.judged(empty, spark.createDataFrame(labels, "key bigint, bad int"), key).count() == 0
 
 
+def test_rare_and_deep_branches_are_judged_by_their_labels(spark):
+    # a hundred sections of one host, two of them bad, and a choice at the sixth segment
+    pages = [(k, f"http://hot.test/{chr(97 + k % 100 // 10)}{chr(97 + k % 10)}/{k}.html") for k in range(4000)]
+    pages += [(k, f"http://deep.test/a/b/c/d/e/{'spam' if k % 2 else 'good'}/{k}.html") for k in range(4000, 4080)]
+    pages += [(k, "http://deep.test" + "/z" * 300 + f"/{k}.html") for k in range(4080, 4090)]
+    bad = lambda k: k % 100 in (7, 42) if k < 4000 else k < 4080 and k % 2 == 1
+    labels = spark.createDataFrame([(k, int(bad(k))) for k in range(4090)], "key bigint, bad int")
+    key = F.expr(r"try_cast(regexp_extract(path, '/([0-9]+)\\.html$', 1) AS bigint)")
+    got = urls.judged(spark.createDataFrame(pages, "page_id bigint, url string"), labels, key).collect()
+    assert len(got) == 4090 and {(r.id, r.verdict) for r in got} == {(k, "block" if bad(k) else "allow") for k in range(4090)}
+    assert len({r.template for r in got if r.host == "hot.test"}) == 3
+
+
 # --- mixing ------------------------------------------------------------------------------------------
 
 
