@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import choices, leaks, lines, lm, mixing, nearcopies, quality, repeats, tokens, toxicity, urls
+from meterwise.llm import choices, leaks, lines, lm, mixing, nearcopies, quality, repeats, tokens, toxicity, urls, whitening
 from meterwise.llm.sql import SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,6 +76,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_mix": op2_mix,
@@ -87,5 +91,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_near_copies": op9_near_copies,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
     "pipeline": corpus_pipeline.run,
 }
