@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import choices, leaks, lines, lm, mixing, nearcopies, quality, repeats, tokens, toxicity, urls, whitening
+from meterwise.llm import choices, fingerprints, leaks, lines, lm, mixing, nearcopies, quality, repeats, tokens, toxicity, urls, whitening
 from meterwise.llm.sql import SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,6 +80,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_mix": op2_mix,
@@ -92,5 +96,6 @@ QUERIES = {
     "op9_near_copies": op9_near_copies,
     "op10_line_dedup": op10_line_dedup,
     "op11_whitening": op11_whitening,
+    "op13_fingerprints": op13_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
