@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import choices, fingerprints, leaks, lines, lm, mixing, nearcopies, quality, repeats, tokens, toxicity, urls, whitening
+from meterwise.llm import choices, fingerprints, leaks, lines, lm, mixing, nearcopies, prefixes, quality, repeats, tokens, toxicity, urls, whitening
 from meterwise.llm.sql import SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,6 +80,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are rebuilt first, so that they share what they begin with."""
+    return prefixes.trie(*prefixes.branched(prefixes.numbered(table(spark, sf_dir, "conversations"))))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -96,6 +101,7 @@ QUERIES = {
     "op9_near_copies": op9_near_copies,
     "op10_line_dedup": op10_line_dedup,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_fingerprints": op13_fingerprints,
     "pipeline": corpus_pipeline.run,
 }

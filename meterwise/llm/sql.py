@@ -231,6 +231,46 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM base LEFT JOIN ends USING (doc_id) LEFT JOIN pieces USING (doc_id)"""
 
 
+def _prefixes() -> str:
+    # crc32 bit by bit: a byte goes in before the first of eight shifts
+    bits = "flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"""list_reduce(list_prepend(4294967295::BIGINT, {bits}),
+      lambda c, x: xor(xor(c, x) >> 1, 3988292384::BIGINT * (xor(c, x) & 1)))"""
+    return f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role,
+         sha256(encode(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS hash,
+         CAST(len(list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '')) AS BIGINT) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), places AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, hash) AS place, hash, words FROM said
+), plans AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor({crc}, 4294967295::BIGINT) % 4 AS h FROM (SELECT DISTINCT conv_id FROM said)
+), heads AS (SELECT plans.conv_id, place, hash, words FROM plans JOIN places ON places.conv_id = base WHERE place <= h
+), taken AS (SELECT plans.conv_id, h, count(heads.place) AS n FROM plans LEFT JOIN heads USING (conv_id) GROUP BY 1, 2
+), turns AS (
+  SELECT * FROM heads UNION ALL SELECT conv_id, place - h + n, hash, words FROM places JOIN taken USING (conv_id) WHERE place > h
+), paths AS (
+  SELECT conv_id, place AS depth, words, md5(array_to_string(list(hash) OVER (PARTITION BY conv_id ORDER BY place), ',')) AS prefix FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM plans
+), named AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, prefix) AS name, max(depth) OVER (PARTITION BY conv_id) AS length FROM paths
+), nodes AS (
+  SELECT name, depth, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE length = depth) AS ends
+  FROM named GROUP BY 1, 2
+), placed AS (
+  SELECT nodes.*, up.name AS parent FROM nodes LEFT JOIN named up ON up.conv_id = nodes.name AND up.depth = nodes.depth - 1
+), children AS (SELECT parent AS name, depth - 1 AS depth, count(*) AS n FROM placed WHERE depth > 0 GROUP BY 1, 2
+), totals AS (
+  SELECT top.name, top.depth, sum(u.saved) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM nodes u LEFT JOIN children c ON c.name = u.name AND c.depth = u.depth
+  JOIN named top ON top.conv_id = u.name AND top.depth <= u.depth
+  GROUP BY 1, 2
+)
+SELECT p.name AS conv_id, CAST(p.depth AS BIGINT) AS depth, p.parent AS parent_conv_id, p.n_convs, coalesce(c.n, 0) AS n_children,
+       t.leaves AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM placed p JOIN totals t USING (name, depth) LEFT JOIN children c ON c.name = p.name AND c.depth = p.depth"""
+
+
 SQL: dict[str, str] = {
     "op2_mix": _mixing(),
     "op3_quality_rules": _quality(),
@@ -238,4 +278,5 @@ SQL: dict[str, str] = {
     "op8_url_filter": _urls(),
     "op9_near_copies": _near_copies(),
     "op10_line_dedup": _lines(),
+    "op12_prefix_trie": _prefixes(),
 }
