@@ -486,40 +486,55 @@ def usable_share(spark, sf_dir):
 )
 def invocation_derived_fields(spark, sf_dir):
     return iv.with_derived(inv(spark, sf_dir)).select(
-        "request_id", F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("hour"), F.col("day").cast("string").alias("day"),
+        "request_id", F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ssxxx").alias("hour"), F.col("day").cast("string").alias("day"),
         "total_tokens", "has_token_counts", "billable_input",
     )
 
 
-def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five events to a file: lines, an array, a lone pretty-printed record, or lines with a bad one."""
+_FILE = 250
+
+
+def log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files of 249 records: lines, an array, lines with bad ones between; and files of one record over two lines."""
+    n, first = F.col("n"), F.col("n") % _FILE == 1
+    form = F.floor(n / _FILE) % 3
     rows = inv(spark, sf_dir).select(
         F.substring("source", F.lit(8), F.lit(20)).cast("bigint").alias("n"),
         F.to_json(F.struct(F.lit("ModelInvocationLog").alias("schemaType"), F.col("request_id").alias("requestId"))).alias("line"),
     )
-    group = F.floor(F.col("n") / 5)
-    files = rows.groupBy(group.alias("f")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines")
-    )
-    text = (
-        F.when(F.col("f") % 4 == 0, F.concat(F.array_join("lines", "\n"), F.lit("\n")))
-        .when(F.col("f") % 4 == 1, F.concat(F.lit(" [\n"), F.array_join("lines", ",\n"), F.lit("]")))
-        .when(F.col("f") % 4 == 2, F.replace(F.get("lines", F.lit(0)), F.lit(","), F.lit(",\n  ")))
-        .otherwise(F.concat(F.lit("\r\n"), F.array_join("lines", "\r\n{oops\r\n")))
+    last = n % _FILE == _FILE - 1
+    alone = n % _FILE == 0
+    lines = (
+        F.when(alone, F.replace("line", F.lit(","), F.lit(",\n  ")))
+        .when(form == 0, F.col("line"))
+        .when(form == 1, F.concat(F.when(first, " [\n").otherwise(""), "line", F.when(last, "]").otherwise(",")))
+        .otherwise(F.concat(F.lit("\r\n"), "line", F.lit("\r\n{oops")))
     )
-    return files.select(F.concat(F.lit("file"), F.col("f").cast("string")).alias("source"), text.alias("text"), F.lit(None).cast("string").alias("problem"))
+    name = F.concat(F.when(alone, "record").otherwise("file"), F.when(alone, n).otherwise(F.floor(n / _FILE)).cast("string"))
+    folder = scratch(spark)
+    dealt = rows.select(name.alias("name"), "n", lines.alias("value")).repartition("name").sortWithinPartitions("name", "n")
+    dealt.select("name", "value").write.partitionBy("name").text(folder)
+    return folder
 
 
 @query(
     "log_layouts",
-    """WITH n AS (SELECT event_id AS n, event_id // 5 AS f, row_number() OVER (PARTITION BY event_id // 5 ORDER BY event_id) AS i, 'r' || lpad(CAST(event_id AS VARCHAR), 10, '0') AS request_id FROM events)
-    SELECT 'file' || f || '#' || CASE WHEN f % 4 = 3 THEN 2 * i ELSE i END AS source, CAST(CASE WHEN f % 4 = 3 THEN 2 * i ELSE i END AS INT) AS position, request_id, CAST(NULL AS VARCHAR) AS issue_kind FROM n WHERE f % 4 <> 2
-    UNION ALL SELECT 'file' || f, 0, request_id, NULL FROM n WHERE f % 4 = 2 AND i = 1
-    UNION ALL SELECT 'file' || f || '#' || (2 * i - 1), CAST(2 * i - 1 AS INT), NULL, 'bad_json' FROM n WHERE f % 4 = 3 AND i > 1""",
+    f"""WITH n AS (SELECT event_id AS n, event_id // {_FILE} AS f, event_id % {_FILE} AS i, 'r' || lpad(CAST(event_id AS VARCHAR), 10, '0') AS request_id,
+        -- the last file of arrays has no end if it is not full: it is read by line
+        event_id // {_FILE} % 3 = 1 AND max(event_id % {_FILE}) OVER (PARTITION BY event_id // {_FILE}) < {_FILE} - 1 AS cut
+      FROM events)
+    SELECT 'file' || f || '#' || CASE WHEN cut THEN i + 1 WHEN f % 3 = 2 THEN 3 * i - 1 ELSE i END AS source, CASE WHEN cut THEN i + 1 WHEN f % 3 = 2 THEN 3 * i - 1 ELSE i END AS position,
+      CASE WHEN NOT cut THEN request_id END AS request_id, CASE WHEN cut THEN 'bad_json' END AS issue_kind FROM n WHERE i <> 0
+    UNION ALL SELECT 'record' || n, 0, request_id, NULL FROM n WHERE i = 0
+    UNION ALL SELECT 'file' || f || '#' || (3 * i), 3 * i, NULL, 'bad_json' FROM n WHERE f % 3 = 2 AND i <> 0
+    UNION ALL SELECT 'file' || f || '#1', 1, NULL, 'bad_json' FROM n WHERE cut AND i = 1""",
 )
 def log_layouts(spark, sf_dir):
-    records = logs.decode_records(log_texts(spark, sf_dir))
-    return records.select("source", "position", F.try_variant_get("raw", "$.requestId", "string").alias("request_id"), "issue_kind")
+    records = logs.read_records(spark, log_folder(spark, sf_dir), (".txt",))
+    name, number = F.regexp_extract("source", "name=([a-z0-9]+)/", 1), F.regexp_extract("source", "#[0-9]+$", 0)
+    return records.select(
+        F.concat(name, number).alias("source"), "position", F.try_variant_get("raw", "$.requestId", "string").alias("request_id"), "issue_kind"
+    )
 
 
 _STAMPS = """CASE event_id % 12 WHEN 0 THEN '"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z"' WHEN 1 THEN '"' || strftime(ts, '%Y-%m-%d') || '"'
@@ -577,13 +592,24 @@ def content_of_requests(spark, sf_dir):
     return found.select("request_id", "source", "model_id", "input_body")
 
 
-@query("log_files_round_trip", f"WITH {_PARSED} SELECT coalesce(issue_kind, 'usable') AS outcome, count(*) AS records FROM issues GROUP BY 1")
+_ROUND_TRIP = [c for c in iv.COLUMNS if c not in ("source", "ts")]
+
+
+@query(
+    "log_files_round_trip",
+    f"WITH {_PARSED} SELECT coalesce(issue_kind, 'usable') AS outcome, CASE WHEN issue_kind IS NULL THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS ts, "
+    + ", ".join(
+        f"CASE WHEN issue_kind IS NULL{' AND event_id % 50 <> 8' if c.startswith('cache_') else ''} THEN {c} END AS {c}" for c in _ROUND_TRIP
+    )
+    + " FROM issues",
+)
 def log_files_round_trip(spark, sf_dir):
-    """Writes the lines as compressed files and reads the folder back whatever its layout."""
+    """Writes the lines as compressed files, reads the folder back whatever its layout, and returns every record."""
     folder = scratch(spark)
     log_lines(spark, sf_dir).select("line").write.option("compression", "gzip").text(folder)
-    back = iv.parse(logs.read_records(spark, folder))
-    return back.groupBy(F.coalesce("issue_kind", F.lit("usable")).alias("outcome")).agg(F.count("*").alias("records"))
+    back = iv.parse(logs.read_records(spark, folder)).withColumn("ts", F.date_format("ts", _MICROS))
+    usable = F.col("issue_kind").isNull()
+    return back.select(F.coalesce("issue_kind", F.lit("usable")).alias("outcome"), *[F.when(usable, F.col(c)).alias(c) for c in ("ts", *_ROUND_TRIP)])
 
 
 # --- price lists ----------------------------------------------------------------------------------

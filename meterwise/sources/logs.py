@@ -2,120 +2,34 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.functions.json import document, is_document, kind, wrapped
+from meterwise.functions.json import document, is_document, wrapped
 from meterwise.functions.text import strip
 from meterwise.settings import LOG_SUFFIXES
-
-# Fixed value: everything that ends a line in a text file.
-_LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-_DECODED = "source string, text string, problem string"
-_ARROW = pa.schema(
-    [("source", pa.large_string()), ("text", pa.large_string()), ("problem", pa.large_string())]
-)
-
-
-def log_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LOG_SUFFIXES) -> DataFrame:
-    """Every log file under `path` with its bytes; a path naming one file is read as it is."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(F.col("path").alias("source"), "content")
-    )
-    wanted = "(?i)(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"
-    named = F.regexp_replace(F.lit(path), r"^[a-z0-9]+:/*(?=/)", "")
-    only = F.regexp_replace("source", r"^[a-z0-9]+:/*(?=/)", "") == named
-    return files.filter(F.col("source").rlike(wanted) | only)
+from meterwise.sources import files
 
 
 def count_sources(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LOG_SUFFIXES) -> int:
-    """How many files a read of `path` looks at; empty and unreadable ones count too.
-
-    The scan itself skips empty files, so the count comes from the file index behind it.
-    """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
-    named = [f for f in listed if f.lower().endswith(tuple(s.lower() for s in suffixes))]
-    return len(named) or len([f for f in listed if f.endswith(path.rstrip("/"))])
-
-
-def _inflate(packed: bytes) -> bytes:
-    parts = []
-    while packed:
-        member = zlib.decompressobj(wbits=31)
-        parts.append(member.decompress(packed) + member.flush())
-        if not member.eof:
-            raise EOFError("compressed file ended before its end marker")
-        packed = member.unused_data.lstrip(b"\0")
-    return b"".join(parts)
-
-
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents to text, one file at a time; a damaged file gives a row with the problem."""
-    for batch in batches:
-        for source, content in zip(batch.column(0), batch.column(1)):
-            data, text, problem = content.as_py(), None, None
-            try:
-                # The first two bytes say whether a file is compressed, not its name.
-                text = (_inflate(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace")
-            except (zlib.error, EOFError) as error:
-                problem = str(error)
-            yield pa.RecordBatch.from_pylist(
-                [{"source": source.as_py(), "text": text, "problem": problem}], schema=_ARROW
-            )
+    """How many files a read of `path` looks at; empty and unreadable ones count too."""
+    return files.listed(spark, path, suffixes).filter("problem IS NULL").count()
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """Contents as text, inflated where needed: source, text, problem. Bad UTF-8 is replaced."""
-    return files.mapInArrow(_decode, _DECODED)
+def read_records(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LOG_SUFFIXES) -> DataFrame:
+    """One row per record of every log file under `path`, or of the one file it names, whatever its layout.
 
-
-def decode_records(texts: DataFrame) -> DataFrame:
-    """One row per record: `raw` variant, its `source`, its `position`, and `problem` if unusable.
-
-    `texts` has `source`, `text` and `problem`, one row per file. A text that is one JSON document
-    is one record, or one per element of an array; any other text is taken line by line, blank
-    lines skipped. Columns: source, path, position, raw, issue_kind, detail. Each file is read and
-    parsed once: its pieces go through a single generator.
+    Columns: source, path, position, raw (variant), issue_kind, detail. A file of one record is its own source; elements
+    of an array and lines add their number to it; blank lines are skipped but counted. A file that cannot be
+    opened or inflated is one row with an issue. Reading lists and inspects the files at once.
     """
-    parsed = texts.select("source", "text", "problem", wrapped(F.col("text")).alias("parsed")).select(
-        "source", "text", "problem", document(F.col("parsed")).alias("doc"),
-        is_document(F.col("parsed")).alias("whole"),
-    )
-    no_doc, no_line = F.lit(None).cast("variant"), F.lit(None).cast("string")
-
-    def piece(at: Column, raw: Column, line: Column) -> Column:
-        return F.struct(at.cast("int").alias("position"), raw.alias("raw"), line.alias("line"))
-
-    elements = F.transform(
-        F.try_variant_get("doc", "$", "array<variant>"), lambda x, i: piece(i + 1, x, no_line)
+    pieces = files.pieces(spark, path, suffixes)
+    numbered = F.concat("path", F.lit("#"), F.col("position").cast("string"))
+    rows = pieces.select(
+        F.when(F.col("position") == 0, F.col("path")).otherwise(numbered).alias("source"), "path", "position", "line", "problem"
     )
-    lines = F.filter(
-        F.transform(F.split("text", _LINE_BREAK), lambda x, i: piece(i + 1, no_doc, x)),
-        lambda p: strip(p["line"]) != "",
-    )
-    pieces = (
-        F.when(F.col("problem").isNotNull(), F.array(piece(F.lit(0), no_doc, no_line)))
-        .when(F.col("whole") & kind(F.col("doc")).startswith("ARRAY"), elements)
-        .when(F.col("whole"), F.array(piece(F.lit(0), F.col("doc"), no_line)))
-        .otherwise(lines)
-    )
-    rows = parsed.select(F.col("source").alias("path"), "problem", F.explode(pieces).alias("p")).select(
-        F.when(F.col("p.position") == 0, F.col("path"))
-        .otherwise(F.concat("path", F.lit("#"), F.col("p.position").cast("string")))
-        .alias("source"),
-        "path", "problem", "p.position", "p.raw", "p.line",
-    )
-    checked = decode_lines(rows.withColumnRenamed("raw", "found"), "found", "problem")
-    return checked.select(
-        "source", "path", "position",
-        F.coalesce("found", "raw").alias("raw"),
+    return decode_lines(rows, "problem").select(
+        "source", "path", "position", "raw",
         F.when(F.col("problem").isNotNull(), "unreadable_file").otherwise(F.col("issue_kind")).alias("issue_kind"),
         F.coalesce("problem", "detail").alias("detail"),
     )
@@ -134,16 +48,10 @@ def decode_lines(lines: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of every log file under `path`, whatever its layout. One file is one task's unit."""
-    return decode_records(decode_files(log_files(spark, path)))
-
-
 def read_record_lines(spark: SparkSession, path: str) -> DataFrame:
     """Records of logs known to hold one record per line.
 
-    Plain files are split between tasks, so a single file may be of any size; the source is the
-    file name without a line number.
+    Spark's own text reader, for any path Spark can open; the source is the file name without a line number.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("source"),

@@ -5,15 +5,19 @@ from __future__ import annotations
 import datetime as dt
 import gzip
 import json
+import os
+import re
+import zlib
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from meterwise.kept import _held, released
 from meterwise.operators import content, costing, invocations as iv, totals
 from meterwise.plans.usage import usage_report
 from meterwise.sinks.reports import nested, write_sections
-from meterwise.sources import logs
+from meterwise.sources import files, logs
 
 CANARY = "the-secret-word"
 
@@ -69,6 +73,85 @@ def test_layouts(spark, folder):
     assert logs.count_sources(spark, str(folder / "notes.md")) == 1
 
 
+def test_layouts_by_file_name(tmp_path):
+    """The layout is that of the whole file, found without holding more than a value of it."""
+    for text, want in [
+        ("", "blank"), (" \x1c\n\u2003", "blank"), ("{}", "document"), ("\u00a0[1, {\"a\": [2]}]\x85", "array"), ("[]", "array"), ("[1,]", "lines"),
+        ("[1] 2", "lines"), ("[1]\n[2]", "lines"), ("1\n2", "lines"), ("12", "document"), ("tru", "lines"), ('"a', "lines"), ("{", "lines"),
+        ('{"a": 1}\n{"a": 2}', "lines"), ('{"a":\n  [1,\n 2]}', "document"), ("[1, 2", "lines"), ("\ufeff{}", "lines"), ("null", "document"),
+        ("[" * 3000, "lines"), ('["' + "x" * 5000 + '", {"k": "\\u00e9"}]', "array"), ("-Infinity", "document"),
+    ]:
+        for size in (1, 2, 7, 10_000):
+            assert files.layout_of(text[k : k + size] for k in range(0, len(text), size)) == want, (text[:40], size)
+
+
+def test_lines_end_as_text_lines_end():
+    text = "a\r\nb\rc\n\nd\x0be\x0cf\x1cg\x85h\u2028i\u2029\r\n\r\r\nlast"
+    for size in range(1, 9):
+        assert list(files.lines_of(text[k : k + size] for k in range(0, len(text), size))) == text.splitlines(keepends=True)
+    assert list(files.lines_of(iter([]))) == [] and list(files.lines_of(iter(["x\r"]))) == ["x\r"]
+
+
+def test_inflating_goes_over_members_and_padding():
+    content = bytes(range(256)) * 9000
+    packed = gzip.compress(content) + b"\0" * 5 + gzip.compress(b"") + gzip.compress(b"end")
+    for size in (1000, 1 << 20):
+        blocks = [packed[k : k + size] for k in range(0, len(packed), size)]
+        parts = list(files.inflated(iter(blocks)))
+        assert b"".join(parts) == content + b"end" and max(map(len, parts)) <= 1 << 20
+    for broken in (packed[:-4], b"\x1f\x8b", packed + b"tail"):
+        with pytest.raises((EOFError, zlib.error)):
+            list(files.inflated(iter([broken])))
+
+
+def test_a_file_read_in_ranges_is_numbered_as_a_whole(spark, tmp_path):
+    ends = ["\n", "\r\n", "\r", "\n\n", "\u2028", " \n"]
+    text = "".join(json.dumps({"requestId": "é" * (k % 40), "k": k}, ensure_ascii=False) + ends[k % 6] for k in range(3000)) + "{cut"
+    (tmp_path / "long.jsonl").write_text(text, newline="")
+    (tmp_path / "short.jsonl").write_text("1\n2\n3")
+    (tmp_path / "crs.jsonl").write_text("\r".join("12" for _ in range(500)))
+    want = sorted(
+        (p.name, k, line.strip()) for p in tmp_path.iterdir() for k, line in enumerate(p.read_bytes().decode().splitlines(), 1) if line.strip()
+    )
+    for size in (50, 4096, 1 << 30):
+        rows = files.pieces(spark, str(tmp_path), (".jsonl",), range_bytes=size).collect()
+        assert sorted((r.path.rsplit("/", 1)[1], r.position, r.line) for r in rows) == want and not any(r.problem for r in rows)
+
+
+def test_an_array_and_a_packed_file_of_many_pieces(spark, tmp_path):
+    records = [record(requestId=f"r{k}", note="x" * 900) for k in range(4000)]
+    (tmp_path / "array.json").write_text(json.dumps(records))
+    (tmp_path / "packed.jsonl").write_bytes(gzip.compress("\n".join(map(json.dumps, records)).encode()))
+    (tmp_path / "cut.json").write_text(json.dumps(records, indent=0)[:-1])
+    rows = iv.parse(logs.read_records(spark, str(tmp_path))).groupBy(F.regexp_extract("source", "([a-z]+)[.]", 1), "issue_kind").count().collect()
+    found = {(r[0], r[1]): r[2] for r in rows}
+    assert found["array", None] == found["packed", None] == 4000
+    # without its last bracket the third is no array any more
+    assert ("cut", None) not in found and found["cut", "bad_json"] > 4000
+
+
+def test_what_cannot_be_opened_is_one_issue(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{}")
+    (tmp_path / "broken.gz").write_bytes(b"\x1f\x8b not gzip")
+    rows = logs.read_records(spark, str(tmp_path)).collect()
+    assert sorted((r.source.rsplit("/", 1)[1], r.issue_kind) for r in rows) == [
+        ("a.json", None), ("broken.gz", "unreadable_file"),
+    ]
+    assert all(r.detail for r in rows if r.issue_kind)
+    assert files._inspected(str(tmp_path / "gone.json"))[2]
+    missing = logs.read_records(spark, str(tmp_path / "no-such-folder")).collect()
+    assert [r.issue_kind for r in missing] == ["unreadable_file"]
+
+
+def test_kept_tables_are_removed(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{}")
+    with released(spark):
+        logs.read_records(spark, str(tmp_path)).collect()
+        folders = list(_held[spark.sparkContext.applicationId])
+        assert folders and all(os.path.isdir(re.sub("^file:/*(?=/)", "", f)) for f in folders)
+    assert not any(os.path.isdir(re.sub("^file:/*(?=/)", "", f)) for f in folders[-2:])
+
+
 def test_one_named_file_is_read_whatever_its_suffix(spark, folder):
     assert iv.usable(iv.parse(logs.read_records(spark, str(folder / "notes.md")))).count() == 1
 
