@@ -318,6 +318,27 @@ QUERIES["first_rows"] = _head
 SQL["first_rows"] = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 500"
 
 
+def _head_of_files(spark, sf_dir, write="parquet", suffix=".parquet"):
+    """A folder of three files, the first by name the smallest; each holds its orders by key."""
+    path = scratch(spark) + suffix
+    key = F.col("o_orderkey")
+    small_first = F.when(key < 100, "a").when(key < 1000, "b").otherwise("c").alias("part")
+    rows = load(spark, sf_dir, "orders")["orders"].select("o_orderkey", "o_totalprice", small_first)
+    dealt = rows.repartition("part").sortWithinPartitions("part", "o_orderkey")
+    dealt.write.partitionBy("part").option("header", True).format(write).save(path)
+    return tb.read_table(spark, path, sample=500).table.select("o_orderkey", "o_totalprice")
+
+
+def _head_of_text_files(spark, sf_dir):
+    return _head_of_files(spark, sf_dir, "csv", ".csv")
+
+
+QUERIES["first_rows_of_files"] = _head_of_files
+SQL["first_rows_of_files"] = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500"
+QUERIES["first_rows_of_text_files"] = _head_of_text_files
+SQL["first_rows_of_text_files"] = SQL["first_rows_of_files"]
+
+
 def _csv(spark, sf_dir):
     """Writes the customers as delimited text, then reads and profiles them like any such file."""
     path = scratch(spark) + ".tsv"

@@ -162,9 +162,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of names in common, 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    smallest = np.union1d(a, b)[:KEPT]
-    both = np.isin(smallest, a, assume_unique=True) & np.isin(smallest, b, assume_unique=True)
-    shared = float(both.mean())
+    one, two = set(a.tolist()), set(b.tolist())
+    smallest = sorted(one | two)[:KEPT]
+    shared = len((one & two).intersection(smallest)) / len(smallest)
     return 2 * shared / (1 + shared)
 
 
@@ -199,7 +199,9 @@ def _dealt(docs: DataFrame, id: str, text: str) -> DataFrame:
     def place(id: int | None, hash: int) -> tuple[int, int, int]:
         return (1, 0, hash) if id is None else (0, -id, hash)
 
-    drawn = keys.orderBy(F.xxhash64(F.monotonically_increasing_id())).limit(_SAMPLED * parts).collect()
+    # each row with the same chance, so that about _SAMPLED keys a part are drawn
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, keys.count())))
+    drawn = keys.filter(chance < _SAMPLED * parts).collect()
     order = sorted({place(*r) for r in drawn})
     bounds = order[:: max(1, len(order) // parts)]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterwise.functions.text import short_number, thousands
+from meterwise.kept import kept
 from meterwise.operators.invocations import identity_label
 from meterwise.operators.small import first_rows
 from meterwise.operators.spacing import spaced
@@ -22,13 +23,14 @@ _MICRO = 1_000_000
 _BLOCK_WINDOWS = 16
 
 
-def _calls(costed: DataFrame) -> DataFrame:
-    """What the detectors read of each call, kept by the first of them that runs."""
-    return costed.select(
+def calls_of(costed: DataFrame) -> DataFrame:
+    """What the detectors read of each call, kept in the shared folder until it is released."""
+    calls = costed.select(
         identity_label().alias("identity_arn"), "model_id", "input_tokens", "request_id", "source",
         F.unix_micros("ts").alias("at"),
         F.coalesce("cost_usd", F.lit(0).cast("decimal(20,6)")).alias("cost_usd"),
-    ).persist()
+    )
+    return kept(calls)
 
 
 def _dense_moments(calls: DataFrame, keys: list[str], width: int, needed: int) -> DataFrame:
@@ -63,6 +65,7 @@ def _measured(calls: DataFrame, found: DataFrame, keys: list[str], width: int, n
     join is on the key and a one-window slot, so a caller is spread over its slots.
     """
     slots = F.array(F.floor(F.col("at") / width) - 1, F.floor(F.col("at") / width))
+    found = kept(found)
     targets = found.select(*keys, F.col("at").alias("end"), F.explode(slots).alias("slot"))
     rows = calls.withColumn("slot", F.floor(F.col("at") / width)).join(targets, [*keys, "slot"])
     rows = rows.filter((F.col("at") <= F.col("end")) & (F.col("at") >= F.col("end") - width))
@@ -93,10 +96,10 @@ def _measured(calls: DataFrame, found: DataFrame, keys: list[str], width: int, n
     )
 
 
-def bursts(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds()) -> DataFrame:
+def bursts(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds(), calls: DataFrame | None = None) -> DataFrame:
     """Callers making many calls in a short time; one finding per burst, at its first trigger."""
     width, needed = thresholds.burst_window_seconds * _MICRO, thresholds.burst_count
-    calls, keys = _calls(costed), ["identity_arn"]
+    calls, keys = calls or calls_of(costed), ["identity_arn"]
     moments = _dense_moments(calls, keys, width, needed)
     found = _measured(calls, spaced(moments, keys, width), keys, width, needed)
     detail = F.format_string(
@@ -110,10 +113,10 @@ def bursts(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds()) -
     )
 
 
-def repeated_shapes(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds()) -> DataFrame:
+def repeated_shapes(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds(), calls: DataFrame | None = None) -> DataFrame:
     """The same caller, model and input size again and again; the first trigger of each."""
     width, needed = thresholds.burst_window_seconds * _MICRO, thresholds.repeat_count
-    calls = _calls(costed).filter("input_tokens IS NOT NULL")
+    calls = (calls or calls_of(costed)).filter("input_tokens IS NOT NULL")
     keys = ["identity_arn", "model_id", "input_tokens"]
     first = _dense_moments(calls, keys, width, needed).groupBy(*keys).agg(F.min("at").alias("at"))
     found = _measured(calls, first, keys, width, needed)
@@ -128,11 +131,11 @@ def repeated_shapes(costed: DataFrame, thresholds: UsageThresholds = UsageThresh
     )
 
 
-def rate_jumps(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds()) -> DataFrame:
+def rate_jumps(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds(), calls: DataFrame | None = None) -> DataFrame:
     """Clock windows far above a caller's own median; quiet windows without calls do not count."""
     width = thresholds.burst_window_seconds
     slots = (
-        _calls(costed)
+        (calls or calls_of(costed))
         .groupBy("identity_arn", F.floor(F.col("at") / (width * _MICRO)).alias("slot"))
         .agg(F.count(F.lit(1)).alias("request_count"), F.sum("cost_usd").alias("cost_usd"))
     )
@@ -164,10 +167,11 @@ def rate_jumps(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds(
 
 def detect(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds()) -> DataFrame:
     """All three detectors, largest count first."""
+    calls = calls_of(costed)
     return (
-        bursts(costed, thresholds)
-        .unionByName(rate_jumps(costed, thresholds))
-        .unionByName(repeated_shapes(costed, thresholds))
+        bursts(costed, thresholds, calls)
+        .unionByName(rate_jumps(costed, thresholds, calls))
+        .unionByName(repeated_shapes(costed, thresholds, calls))
         .orderBy(F.desc("request_count"), "window_start", "identity_arn", "kind", "model_id")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterwise.functions.text import percent
+from meterwise.kept import kept
 from meterwise.settings import (
     BYTES_METRIC, RECORDS_METRIC, SHARD_BYTES_PER_MINUTE, SHARD_METRICS, SHARD_RECORDS_PER_MINUTE,
     THROTTLE_METRIC, SkewThresholds,
@@ -124,7 +125,8 @@ def gini(rows: DataFrame, key: str, value: str) -> DataFrame:
     counted = rows.groupBy(key, checked.cast("double").alias("x")).agg(F.count("*").alias("m"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # kept, so that both uses see the same ranges
-    counted = counted.repartitionByRange(parts, key, "x").withColumn("part", F.spark_partition_id()).persist()
+    counted = counted.repartitionByRange(parts, key, "x").withColumn("part", F.spark_partition_id())
+    counted = kept(counted)
     in_part = Window.partitionBy(key, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("below", F.sum("m").over(in_part) - F.col("m"))
     sizes = counted.groupBy(key, "part").agg(F.sum("m").alias("size"))

@@ -2,12 +2,13 @@
 
 For each key, the earliest point is picked, then the earliest point more than `gap` after the last
 pick, and so on. Every pick depends on the one before, which in one pass would need all points of a
-key in one task. Instead, time is cut into blocks. A block is entered either at its first point or
-at the first point more than a gap after a pick in an earlier block, so only the points within one
-gap of its start can be entries. For those few the last pick inside the block is worked out without
-knowing which entry will be taken. Blocks of blocks are reduced in the same way, until a block spans the
-data; its entries are walked, and the walk is then repeated inside each block from its true entry.
-All steps are exact, and no task holds more than one block of one key.
+key in one task. Instead, time is cut into blocks, and what a block does is summed up as a step function from
+the moment at which it may first be entered to the last pick inside. A block is entered at its first point or within
+one gap of its start, and walks from different entries soon meet, so a few steps describe it. Blocks
+of blocks are summed up by composing the functions of their parts. The function of a key's whole time line is
+then followed downwards once: it says where each block of blocks is entered, that where each block is
+entered, and the picks inside are walked from there. All steps are exact; no task holds more than one block of
+one key, or the steps of its blocks; points and steps are each worked out once and kept in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Block sizes in gaps. With gaps of a minute the last is 31 years, so the last walk sees the entries of a block or two.
-BLOCK_GAPS = (256, 256**2, 256**3)
+from meterwise.kept import kept
+
+# Sizes of a block and of a block of blocks, in gaps. With gaps of a minute: four hours and six weeks.
+BLOCK_GAPS = (256, 256**2)
+_EVER = -(2**62)
 
 
 def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +34,7 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _last_pick(at: np.ndarray, last: np.ndarray, gap: int) -> np.ndarray:
-    """For every point: the last pick of the walk that starts there, by pointer doubling."""
+    """For every step: the last pick of the walk that starts there, by pointer doubling."""
     end = len(at)
     step = np.append(np.searchsorted(at, last + gap, side="right"), end)
     final = np.arange(end + 1)
@@ -43,63 +47,67 @@ def _last_pick(at: np.ndarray, last: np.ndarray, gap: int) -> np.ndarray:
         step = np.where(step[step] < end, step[step], step) if moving.sum() > 64 else step
 
 
-def _walk(at: np.ndarray, last: np.ndarray, first: int, gap: int) -> list[int]:
-    picks = []
-    while first < len(at):
-        picks.append(first)
-        first = int(np.searchsorted(at, last[first] + gap, side="right"))
-    return picks
+def _entries(at: np.ndarray, last: np.ndarray, edge: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of a block whose entries lie before `edge`, or at the first point from there on.
+
+    A step (at, last) says: entered at `at` or earlier, but after the step before, the last pick is `last`.
+    """
+    final = _last_pick(at, last, gap)
+    entries = min(int(np.searchsorted(at, edge, side="left")) + 1, len(at))
+    at, final = at[:entries], final[:entries]
+    steps = np.append(final[1:] != final[:-1], True)
+    return at[steps], final[steps]
+
+
+def _followed(at: np.ndarray, last: np.ndarray, enter: int, gap: int) -> tuple[list[int], list[int]]:
+    """The steps taken by a walk that may begin at `enter`, and the moment from which each was open."""
+    taken, opened = [], []
+    while (k := int(np.searchsorted(at, enter))) < len(at):
+        taken.append(k)
+        opened.append(enter)
+        enter = int(last[k]) + gap + 1
+    return taken, opened
 
 
 def spaced(points: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """Rows (keys, at) of `points` (keys, at BIGINT, no duplicates) picked more than `gap` apart."""
-    schema = T.StructType(
-        [points.schema[k] for k in keys]
-        + [T.StructField("at", T.LongType()), T.StructField("last", T.LongType())]
-    )
-    columns = [*keys, "at", "last"]
+    steps = T.StructType([points.schema[k] for k in keys] + [T.StructField(c, T.LongType()) for c in ("at", "last")])
+    small, large = BLOCK_GAPS
 
     def rows(template: pa.Table, at: np.ndarray, last: np.ndarray) -> pa.Table:
         # The key is the same in the whole group: repeat its first row.
-        index = pa.array(np.zeros(len(at), dtype=np.int64))
-        same = template.select(keys).take(index)
-        return pa.table([*same.columns, pa.array(at), pa.array(last)], names=columns)
+        same = template.select(keys).take(pa.array(np.zeros(len(at), dtype=np.int64)))
+        return pa.table([*same.columns, pa.array(at, pa.int64()), pa.array(last, pa.int64())], names=[*keys, "at", "last"])
 
-    def block(table: DataFrame, size: int) -> DataFrame:
+    def blocked(table: DataFrame, size: int) -> DataFrame:
         return table.withColumn("block", F.floor(F.col("at") / F.lit(size * gap)))
 
-    def reduce_block(table: pa.Table) -> pa.Table:
-        at, last = _sorted(table)
-        edge = (table.column("block")[0].as_py() * table.column("size")[0].as_py() + 1) * gap
-        final = _last_pick(at, last, gap)
-        entries = min(int(np.searchsorted(at, edge, side="left")) + 1, len(at))
-        return rows(table, at[:entries], final[:entries])
+    def summed(size: int):
+        def one(table: pa.Table) -> pa.Table:
+            edge = (table.column("block")[0].as_py() * size + 1) * gap
+            return rows(table, *_entries(*_sorted(table), edge, gap))
+
+        return one
 
-    def walk_all(table: pa.Table) -> pa.Table:
+    def entered(table: pa.Table, enter: int) -> pa.Table:
+        """Where the steps of a table are taken: `at` in the block they belong to, `last` the moment it opens."""
         at, last = _sorted(table)
-        picks = _walk(at, last, 0, gap)
-        return rows(table, at[picks], last[picks])
+        taken, opened = _followed(at, last, enter, gap)
+        return rows(table, at[taken], np.array(opened, dtype=np.int64))
 
-    def walk_block(table: pa.Table, entered: pa.Table) -> pa.Table:
-        if table.num_rows == 0 or entered.num_rows == 0:
+    def whole(table: pa.Table) -> pa.Table:
+        return entered(table, _EVER)
+
+    def inside(table: pa.Table, opening: pa.Table) -> pa.Table:
+        if table.num_rows == 0 or opening.num_rows == 0:
             return rows(table, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        at, last = _sorted(table)
-        start = int(np.searchsorted(at, entered.column("at")[0].as_py()))
-        picks = _walk(at, last, start, gap)
-        return rows(table, at[picks], last[picks])
-
-    level = points.select(*keys, "at", F.col("at").alias("last"))
-    levels = []
-    for size in BLOCK_GAPS:
-        grouped = block(level, size).withColumn("size", F.lit(size))
-        levels.append((size, grouped))
-        level = grouped.groupBy(*keys, "block").applyInArrow(reduce_block, schema)
-    picked = level.groupBy(*keys).applyInArrow(walk_all, schema)
-    for size, grouped in reversed(levels):
-        entered = block(picked, size).withColumn("size", F.lit(size))
-        picked = (
-            grouped.groupBy(*keys, "block")
-            .cogroup(entered.groupBy(*keys, "block"))
-            .applyInArrow(walk_block, schema)
-        )
+        return entered(table, opening.column("last")[0].as_py())
+
+    points = kept(points.select(*keys, "at", F.col("at").alias("last")))
+    low = kept(blocked(points, small).groupBy(*keys, "block").applyInArrow(summed(small), steps))
+    high = blocked(low, large).groupBy(*keys, "block").applyInArrow(summed(large), steps)
+    picked = high.groupBy(*keys).applyInArrow(whole, steps)
+    for size, table in ((large, low), (small, points)):
+        groups = [*keys, "block"]
+        picked = blocked(table, size).groupBy(*groups).cogroup(blocked(picked, size).groupBy(*groups)).applyInArrow(inside, steps)
     return picked.select(*keys, "at")

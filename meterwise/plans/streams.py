@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterwise.kept import kept
 from meterwise.operators import keys, shards as sh, streams as st
 from meterwise.operators.endpoints import verdict_counts
 from meterwise.settings import STREAM_VERDICTS, SkewThresholds
@@ -23,16 +24,17 @@ def stream_scan(
     record_order: tuple[str, ...] = ("ts", "partition_key"),
     names: list[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Shard scores, statistics and verdicts of every stream; top keys when `records` is given."""
-    streams = st.named_streams(streams, names)
+    """Shard scores, statistics and verdicts of every stream; top keys when `records` is given.
+
+    Tables that several results read are kept in the shared folder: run it inside `kept.released` to have them removed.
+    """
+    # Inventories and scores are read by several results: each is worked out once.
+    streams = kept(st.named_streams(streams, names))
     measurable = streams.filter(F.size(st.missing_metrics(F.col("enabled_metrics"))) == 0).select("stream")
-    relevant = sh.shards_in_window(shards, start).join(streams.select("stream"), "stream", "left_semi")
+    relevant = kept(sh.shards_in_window(shards, start).join(streams.select("stream"), "stream", "left_semi"))
     # Datapoints are read only for streams that emit all the metrics.
     watched = relevant.join(measurable, "stream", "left_semi")
-    # One row per shard, kept by the first result that runs, so that the datapoints are read once.
-    scored = sh.utilisation(
-        watched, sh.traffic(points, start, end), sh.window_minutes(start, end), thresholds
-    ).persist()
+    scored = kept(sh.utilisation(watched, sh.traffic(points, start, end), sh.window_minutes(start, end), thresholds))
     statistics = sh.statistics(scored, thresholds)
     diagnosed = st.diagnose(streams, scored, statistics, thresholds)
     counted = sh.resharding(relevant).withColumnRenamed("open_shard_count", "open_shards_listed")

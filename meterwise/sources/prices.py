@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterwise.operators.small import once
+
 # Shape and vocabulary of an offer document.
 _OFFER = (
     "products map<string, struct<productFamily string, attributes map<string,string>>>, "
@@ -33,53 +37,56 @@ def read_offers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _parsed(offers: DataFrame) -> DataFrame:
-    return offers.select("region", F.from_json("document", _OFFER).alias("offer"))
+def _offered(offers: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
+    """(region, product, rates) of the wanted products; rates are their on-demand (term, dimension, usd, unit).
 
+    A document is parsed once, and the terms of a product are looked up in the row that holds it: products are
+    thinned out before they leave the document, and nothing is shuffled.
+    """
+    parsed = once(offers, F.col("region"), F.from_json("document", _OFFER).alias("offer"))
+    products = F.map_filter("offer.products", lambda sku, product: F.coalesce(wanted(product), F.lit(False)))
+    rows = parsed.select("region", F.col("offer.terms.OnDemand").alias("terms"), F.explode(products).alias("sku", "product"))
 
-def _products(offers: DataFrame) -> DataFrame:
-    return _parsed(offers).select("region", F.explode("offer.products").alias("sku", "product"))
+    def rate(term: Column, dimension: Column) -> Column:
+        price = dimension["value"]["pricePerUnit"]["USD"].try_cast("decimal(24,12)")
+        return F.struct(term.alias("term"), dimension["key"].alias("dimension"), price.alias("usd"), dimension["value"]["unit"].alias("unit"))
 
-
-def _dimensions(offers: DataFrame) -> DataFrame:
-    terms = _parsed(offers).select("region", F.explode("offer.terms.OnDemand").alias("sku", "terms"))
-    offered = terms.select("region", "sku", F.explode("terms").alias("term", "body"))
-    return offered.select(
-        "region", "sku", "term", F.explode("body.priceDimensions").alias("dimension", "rate")
-    ).select(
-        "region", "sku", "term", "dimension", F.col("rate.unit").alias("unit"),
-        F.col("rate.pricePerUnit")["USD"].try_cast("decimal(24,12)").alias("usd"),
+    rates = F.flatten(
+        F.transform(
+            F.map_entries(F.col("terms")[F.col("sku")]),
+            lambda t: F.transform(F.map_entries(t["value"]["priceDimensions"]), lambda d: rate(t["key"], d)),
+        )
     )
+    return rows.select("region", "product", rates.alias("rates"))
+
+
+def _first_price(offered: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, and as usd and unit the price of each product's first term and dimension by code."""
+    return offered.select("region", *columns, F.inline(F.array(F.array_min("rates")))).filter("usd > 0")
+
+
+def _usage(product: Column) -> Column:
+    return F.coalesce(product["attributes"]["usagetype"], F.lit(""))
 
 
 def token_prices(offers: DataFrame) -> DataFrame:
     """(region, service_name, rate_kind, usd_per_mtok): plain on-demand rates per million tokens."""
-    usage = F.coalesce(F.col("product.attributes")["usagetype"], F.lit(""))
     names = F.create_map(*[F.lit(x) for pair in _TOKEN_KINDS.items() for x in pair])
-    products = _products(offers).filter(~usage.rlike(_NOT_ON_DEMAND) & usage.rlike(_TOKEN_USAGE)).select(
-        "region", "sku",
-        F.trim(F.col("product.attributes")["servicename"]).alias("service_name"),
-        F.concat(
-            names[F.regexp_extract(usage, _TOKEN_USAGE, 1)],
-            F.when(F.regexp_extract(usage, _TOKEN_USAGE, 2) != "", "_global").otherwise(""),
-        ).alias("rate_kind"),
+    usage = _usage(F.col("product"))
+    kind = F.concat(
+        names[F.regexp_extract(usage, _TOKEN_USAGE, 1)], F.when(F.regexp_extract(usage, _TOKEN_USAGE, 2) != "", "_global").otherwise("")
+    )
+    offered = _offered(offers, lambda p: ~_usage(p).rlike(_NOT_ON_DEMAND) & _usage(p).rlike(_TOKEN_USAGE))
+    rates = offered.select(
+        "region", F.trim(F.col("product.attributes")["servicename"]).alias("service_name"), kind.alias("rate_kind"), F.inline("rates")
     )
-    rates = _dimensions(offers).filter(F.contains("unit", F.lit(_TOKEN_UNIT)))
     return (
-        products.filter("service_name <> ''")
-        .join(rates, ["region", "sku"])
+        rates.filter((F.col("service_name") != "") & F.contains("unit", F.lit(_TOKEN_UNIT)))
         .groupBy("region", "service_name", "rate_kind")
         .agg(F.max("usd").cast("decimal(12,6)").alias("usd_per_mtok"))
     )
 
 
-def _first_price(offers: DataFrame) -> DataFrame:
-    """One price per product: that of the first term and dimension by code."""
-    return _dimensions(offers).groupBy("region", "sku").agg(
-        F.min_by(F.struct("usd", "unit"), F.struct("term", "dimension")).alias("price")
-    ).select("region", "sku", "price.*").filter("usd > 0")
-
-
 def hosting_prices(offers: DataFrame) -> DataFrame:
     """(region, instance_type, usd_per_hour) of hosting instances."""
     attributes = F.col("product.attributes")
@@ -87,12 +94,10 @@ def hosting_prices(offers: DataFrame) -> DataFrame:
     name = F.replace(
         F.coalesce(named, attributes["instanceType"], F.lit("")), F.lit(f"-{_HOSTING}"), F.lit("")
     )
-    products = _products(offers).filter(attributes["component"] == _HOSTING).select(
-        "region", "sku", name.alias("instance_type")
-    )
+    offered = _offered(offers, lambda p: p["attributes"]["component"] == _HOSTING)
     return (
-        products.filter(F.col("instance_type").startswith("ml."))
-        .join(_first_price(offers), ["region", "sku"])
+        _first_price(offered, name.alias("instance_type"))
+        .filter(F.col("instance_type").startswith("ml."))
         .groupBy("region", "instance_type")
         .agg(F.max(F.round("usd", 6)).cast("decimal(12,6)").alias("usd_per_hour"))
     )
@@ -100,16 +105,15 @@ def hosting_prices(offers: DataFrame) -> DataFrame:
 
 def serverless_prices(offers: DataFrame) -> DataFrame:
     """(region, memory_gb, usd_per_second) of on-demand serverless inference."""
-    attributes = F.col("product.attributes")
-    usage = F.coalesce(attributes["usagetype"], F.lit(""))
-    products = _products(offers).filter(
-        ~F.coalesce(attributes["component"] == _HOSTING, F.lit(False))
-        & (F.col("product.productFamily") == _SERVERLESS_FAMILY)
-        & usage.rlike(_SERVERLESS_USAGE)
-    ).select("region", "sku", F.regexp_extract(usage, _SERVERLESS_USAGE, 1).cast("int").alias("memory_gb"))
-    prices = _first_price(offers).filter(F.lower("unit").isin("second", "seconds"))
+
+    def wanted(product: Column) -> Column:
+        hosting = F.coalesce(product["attributes"]["component"] == _HOSTING, F.lit(False))
+        return ~hosting & (product["productFamily"] == _SERVERLESS_FAMILY) & _usage(product).rlike(_SERVERLESS_USAGE)
+
+    memory = F.regexp_extract(_usage(F.col("product")), _SERVERLESS_USAGE, 1).cast("int").alias("memory_gb")
     return (
-        products.join(prices, ["region", "sku"])
+        _first_price(_offered(offers, wanted), memory)
+        .filter(F.lower("unit").isin("second", "seconds"))
         .groupBy("region", "memory_gb")
         .agg(F.max(F.round("usd", 10)).cast("decimal(18,10)").alias("usd_per_second"))
     )

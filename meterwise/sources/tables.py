@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +33,24 @@ def source_format(path: str) -> str:
     raise ValueError(f"cannot tell the format of {path}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, blank_is_null: bool = False) -> DataFrame:
-    """Delimited text with a header. Integers are 64 bits wide, an empty text field is an empty text."""
+def _reader(spark: SparkSession, path: str, files: list[str] | None) -> DataFrameReader:
+    """A reader that finds the partition columns of single files under `path` too."""
+    inside = files and not files[0].rstrip("/").endswith(path.rstrip("/"))
+    return spark.read.option("basePath", path) if inside else spark.read
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, blank_is_null: bool = False, *,
+    files: list[str] | None = None, keep: tuple[Column, ...] = (),
+) -> DataFrame:
+    """Delimited text with a header. Integers are 64 bits wide, an empty text field is an empty text.
+
+    `files` restricts the read to some of the files under `path`; the columns `keep` are appended.
+    """
     separator = _SEPARATORS["." + path.rsplit(".", 1)[-1].lower()]
-    reader = spark.read.option("header", True).option("sep", separator).option("quote", '"')
-    table = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    reader = _reader(spark, path, files).option("header", True).option("sep", separator).option("quote", '"')
+    chosen = files or path
+    table = reader.schema(schema).csv(chosen) if schema else reader.option("inferSchema", True).csv(chosen)
     columns = []
     for f in table.schema.fields:
         value = F.col("`" + f.name.replace("`", "``") + "`")
@@ -45,7 +59,40 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
         if isinstance(f.dataType, T.StringType) and not blank_is_null:
             value = F.coalesce(value, F.lit(""))
         columns.append(value.alias(f.name))
-    return table.select(*columns)
+    return table.select(*columns, *keep)
+
+
+def first_of_files(spark: SparkSession, path: str, rows: int, read: Callable[..., DataFrame], indexed: bool) -> DataFrame:
+    """The first `rows` rows of a folder of files in the order of their names, and of the rows in them.
+
+    Files are counted in name order, four times as many each turn, until they hold enough; only those are read. In a file that
+    is needed in part, rows are taken by their index if the format has one, else by the order of its splits.
+    `read(files, keep)` reads files and appends the columns `keep`.
+    """
+    file = F.col("_metadata.file_path").alias("_file")
+    place = (F.col("_metadata.row_index") if indexed else F.col("_metadata.file_block_start")).alias("_place")
+    # Spark's own listing without the contents; empty files have no rows
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").orderBy("path")
+    take = 1
+    while True:
+        paths = [r["path"] for r in names.limit(take).collect()]
+        table = read(paths, (file, place))
+        counts = table.groupBy("_file").count().orderBy("_file").collect() if paths else []
+        if sum(r["count"] for r in counts) >= rows or len(paths) < take:
+            break
+        take *= 4
+    last, left = None, rows
+    for r in counts:
+        last = r["_file"]
+        if r["count"] >= left:
+            break
+        left -= r["count"]
+    if indexed:
+        some = table.filter((F.col("_file") < F.lit(last)) | ((F.col("_file") == F.lit(last)) & (F.col("_place") < left)))
+        return some.drop("_file", "_place")
+    cut = table.filter(F.col("_file") == F.lit(last)).withColumn("_row", F.monotonically_increasing_id())
+    cut = cut.orderBy("_place", "_row").limit(left).drop("_row")
+    return table.filter(F.col("_file") < F.lit(last)).unionByName(cut).drop("_file", "_place")
 
 
 def head(table: DataFrame, rows: int, *order: str) -> DataFrame:
@@ -58,7 +105,7 @@ def head(table: DataFrame, rows: int, *order: str) -> DataFrame:
 def read_table(
     spark: SparkSession, path: str, sample: int | None = None, order: tuple[str, ...] = (), blank_is_null: bool = False
 ) -> Loaded:
-    """Read a table, or its first `sample` rows by `order` (file order when none is given).
+    """Read a table, or its first `sample` rows by `order` (when none is given, those of the first files by name).
 
     Parquet files know their row count, so a sample of one carries the full count. Delimited files
     do not: a sample that came out full leaves the count unknown.
@@ -66,14 +113,19 @@ def read_table(
     if sample is not None and sample < 1:
         raise ValueError("a sample has at least one row")
     form = source_format(path)
-    table = spark.read.parquet(path) if form == "parquet" else read_csv(spark, path, blank_is_null=blank_is_null)
+
+    def read(files: list[str] | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:
+        if form == "csv":
+            return read_csv(spark, path, blank_is_null=blank_is_null, files=files, keep=keep)
+        return _reader(spark, path, files).parquet(*(files or [path])).select("*", *keep)
+
+    table = read()
     if sample is None:
         return Loaded(table, form, False, None)
     if order:
         some = head(table, sample, *order)
     else:
-        # the scan stops once it has enough rows
-        some = table.limit(sample)
+        some = first_of_files(spark, path, sample, read, indexed=form == "parquet")
     if form == "parquet":
         total = table.count()
         return Loaded(table, form, False, total) if sample >= total else Loaded(some, form, True, total)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from meterwise.kept import _held, released
 from meterwise.operators import anomalies, percentiles, spacing
 from meterwise.operators.spacing import spaced
 from meterwise.settings import NO_IDENTITY, UsageThresholds
@@ -158,10 +161,28 @@ def test_rates_of_a_window_without_length(spark):
     assert (found.duration_seconds, found.calls_per_minute) == (0, 60)
 
 
-def test_building_a_query_runs_nothing(spark, traffic):
+def test_outliers_run_nothing_before_they_are_asked_for(spark, traffic):
     _, table = traffic
     spark.sparkContext.setJobGroup("building", "no job is to carry this")
-    anomalies.detect(table, THRESHOLDS)
     percentiles.outliers(table.withColumn("output_tokens", F.col("input_tokens")))
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
     spark.sparkContext.setJobGroup("running", "")
+
+
+def test_what_the_detectors_keep_is_released(spark, traffic):
+    _, table = traffic
+    with released(spark):
+        before = len(_held.get(spark.sparkContext.applicationId, []))
+        found = anomalies.detect(table, THRESHOLDS).collect()
+        kept = _held[spark.sparkContext.applicationId][before:]
+        # calls once for all three detectors; points, steps and the findings of bursts; those of repeated shapes
+        assert found and len(kept) == 5
+    assert not any(os.path.isdir(re.sub("^file:/*(?=/)", "", f)) for f in kept)
+
+
+def test_a_walk_that_never_meets_another_one(spark, monkeypatch):
+    """Points in two interleaved rows, so that every entry of a block keeps its own last pick."""
+    monkeypatch.setattr(spacing, "BLOCK_GAPS", (4, 16))
+    points = [("k", 11 * n + shift) for n in range(400) for shift in (0, 3, 5)]
+    table = spark.createDataFrame(points, "k string, at bigint")
+    assert sorted(r.at for r in spaced(table, ["k"], 10).collect()) == [11 * n for n in range(400)]
