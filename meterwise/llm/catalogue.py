@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,5 +102,4 @@ QUERIES = {
     "op11_whitening": op11_whitening,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_fingerprints": op13_fingerprints,
-    "pipeline": corpus_pipeline.run,
 }

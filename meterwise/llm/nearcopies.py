@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -161,13 +161,17 @@ def near_copies(
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs`, as they are, with one document of every group of near copies.
 
-    The document with the smallest id stays; of rows sharing that id, the one with the smallest text.
-    Rows with a null id stay.
+    The document with the smallest id stays, of equal ones a single row. Rows with one id and several texts are
+    documents of their own: each stays unless it is a near copy of one that does. Rows with a null id stay.
     """
-    kept = near_copies(docs, shingle, percent, id_column, text_column).filter("kept AND id IS NOT NULL").select(F.col("id").alias("kept_id")).distinct()
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_column).alias("own_id"), F.col(text_column).alias("own_text")
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_column).alias("own_id"), F.col(text_column).cast("string").alias("own_text")
     )
+    hashed = F.xxhash64(F.coalesce("own_text", F.lit("")))
+    shared = rows.filter("own_id IS NOT NULL").groupBy("own_id").agg(F.min(hashed).alias("least"), F.max(hashed).alias("most"))
+    if not shared.filter("least <> most").isEmpty():
+        rows = rows.withColumn("own_id", _told_apart(F.col("own_id"), F.col("own_text"), dict(docs.dtypes)[id_column]))
+    kept = near_copies(rows, shingle, percent, "own_id", "own_text").filter("kept AND id IS NOT NULL").select(F.col("id").alias("kept_id")).distinct()
     named = rows.join(kept, F.col("own_id") == F.col("kept_id"), "left_semi")
     first = Window.partitionBy("own_id").orderBy("own_text")
     named = named.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row")
@@ -175,6 +179,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column:
     return both.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
+def _told_apart(id: Column, text: Column, id_type: str) -> Column:
+    """An id for every (id, text), in the order of the ids."""
+    if id_type in ("tinyint", "smallint", "int", "bigint"):
+        # shifted above zero and padded, so that text is ordered as numbers are
+        id = F.lpad((id.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(id.cast("string"), F.lit(" "), F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def _joining_pairs(ids: np.ndarray, packed: list[bytes], percent: int) -> pd.DataFrame:
     """Pairs that join the documents of one task as their links do, at most one less than there are documents."""
     order = np.argsort(ids, kind="stable")

@@ -534,3 +534,16 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert set(final.columns) == {*SCHEMA.replace(",", "").split()[::2], "epoch"} and 0 < final.count()
     assert {r.doc_id for r in final.collect()} <= set(seen[3])
+
+
+# --- repeated ids ------------------------------------------------------------------------------------
+
+
+def test_unlike_texts_under_one_id_all_stay(spark):
+    one, two, three = prose(31, 80), prose(32, 80), prose(33, 80)
+    rows = [(5, one), (5, two), (5, two), (3, two + " more"), (-4, three), (12, three), (None, one), (7, None), (7, prose(34, 40)), (10**18, prose(35, 50)), (2, prose(35, 50))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, own_id string")
+    got = sorted(((r.doc_id, r.text) for r in nearcopies.one_of_each(docs).collect()), key=repr)
+    assert got == sorted([(5, one), (3, two + " more"), (-4, three), (None, one), (7, None), (7, prose(34, 40)), (2, prose(35, 50))], key=repr)
+    named = nearcopies.one_of_each(docs.filter("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert {r.text for r in named.collect()} == {t for _, t in got if t} | {None}
