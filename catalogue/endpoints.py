@@ -162,7 +162,7 @@ def endpoint_verdicts(spark, sf_dir):
 
 
 _REASON = """CASE WHEN serverless_memory_mb IS NOT NULL THEN 'serverless bills per request, so nothing stands idle' WHEN unpriceable THEN 'no instances to price'
-  WHEN hourly IS NULL THEN 'no published price for ' || instance_type || ' in ' || region WHEN verdict = 'underused' AND surplus = 0 AND (on_serverless IS NULL OR monthly IS NULL) THEN 'one instance is already more than the traffic needs' END AS no_estimate_reason"""
+  WHEN hourly IS NULL THEN 'not on the price list of ' || region || ': ' || instance_type WHEN verdict = 'underused' AND surplus = 0 AND (on_serverless IS NULL OR monthly IS NULL) THEN 'one instance is already more than the traffic needs' END AS no_estimate_reason"""
 _MONEY = "CAST(monthly AS DOUBLE) AS monthly_usd, CAST(wasted AS DOUBLE) AS wasted_monthly_usd, CAST(on_serverless AS DOUBLE) AS serverless_monthly_usd"
 _FINDING = f"region, endpoint, variant, verdict, remedy, {_MONEY}, {_REASON}"
 

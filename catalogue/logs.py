@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from meterwise.operators import anomalies, content, costing, invocations as iv,
 from meterwise.operators.small import once
 from meterwise.plans.usage import group_section, usage_report
 from meterwise.settings import UsageThresholds
+from meterwise.sinks import documents
 from meterwise.sources import logs, prices
 
 # Thresholds that find something in the driver's events.
@@ -87,9 +90,9 @@ def _costed_sql(extra: str = "") -> str:
     costed AS (
       SELECT *, CASE WHEN service_name IS NOT NULL AND len(lacking) = 0
           THEN CAST(CAST(round(micro, 0) AS DECIMAL(24,0)) * 0.000001 AS DECIMAL(20,6)) END AS cost_usd,
-        CASE WHEN NOT region_priced THEN 'no rates for region ' || region
-          WHEN service_name IS NULL THEN 'no published price for ' || model_id || ' in ' || region
-          WHEN len(lacking) > 0 THEN 'no published rate for ' || array_to_string(lacking, ', ') || ' in ' || region END AS no_price_reason
+        CASE WHEN NOT region_priced THEN 'region without rates: ' || region
+          WHEN service_name IS NULL THEN 'not on the price list of ' || region || ': ' || model_id
+          WHEN len(lacking) > 0 THEN 'price list of ' || region || ' lacks a rate for ' || array_to_string(lacking, ', ') END AS no_price_reason
       FROM joined)"""
 
 
@@ -330,7 +333,7 @@ _JUMP_SQL = f"""
       strftime(make_timestamp(slot * {JUMP.burst_window_seconds * 1000000}), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
       strftime(make_timestamp((slot + 1) * {JUMP.burst_window_seconds * 1000000}), '%Y-%m-%d %H:%M:%S.%f') AS window_end,
       n AS request_count, CAST(cost AS DOUBLE) AS cost_usd, CAST(NULL AS VARCHAR) AS model_id,
-      n || ' calls in this window against a median of ' || format('{{:.6g}}', CAST(usual AS DOUBLE)) || ', ' || CAST(round_even(n / usual, 0) AS BIGINT) || ' times as many' AS detail
+      n || ' calls where a usual window has ' || format('{{:.6g}}', CAST(usual AS DOUBLE)) || ': ' || CAST(round_even(n / usual, 0) AS BIGINT) || '-fold' AS detail
     FROM base WHERE windows >= {JUMP.jump_minimum_windows} AND n >= {JUMP.jump_minimum_count} AND n / usual >= {JUMP.jump_multiple}"""
 
 
@@ -458,10 +461,10 @@ def parsed_invocations(spark, sf_dir):
 
 @query(
     "skipped_records",
-    f"WITH {_PARSED} SELECT issue_kind AS kind, source FROM issues WHERE issue_kind IS NOT NULL",
+    f"WITH {_PARSED} SELECT issue_kind AS kind, source, CASE issue_kind WHEN 'bad_json' THEN 'the line is not one JSON value' ELSE '' END AS detail FROM issues WHERE issue_kind IS NOT NULL",
 )
 def skipped_records(spark, sf_dir):
-    return iv.issues(parsed(spark, sf_dir)).select("kind", "source")
+    return iv.issues(parsed(spark, sf_dir)).select("kind", "source", "detail")
 
 
 @query("skipped_record_counts", f"WITH {_PARSED} SELECT issue_kind AS kind, count(*) AS records FROM issues WHERE issue_kind IS NOT NULL GROUP BY 1")
@@ -675,3 +678,59 @@ def usage_report_by_model(spark, sf_dir):
     """From raw lines to a section of the finished report."""
     report = usage_report(parsed(spark, sf_dir), spark.sql(token_prices("spark")), only=("groups",))
     return money(group_section(report, "model"))
+
+
+def _iso(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({x}) % 1000000 <> 0 THEN '.' || strftime({x}, '%f') ELSE '' END || '+00:00'"
+
+
+_FIRST = 40
+
+
+def _told(item: str, order: str, name: str, limit: str = "") -> str:
+    """Rows of another query's SQL as text, in an order."""
+    return f"(SELECT coalesce(string_agg({item}, '|' ORDER BY {order}), '') FROM (SELECT * FROM ({SQL[name]}) AS q {limit}) AS rows_of_it)"
+
+
+_WHERE = "request_count DESC, window_start, identity_arn, kind, model_id NULLS FIRST"
+
+
+@query(
+    "usage_document",
+    f"""WITH inv AS ({duck(invocations)}), w AS (SELECT min(ts) AS a, max(ts) AS b FROM inv), t AS ({SQL['usage_totals']}), un AS ({SQL['unpriced_models']}),
+      o AS (SELECT count(*) AS n FROM ({SQL['token_outliers']})), an AS (SELECT count(*) AS n FROM ({SQL['anomalies_with_rates']})), sk AS (SELECT sum(records) AS n FROM ({SQL['skipped_record_counts']}))
+    SELECT {_iso('a')} AS window_start, {_iso('b')} AS window_end, 7 AS sources_read, '2024-05-01' AS prices_published, t.requests, t.total_tokens, t.cost_usd, t.unpriced_requests, t.cost_is_complete,
+      (SELECT coalesce(string_agg(model_id, '|' ORDER BY model_id), '') FROM un) AS unpriced_models,
+      {_told("key || ' ' || requests || ' ' || total_tokens || ' ' || unpriced_requests || ' ' || cost_is_complete", 'cost_usd DESC, requests DESC, key', 'usage_by_model')} AS by_model,
+      {_told("model_id || ' ' || requests || ' ' || p50 || ' ' || p95 || ' ' || p99 || ' ' || max_tokens || ' ' || sample_is_meaningful", 'requests DESC, model_id', 'token_percentiles', "WHERE direction = 'input'")} AS input_percentiles,
+      {_told("model_id || ' ' || requests || ' ' || p50 || ' ' || p95 || ' ' || p99 || ' ' || max_tokens || ' ' || sample_is_meaningful", 'requests DESC, model_id', 'token_percentiles', "WHERE direction = 'output'")} AS output_percentiles,
+      o.n AS outlier_count, {_told("request_id || ' ' || model_id || ' ' || kind || ' ' || tokens || ' ' || cutoff", 'tokens DESC, request_id, kind', 'token_outliers', f'ORDER BY tokens DESC, request_id, kind LIMIT {_FIRST}')} AS outliers,
+      an.n AS anomaly_count, {_told(f"kind || ' ' || identity_arn || ' ' || coalesce(model_id, '-') || ' ' || {_iso('CAST(window_start AS TIMESTAMP)')} || ' ' || {_iso('CAST(window_end AS TIMESTAMP)')} || ' ' || request_count || ' ' || detail", _WHERE, 'anomalies_with_rates', f'ORDER BY {_WHERE} LIMIT {_FIRST}')} AS anomalies,
+      {_told("request_id || ' ' || model_id", 'cost_usd DESC, request_id', 'most_expensive_requests')} AS most_expensive,
+      CAST(sk.n AS BIGINT) AS skipped, {_told("kind || ' ' || records", 'kind', 'skipped_record_counts')} AS skipped_by_reason
+    FROM w, t, o, an, sk""",
+)
+def usage_document(spark, sf_dir):
+    """The report of the invocations as one record, its nested parts as text; the skipped records are those of the raw lines."""
+    thresholds = UsageThresholds(burst_window_seconds=BURST.burst_window_seconds, burst_count=BURST.burst_count, repeat_count=2)
+    clean = inv(spark, sf_dir).select("*", F.lit(None).cast("string").alias("issue_kind"), F.lit("").alias("detail"))
+    sections = usage_report(clean, spark.sql(token_prices("spark")), thresholds=thresholds)
+    sections["skipped_records"] = iv.issue_counts(parsed(spark, sf_dir))
+    d = F.col("document")
+
+    def told(items, *names: str):
+        return F.array_join(F.transform(items, lambda x: F.concat_ws(" ", *[F.coalesce(x[n].cast("string"), F.lit("-")) for n in names])), "|")
+
+    sizes = ("model_id", "requests", "p50", "p95", "p99", "max", "sample_is_meaningful")
+    reasons = F.transform(F.map_entries(d["skipped_records"]["by_reason"]), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string")))
+    return documents.usage_document(sections, 7, dt.date(2024, 5, 1), _FIRST).select(
+        d["window"]["start"].alias("window_start"), d["window"]["end"].alias("window_end"), d["sources_read"].cast("int").alias("sources_read"),
+        d["prices_published"].cast("string").alias("prices_published"), d["totals"]["requests"].alias("requests"), d["totals"]["total_tokens"].alias("total_tokens"),
+        d["totals"]["estimated_cost_usd"].cast("double").alias("cost_usd"), d["totals"]["unpriced_requests"].alias("unpriced_requests"), d["cost_is_complete"].alias("cost_is_complete"),
+        F.array_join(d["unpriced_models"], "|").alias("unpriced_models"), told(d["by_model"], "key", "requests", "total_tokens", "unpriced_requests", "cost_is_complete").alias("by_model"),
+        told(d["percentiles"]["input"], *sizes).alias("input_percentiles"), told(d["percentiles"]["output"], *sizes).alias("output_percentiles"),
+        d["outlier_count"].alias("outlier_count"), told(d["outliers"], "request_id", "model_id", "kind", "tokens", "model_cutoff").alias("outliers"),
+        d["anomaly_count"].alias("anomaly_count"), told(d["anomalies"], "kind", "identity_arn", "model_id", "window_start", "window_end", "request_count", "detail").alias("anomalies"),
+        told(d["most_expensive"], "request_id", "model_id").alias("most_expensive"),
+        d["skipped_records"]["total"].alias("skipped"), F.array_join(reasons, "|").alias("skipped_by_reason"),
+    )

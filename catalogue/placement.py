@@ -80,7 +80,7 @@ def option_eliminations(spark, sf_dir):
 
 @query(
     "payload_limits_in_words",
-    f"WITH {BASE} SELECT workload_id, option, 'request payload of ' || {_mb('payload_mb')} AS requirement, {_mb('req::DOUBLE')} AS \"limit\", {_mb('payload_mb')} AS actual FROM wo WHERE payload_mb > req",
+    f"WITH {BASE} SELECT workload_id, option, 'requests of up to ' || {_mb('payload_mb')} AS requirement, {_mb('req::DOUBLE')} AS \"limit\", {_mb('payload_mb')} AS actual FROM wo WHERE payload_mb > req",
 )
 def payload_limits_in_words(spark, sf_dir):
     found = pl.eliminations(judged(spark, sf_dir)).filter("constraint_id = 'request_payload_over_limit'")
@@ -109,14 +109,14 @@ def recommended_options(spark, sf_dir):
 
 @query(
     "placement_advice",
-    f"""WITH {BASE} SELECT workload_id, 'provisioned_concurrency' AS advice_id FROM best WHERE winner = 'serverless' AND latency_p99_ms IS NOT NULL
-    UNION ALL SELECT workload_id, 'multi_model_endpoint' FROM best WHERE winner = 'real_time' AND model_count >= 3 AND traffic = 'bursty-idle'
-    UNION ALL SELECT workload_id, 'inference_components' FROM best WHERE winner = 'real_time' AND model_count >= 2
-    UNION ALL SELECT workload_id, 'inference_components_scale_to_zero' FROM best WHERE zero_idle_cost AND (winner IS NULL OR winner IN ('async', 'batch_transform'))
+    f"""WITH {BASE} SELECT workload_id, 'provisioned_concurrency' AS advice_id, 'a cold start may take 240 s (4 minutes) against a p99 target of ' || {_size('latency_p99_ms')} || ' ms; provisioned concurrency keeps workers warm, at a standing cost' AS message FROM best WHERE winner = 'serverless' AND latency_p99_ms IS NOT NULL
+    UNION ALL SELECT workload_id, 'multi_model_endpoint', model_count || ' mostly idle models can share the instances of one multi-model endpoint' FROM best WHERE winner = 'real_time' AND model_count >= 3 AND traffic = 'bursty-idle'
+    UNION ALL SELECT workload_id, 'inference_components', 'inference components give each of ' || model_count || ' models its own resources and scaling' FROM best WHERE winner = 'real_time' AND model_count >= 2
+    UNION ALL SELECT workload_id, 'inference_components_scale_to_zero', 'real-time fails only on idle cost, and an endpoint of inference components can scale to zero' FROM best WHERE zero_idle_cost AND (winner IS NULL OR winner IN ('async', 'batch_transform'))
       AND (SELECT list(constraint_id) FROM gone AS g WHERE g.workload_id = best.workload_id AND g.option = 'real_time') = ['cannot_scale_to_zero']""",
 )
 def placement_advice(spark, sf_dir):
-    return pl.advice(judged(spark, sf_dir)).select("workload_id", "advice_id")
+    return pl.advice(judged(spark, sf_dir)).select("workload_id", "advice_id", "message")
 
 
 @query(
@@ -131,36 +131,39 @@ def requirement_conflicts(spark, sf_dir):
 
 @query(
     "invalid_workloads",
-    f"""WITH {BASE} SELECT workload_id, CASE WHEN payload_mb < 0 THEN 'payload_mb must not be negative' WHEN response_mb < 0 THEN 'response_mb must not be negative'
-      WHEN processing_seconds < 0 THEN 'processing_seconds must not be negative' WHEN latency_p99_ms <= 0 THEN 'latency_p99_ms must be positive' ELSE 'model_count must be at least 1' END AS problem
+    f"""WITH {BASE} SELECT workload_id, CASE WHEN payload_mb < 0 THEN 'payload_mb: missing or below zero' WHEN response_mb < 0 THEN 'response_mb: missing or below zero'
+      WHEN processing_seconds < 0 THEN 'processing_seconds: missing or below zero' WHEN latency_p99_ms <= 0 THEN 'latency_p99_ms: zero or less' ELSE 'model_count: less than one model' END AS problem
     FROM every WHERE {_BAD}""",
 )
 def invalid_workloads(spark, sf_dir):
     return pl.invalid_workloads(workloads(spark, sf_dir)).select("workload_id", "problem")
 
 
+_CONSTRAINTS = "['request_payload_over_limit', 'response_payload_over_limit', 'processing_time_over_limit', 'gpu_not_supported', 'cannot_scale_to_zero', 'no_inline_response', 'no_native_completion_notification']"
 _TITLE = "CASE {} WHEN 'real_time' THEN 'Real-time endpoint' WHEN 'serverless' THEN 'Serverless inference' WHEN 'async' THEN 'Asynchronous inference' ELSE 'Batch transform' END"
 _FIRST = "(SELECT coalesce(string_agg(rule_id, ',' ORDER BY rule_id), '') FROM pref AS p WHERE p.workload_id = best.workload_id AND p.option = best.winner AND weight {} 0)"
 
 
 @query(
     "placement_explanations",
-    f"""WITH {BASE} SELECT workload_id,
+    f"""WITH {BASE}, each AS (SELECT workload_id, option, string_agg(constraint_id, '+' ORDER BY list_position({_CONSTRAINTS}, constraint_id)) AS said FROM gone GROUP BY 1, 2),
+      n AS (SELECT workload_id, string_agg(option || ': ' || said, '|' ORDER BY list_position(['real_time', 'serverless', 'async', 'batch_transform'], option)) AS said FROM each GROUP BY 1)
+    SELECT best.workload_id,
       CASE WHEN winner IS NULL THEN 'No option meets all of these requirements.' WHEN second IS NULL THEN 'Use ' || {_TITLE.format('winner')} || ': no other option meets every requirement.'
         WHEN top = next THEN 'Use ' || {_TITLE.format('winner')} || ', level with ' || {_TITLE.format('second')} || ' but with less running all the time.' ELSE 'Use ' || {_TITLE.format('winner')} || '.' END AS headline,
       CASE WHEN winner IS NULL THEN '' WHEN second IS NULL THEN array_to_string(list_sort(string_split(ltrim({_FIRST.format('>')} || ',every_other_option_ruled_out', ','), ',')), ',')
         WHEN {_FIRST.format('>')} = '' THEN 'tie_break_on_less_standing_infrastructure' ELSE {_FIRST.format('>')} END AS deciding_factors,
       {_FIRST.format('<')} AS caveats,
-      (SELECT count(*) FROM ranked AS r WHERE r.workload_id = best.workload_id AND rank > 1) AS runners_up,
-      (SELECT count(DISTINCT option) FROM gone AS g WHERE g.workload_id = best.workload_id) AS rejections
-    FROM best""",
+      (SELECT coalesce(string_agg({_TITLE.format('r.option')} || ' meets every requirement too (score ' || {_size('r.score')} || ' against ' || {_size('top')} || ')', '|' ORDER BY rank), '') FROM ranked AS r WHERE r.workload_id = best.workload_id AND rank > 1) AS runners_up,
+      coalesce(n.said, '') AS rejections
+    FROM best LEFT JOIN n ON n.workload_id = best.workload_id""",
 )
 def placement_explanations(spark, sf_dir):
     told = pl.explain(judged(spark, sf_dir))
     return told.select(
         "workload_id", "headline", F.array_join(F.array_sort("deciding_factors"), ",").alias("deciding_factors"),
-        F.array_join("caveats", ",").alias("caveats"), F.size("runners_up").cast("bigint").alias("runners_up"),
-        F.size("rejections").cast("bigint").alias("rejections"),
+        F.array_join("caveats", ",").alias("caveats"), F.array_join("runners_up", "|").alias("runners_up"),
+        F.array_join(F.transform("rejections", lambda r: F.concat(r["option"], F.lit(": "), F.array_join(r["reasons"], "+"))), "|").alias("rejections"),
     )
 
 

@@ -256,7 +256,7 @@ def shard_inventory(spark, sf_dir):
         F.struct(F.col("ending_sequence_number").alias("EndingSequenceNumber")).alias("SequenceNumberRange"),
     )
     response = F.to_json(F.struct(F.col("stream").alias("StreamName"), F.array(one).alias("Shards")))
-    return inventory.shards(s.select(response.alias("response"))).drop("closed_at")
+    return inventory.shards(s.select(response.alias("response"))).drop("closed_at")  # a response does not say when a shard was closed
 
 
 @query(

@@ -148,9 +148,9 @@ def rate_jumps(costed: DataFrame, thresholds: UsageThresholds = UsageThresholds(
     multiple = F.col("request_count") / F.col("median")
     start = F.timestamp_seconds(F.col("slot") * width)
     detail = F.concat(
-        F.col("request_count").cast("string"), F.lit(" calls in this window against a median of "),
-        short_number(F.col("median")), F.lit(", "),
-        F.bround(multiple, 0).cast("bigint").cast("string"), F.lit(" times as many"),
+        F.col("request_count").cast("string"), F.lit(" calls where a usual window has "),
+        short_number(F.col("median")), F.lit(": "),
+        F.bround(multiple, 0).cast("bigint").cast("string"), F.lit("-fold"),
     )
     return (
         slots.filter(F.col("request_count") >= thresholds.jump_minimum_count)

@@ -87,11 +87,11 @@ def _cost() -> tuple[Column, Column]:
     usd = (F.round(micro, 0).cast("decimal(24,0)") * F.lit(Decimal("0.000001"))).cast(MONEY)
     where = F.when(F.coalesce(F.col("region"), F.lit("")) == "", "an unnamed region").otherwise(F.col("region"))
     reason = (
-        F.when(F.col("region_priced").isNull(), F.concat(F.lit("no rates for region "), where))
-        .when(~found, F.concat(F.lit("no published price for "), "model_id", F.lit(" in "), where))
+        F.when(F.col("region_priced").isNull(), F.concat(F.lit("region without rates: "), where))
+        .when(~found, F.concat(F.lit("not on the price list of "), where, F.lit(": "), "model_id"))
         .when(
             lacks,
-            F.concat(F.lit("no published rate for "), F.concat_ws(", ", *named), F.lit(" in "), where),
+            F.concat(F.lit("price list of "), where, F.lit(" lacks a rate for "), F.concat_ws(", ", *named)),
         )
     )
     return F.when(found & ~lacks, usd), reason

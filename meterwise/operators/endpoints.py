@@ -195,7 +195,7 @@ def with_cost(
     reason = (
         F.when(is_serverless(), "serverless bills per request, so nothing stands idle")
         .when(unpriceable, "no instances to price")
-        .when(hourly.isNull(), F.concat(F.lit("no published price for "), "instance_type", F.lit(" in "), "region"))
+        .when(hourly.isNull(), F.concat(F.lit("not on the price list of "), "region", F.lit(": "), "instance_type"))
         .when(underused & (surplus == 0), "one instance is already more than the traffic needs")
     )
     small = ~instance_family(F.col("instance_type")).isin(*ACCELERATED_FAMILIES) & (

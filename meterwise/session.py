@@ -6,15 +6,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Session settings: UTC for every timestamp, adaptive plans, the last value winning when a JSON
-# object repeats a key, and rank filters up to this size applied before the shuffle.
+# Session settings: UTC for every timestamp, adaptive plans, and the last value winning when a JSON object
+# repeats a key.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 

@@ -51,6 +51,7 @@ DATA_TYPE_RULES = {
 }
 
 
+# Fixed values, here and in the classes below: default thresholds and weights that results have to agree on.
 @dataclass(frozen=True)
 class UsageThresholds:
     outlier_percentile: float = 0.99

@@ -30,7 +30,7 @@ def source_format(path: str) -> str:
         return "parquet"
     if suffix in _SEPARATORS:
         return "csv"
-    raise ValueError(f"cannot tell the format of {path}")
+    raise ValueError(f"{path}: neither a delimited nor a Parquet suffix")
 
 
 def _reader(spark: SparkSession, path: str, files: list[str] | None) -> DataFrameReader:
@@ -98,7 +98,7 @@ def first_of_files(spark: SparkSession, path: str, rows: int, read: Callable[...
 def head(table: DataFrame, rows: int, *order: str) -> DataFrame:
     """The first rows of a table in a stated order."""
     if rows < 1:
-        raise ValueError("a sample has at least one row")
+        raise ValueError("sample: at least one row has to be asked for")
     return table.orderBy(*order).limit(rows)
 
 
@@ -111,7 +111,7 @@ def read_table(
     do not: a sample that came out full leaves the count unknown.
     """
     if sample is not None and sample < 1:
-        raise ValueError("a sample has at least one row")
+        raise ValueError("sample: at least one row has to be asked for")
     form = source_format(path)
 
     def read(files: list[str] | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:

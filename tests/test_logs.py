@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from meterwise.kept import _held, released
 from meterwise.operators import content, costing, invocations as iv, totals
 from meterwise.plans.usage import usage_report
+from meterwise.sinks.documents import usage_document
 from meterwise.sinks.reports import nested, write_sections
 from meterwise.sources import files, logs
 
@@ -205,6 +206,10 @@ def test_no_body_reaches_any_output(spark, tmp_path):
     found = parsed(spark, record(), record(schemaType=CANARY[:3]), "{" + CANARY)
     report = usage_report(found, prices(spark, ("us-east-1", SONNET, "input", 3), ("us-east-1", SONNET, "output", 15)))
     text = " ".join(r.row for r in nested(report).collect()) + str(iv.issues(found).collect())
+    [told] = usage_document(report, 2, dt.date(2026, 9, 22)).collect()
+    assert (told.document.sources_read, told.document.totals.requests, told.document.skipped_records.by_reason) == (2, 1, {"bad_json": 1, "wrong_schema_type": 1})
+    assert told.document.window.start == "2026-09-24T12:00:00+00:00" and told.document.most_expensive[0].request_id == "r-1"
+    text += str(told)
     assert CANARY not in text and "r-1" in text
     write_sections({"groups": report["groups"]}, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "groups")).count() == 5
@@ -243,9 +248,9 @@ def test_cost_and_its_absence(spark):
     assert got["global"] == (Decimal("0.005400"), None)
     assert got["odd"] == (Decimal("0.000460"), None)
     assert got["free"] == (Decimal("0.000000"), None)
-    assert got["region"] == (None, "no rates for region mars-1")
-    assert got["model"] == (None, "no published price for x.y in us-east-1")
-    assert got["kind"] == (None, "no published rate for cache_read in us-east-1")
+    assert got["region"] == (None, "region without rates: mars-1")
+    assert got["model"] == (None, "not on the price list of us-east-1: x.y")
+    assert got["kind"] == (None, "price list of us-east-1 lacks a rate for cache_read")
     assert got["arn"][0] is None
 
 

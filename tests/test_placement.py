@@ -40,9 +40,9 @@ def test_winner(spark, changes, winner):
 def test_words(spark):
     report = place(spark, payload_mb=2048.0, response_mb=4.5, processing_seconds=7200.0, immediate_response=True, zero_idle_cost=True)
     said = {(r.option, r.constraint_id): (r.requirement, r.limit, r.actual) for r in report["rejected"].collect()}
-    assert said["async", "request_payload_over_limit"] == ("request payload of 2048 MB (2 GB)", "1024 MB (1 GB)", "2048 MB (2 GB)")
-    assert said["real_time", "processing_time_over_limit"] == ("processing time of 7200 s (2 hours) per request", "60 s", "7200 s (2 hours)")
-    assert said["batch_transform", "no_inline_response"] == ("the caller needs the answer at once", None, None)
+    assert said["async", "request_payload_over_limit"] == ("requests of up to 2048 MB (2 GB)", "1024 MB (1 GB)", "2048 MB (2 GB)")
+    assert said["real_time", "processing_time_over_limit"] == ("requests that run for 7200 s (2 hours)", "60 s", "7200 s (2 hours)")
+    assert said["batch_transform", "no_inline_response"] == ("answers go back on the same call", None, None)
     conflicts = report["conflicts"].orderBy("place").collect()
     assert [(c.constraint_id, len(c.eliminated)) for c in conflicts] == [
         ("processing_time_over_limit", 4), ("request_payload_over_limit", 4), ("no_inline_response", 2), ("cannot_scale_to_zero", 1),
@@ -81,6 +81,6 @@ def test_level_scores_fall_to_less_standing_infrastructure(spark):
 
 def test_invalid_rows_are_set_aside(spark):
     report = place(spark, payload_mb=-1.0)
-    assert report["invalid"].first().problem == "payload_mb must not be negative"
+    assert report["invalid"].first().problem == "payload_mb: missing or below zero"
     assert report["recommendations"].count() == 0
     assert place(spark, model_count=0)["invalid"].count() == 1 and place(spark, latency_p99_ms=0.0)["invalid"].count() == 1
