@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -163,16 +162,30 @@ def _hide(value: object) -> object:
 def redact(records: DataFrame) -> DataFrame:
     """Records with the body fields masked at any object depth, as `redacted` JSON text.
 
-    Objects nest without a known depth, which no built-in expression can follow, so this one
-    diagnostic runs in Python on Arrow batches.
+    Bodies stand at the top of a record or in its input and output. There their text is cut out of the record's own
+    by plain expressions, for which a variant and the record it belongs to have the same text. A record whose text
+    names a body field anywhere else, in a deeper object, an array or another body, is masked by a walk in Python;
+    only such records are handed to it.
     """
+    places = [(name, f'$.{section}["{name}"]' if section else f'$["{name}"]') for name in CONTENT_FIELDS for section in ("", "input", "output")]
+    rows = records.filter(is_object(F.col("raw"))).select(
+        "source", F.to_json("raw").alias("json"),
+        F.array(*[F.struct(F.lit(f'"{name}":').alias("key"), F.to_json(leaf(F.col("raw"), path)).alias("body")) for name, path in places]).alias("found"),
+    )
+    # the longest first: one number can begin like another
+    found = F.transform(F.filter("found", lambda f: f["body"].isNotNull()), lambda f: F.struct((-F.length(f["body"])).alias("n"), f["key"].alias("key"), f["body"].alias("body")))
+    rows = rows.withColumn("found", F.array_sort(found))
+    named = F.regexp_count("json", F.lit('"(' + "|".join(CONTENT_FIELDS) + ')":'))
+    masked = F.aggregate(
+        "found", F.col("json"), lambda text, f: F.replace(text, F.concat(f["key"], f["body"]), F.concat(f["key"], F.lit(f'"{REDACTED}"')))
+    )
+    usual = named == F.size("found")
+    told = once(rows, F.col("source"), F.when(usual, masked).alias("masked"), F.when(~usual, F.col("json")).alias("unusual"))
 
-    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            masked = batch["json"].map(
-                lambda text: json.dumps(_hide(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-            )
-            yield pd.DataFrame({"source": batch["source"], "redacted": masked})
+    @F.pandas_udf("string")
+    def walked(texts: pd.Series) -> pd.Series:
+        return texts.map(
+            lambda text: json.dumps(_hide(json.loads(text)), ensure_ascii=False, separators=(",", ":")), na_action="ignore"
+        )
 
-    rows = records.filter(is_object(F.col("raw"))).select("source", F.to_json("raw").alias("json"))
-    return rows.mapInPandas(mask, "source string, redacted string")
+    return told.select("source", F.coalesce("masked", walked("unusual")).alias("redacted"))

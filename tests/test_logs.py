@@ -223,6 +223,19 @@ def test_redaction_keeps_the_shape(spark):
     assert json.loads(text)["extra"]["more"]["inputBodyJson"] == "<redacted>"
 
 
+def test_redaction_equals_a_walk_over_every_record(spark):
+    body = {"a": [1, 2.5, None], "t": 'quo"te \\ "outputBodyJson":1'}
+    found = [
+        record(), record(inputBodyJson=CANARY, output=...), record(input={"inputBodyJson": 12, "x": [{"inputBodyJson": 123}]}), record(input="text"), record(input=[{"inputBodyJson": 1}]),
+        record(input={"inputBodyJson": body, "outputBodyJson": body}), record(input={"inputBodyJson": {"inputBodyJson": 1}}), record(input={"inputBodyJson": None}),
+        record(output={"outputBodyJson": 1, "inputBodyJson": 12}, inputBodyJson=1), {"inputBodyJson": "é\u2028", "deep": {"er": {"outputBodyJson": [1]}}}, {},
+    ]
+    lines = [(f"s{k}", "p", 1, json.dumps(r)) for k, r in enumerate(found)]
+    records = logs.decode_lines(spark.createDataFrame(lines, "source string, path string, position int, line string"))
+    got = {r.source: json.loads(r.redacted) for r in iv.redact(records).collect()}
+    assert got == {f"s{k}": iv._hide(r) for k, r in enumerate(found)}
+
+
 def test_content_is_the_first_record_of_an_id(spark):
     rows = [("p#9", "p", 9, json.dumps(record(modelId="late"))), ("p#2", "p", 2, json.dumps(record(modelId="early")))]
     records = logs.decode_lines(spark.createDataFrame(rows, "source string, path string, position int, line string"))
