@@ -188,10 +188,11 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 def _dealt(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(part, copy, id, hash, text): the order of documents in parts; copy 1 is the first document behind a part.
 
-    Parts are cut by (id, hash) at keys drawn from all rows, as a range partitioning would cut them. The
-    driver holds keys in proportion to the number of parts, no texts.
+    Each part is a partition. Parts are cut by (id, hash) at keys drawn from all rows, as a range partitioning would cut them, but
+    longer texts are likelier to be drawn, so that parts are of about equal size. The driver holds keys in proportion to the
+    number of parts, no texts.
     """
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("hash"), "text")
     keys = rows.select("id", "hash")
@@ -199,11 +200,14 @@ def _dealt(docs: DataFrame, id: str, text: str) -> DataFrame:
     def place(id: int | None, hash: int) -> tuple[int, int, int]:
         return (1, 0, hash) if id is None else (0, -id, hash)
 
-    # each row with the same chance, so that about _SAMPLED keys a part are drawn
-    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, keys.count())))
-    drawn = keys.filter(chance < _SAMPLED * parts).collect()
+    # about _SAMPLED keys a part, the chance of a key growing with its text
+    sized = rows.select("id", "hash", (F.octet_length("text") + 64).alias("size"))
+    total = sized.agg(F.sum("size")).first()[0] or 1
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**52)) / float(2**52)
+    drawn = sized.filter(chance < F.col("size") * (_SAMPLED * parts / total)).select("id", "hash").collect()
     order = sorted({place(*r) for r in drawn})
-    bounds = order[:: max(1, len(order) // parts)]
+    step = max(1, -(-len(order) // parts))
+    bounds = order[step::step]
 
     def part_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
         pairs = zip(ids.to_pylist(), hashes.to_pylist())
@@ -221,7 +225,8 @@ def _dealt(docs: DataFrame, id: str, text: str) -> DataFrame:
         return pa.array([[p, before[at]] if at in before else [p] for p, at in zip(own, places)], pa.list_(pa.int32()))
 
     numbers = F.posexplode(F.arrow_udf(parts_of, "array<int>")("id", "hash")).alias("copy", "part")
-    return rows.select("id", "hash", "text", numbers).select("part", "copy", "id", "hash", "text")
+    placed = rows.select("id", "hash", "text", numbers).select("part", "copy", "id", "hash", "text")
+    return placed.repartitionById(len(bounds) + 1, "part")
 
 
 def edited(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,7 +235,7 @@ def edited(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     The edited text has its last floor(n / 2) code points replaced by the first as many (or all) of the next
     document. Texts are shuffled once, into parts of the order; a task streams its part.
     """
-    order = _dealt(docs, id, text).repartition("part")
+    order = _dealt(docs, id, text)
     order = order.sortWithinPartitions("part", "copy", F.col("id").desc_nulls_last(), "hash", "text")
     fields = (
         ("id", docs.schema[id].dataType.simpleString()), ("n_chars", "bigint"), ("edited_sha256", "string"), ("fingerprint", "string"),
