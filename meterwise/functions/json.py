@@ -35,18 +35,16 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def fields(value: Column, *names: str) -> Column:
-    """The named fields of an object as a struct of variants, in one pass; null for anything else."""
-    wanted = ", ".join(f"`{n}`: variant" for n in names)
-    return F.try_variant_get(value, "$", f"struct<{wanted}>")
+def taken(value: Column, schema: str) -> Column:
+    """An object read once as a struct; a field missing or of a kind its type cannot be read from is null.
 
-
-def is_object(value: Column) -> Column:
-    return fields(value, "_").isNotNull()
+    A field of type `binary` is filled by a JSON string only: no other kind can be read as bytes.
+    """
+    return F.try_variant_get(value, "$", schema)
 
 
-def is_number(value: Column) -> Column:
-    return F.coalesce(kind(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+def is_object(value: Column) -> Column:
+    return taken(value, "struct<_: variant>").isNotNull()
 
 
 def is_null(value: Column) -> Column:
@@ -58,14 +56,22 @@ def as_string(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def text(value: Column) -> Column:
-    """A trimmed string; anything but a string reads as empty."""
-    return F.when(kind(value) == "STRING", strip(as_string(value))).otherwise("")
+def string(value: Column) -> Column:
+    """A JSON string; null for any other kind."""
+    return F.try_variant_get(value, "$", "binary").cast("string")
+
+
+def number(value: Column) -> Column:
+    """A JSON number as a double; null for any other kind. Only a number's own text reads as one."""
+    return F.to_json(value).try_cast("double")
+
+
+def text(read: Column) -> Column:
+    """A trimmed string from a field taken as `binary`; anything but a string reads as empty."""
+    return F.coalesce(strip(read.cast("string")), F.lit(""))
 
 
-def count(value: Column) -> Column:
-    """A count: a JSON number cut to an integer; negative or any other type reads as null."""
-    whole = F.when(kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
-        is_number(value), F.try_variant_get(value, "$", "double").try_cast("decimal(38,6)").try_cast("bigint")
-    )
+def count(digits: Column) -> Column:
+    """A count from a leaf's own JSON text: a number cut to an integer; negative or any other kind reads as null."""
+    whole = F.coalesce(digits.try_cast("bigint"), digits.try_cast("double").try_cast("decimal(38,6)").try_cast("bigint"))
     return F.when(whole >= 0, whole)

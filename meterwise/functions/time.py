@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meterwise.functions.json import as_string, is_number, kind
+from meterwise.functions.json import number, string
 from meterwise.functions.text import strip
 
 # Epoch numbers above this are milliseconds; the range is years 1 to 9999.
@@ -40,16 +40,14 @@ def iso_timestamp(text: Column) -> Column:
     )
 
 
-def epoch_timestamp(number: Column) -> Column:
+def epoch_timestamp(value: Column) -> Column:
     """Epoch seconds, or milliseconds when the number is too large to be seconds."""
-    sec = F.when(number > MILLISECONDS_ABOVE, number / 1000).otherwise(number)
+    sec = F.when(value > MILLISECONDS_ABOVE, value / 1000).otherwise(value)
     return F.when(
         sec.between(*EPOCH_RANGE), F.timestamp_micros(F.rint(sec * 1000000).cast("bigint"))
     )
 
 
 def timestamp(value: Column) -> Column:
-    """A timestamp from a JSON string or number; any other type is null."""
-    return F.when(kind(value) == "STRING", iso_timestamp(strip(as_string(value)))).when(
-        is_number(value), epoch_timestamp(F.try_variant_get(value, "$", "double"))
-    )
+    """A timestamp from a JSON string or number; any other kind is null."""
+    return F.coalesce(iso_timestamp(strip(string(value))), epoch_timestamp(number(value)))

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.functions.json import as_string, count, fields, is_null, is_object, kind, leaf, text
-from meterwise.functions.time import timestamp
+from meterwise.functions.json import as_string, count, is_null, is_object, leaf, number, string, taken, text
+from meterwise.functions.text import strip
+from meterwise.functions.time import epoch_timestamp, iso_timestamp
 from meterwise.operators.small import once
 from meterwise.settings import CONTENT_FIELDS, METRICS_KEY, NO_IDENTITY, REDACTED, SCHEMA_MAJOR, SCHEMA_TYPE
 
@@ -20,16 +21,27 @@ COLUMNS = (
 )
 
 
+# The leaves that are read, as the objects that hold them; strings as bytes, what may be of any kind as it is.
+_RECORD = f"""struct<schemaType: binary, schemaVersion: variant, timestamp: variant, requestId: binary, modelId: binary, operation: binary,
+    region: binary, accountId: binary, errorCode: binary, identity: struct<arn: binary>,
+    input: struct<inputTokenCount: variant, cacheReadInputTokenCount: variant, cacheWriteInputTokenCount: variant>,
+    output: struct<outputTokenCount: variant, outputBodyJson: struct<`{METRICS_KEY}`: struct<invocationLatency: variant, firstByteLatency: variant>>>>"""
+
+
+_TEXTS = {
+    "request_id": "requestId", "model_id": "modelId", "operation": "operation", "region": "region", "account_id": "accountId",
+    "identity_arn": "identity.arn",
+}
+
+
 def _version(value: Column) -> Column:
     """The schema version as text; anything empty or zero reads as not given."""
-    text_value = as_string(value)
-    number = F.try_variant_get(value, "$", "double")
+    own = F.to_json(value)
     return F.coalesce(
-        F.when(is_null(value), "")
-        .when(kind(value) == "STRING", text_value)
-        .when(kind(value) == "BOOLEAN", F.when(text_value == "true", "true").otherwise(""))
-        .when(kind(value).rlike("^(OBJECT|ARRAY)"), F.regexp_replace(F.to_json(value), r"^(\{\}|\[\])$", ""))
-        .otherwise(F.when(number == 0, "").otherwise(text_value)),
+        string(value),
+        F.when(is_null(value) | own.isin("false", "{}", "[]") | (number(value) == 0), ""),
+        # a number as a string, as it stands otherwise
+        F.when(own.isNotNull(), F.coalesce(as_string(value), own)),
         F.lit(""),
     )
 
@@ -38,49 +50,39 @@ def parse(records: DataFrame) -> DataFrame:
     """Each record's metadata columns plus `issue_kind`, null for a usable record.
 
     Only counts and identifiers are ever selected from `raw`; the body fields are not, so no later
-    table can hold them. An issue already found while reading is kept. Each object of the record is
-    taken apart once, and every field is evaluated once; a filter on it does not repeat the parsing.
+    table can hold them. An issue already found while reading is kept. The record is taken apart in one
+    read, and every field is evaluated once; a filter on it does not repeat the parsing.
     """
-    top = records.select(
-        "source", "detail", F.col("issue_kind").alias("read_issue"),
-        fields(
-            F.col("raw"), "schemaType", "schemaVersion", "timestamp", "requestId", "modelId", "operation",
-            "region", "accountId", "identity", "input", "output", "errorCode",
-        ).alias("r"),
-    )
-    sections = top.select(
+    top = records.select("source", "detail", F.col("issue_kind").alias("read_issue"), taken(F.col("raw"), _RECORD).alias("r"))
+    metrics = f"r.output.outputBodyJson.`{METRICS_KEY}`"
+    counts = {
+        "input_tokens": "r.input.inputTokenCount",
+        "output_tokens": "r.output.outputTokenCount",
+        "cache_read_tokens": "r.input.cacheReadInputTokenCount",
+        "cache_write_tokens": "r.input.cacheWriteInputTokenCount",
+        "invocation_latency_ms": f"{metrics}.invocationLatency",
+        "first_byte_latency_ms": f"{metrics}.firstByteLatency",
+    }
+    # what the next step uses more than once
+    leaves = top.select(
         "*",
-        fields(F.col("r.identity"), "arn").alias("who"),
-        fields(
-            F.col("r.input"), "inputTokenCount", "cacheReadInputTokenCount", "cacheWriteInputTokenCount"
-        ).alias("i"),
-        fields(F.col("r.output"), "outputTokenCount").alias("o"),
-        fields(leaf(F.col("r.output"), f'$.outputBodyJson["{METRICS_KEY}"]'), "invocationLatency", "firstByteLatency").alias("m"),
+        strip(string(F.col("r.timestamp"))).alias("stamp_text"),
+        number(F.col("r.timestamp")).alias("stamp_number"),
+        text(F.col("r.errorCode")).alias("error"),
+        *[F.to_json(F.col(path)).alias(f"{name}_json") for name, path in counts.items()],
     )
-    error = text(F.col("r.errorCode"))
     parsed = once(
-        sections,
+        leaves,
         F.col("read_issue"),
         F.col("detail"),
         F.col("r").isNotNull().alias("is_record"),
-        (kind(F.col("r.schemaType")) == "STRING").alias("has_type"),
-        as_string(F.col("r.schemaType")).alias("schema_type"),
+        F.col("r.schemaType").cast("string").alias("schema_type"),
         _version(F.col("r.schemaVersion")).alias("version"),
         is_null(F.col("r.timestamp")).alias("no_timestamp"),
-        timestamp(F.col("r.timestamp")).alias("ts"),
-        text(F.col("r.requestId")).alias("request_id"),
-        text(F.col("r.modelId")).alias("model_id"),
-        text(F.col("r.operation")).alias("operation"),
-        text(F.col("r.region")).alias("region"),
-        text(F.col("r.accountId")).alias("account_id"),
-        text(F.col("who.arn")).alias("identity_arn"),
-        count(F.col("i.inputTokenCount")).alias("input_tokens"),
-        count(F.col("o.outputTokenCount")).alias("output_tokens"),
-        count(F.col("i.cacheReadInputTokenCount")).alias("cache_read_tokens"),
-        count(F.col("i.cacheWriteInputTokenCount")).alias("cache_write_tokens"),
-        count(F.col("m.invocationLatency")).alias("invocation_latency_ms"),
-        count(F.col("m.firstByteLatency")).alias("first_byte_latency_ms"),
-        F.when(error != "", error).alias("error_code"),
+        F.coalesce(iso_timestamp(F.col("stamp_text")), epoch_timestamp(F.col("stamp_number"))).alias("ts"),
+        *[text(F.col(f"r.{path}")).alias(name) for name, path in _TEXTS.items()],
+        *[count(F.col(f"{name}_json")).alias(name) for name in counts],
+        F.when(F.col("error") != "", F.col("error")).alias("error_code"),
         F.col("source"),
     )
     major = F.substring_index("version", ".", 1)
@@ -88,7 +90,7 @@ def parse(records: DataFrame) -> DataFrame:
         F.col("read_issue"),
         F.when(~F.col("is_record"), "not_a_record"),
         F.when(
-            ~F.coalesce(F.col("has_type") & (F.col("schema_type") == SCHEMA_TYPE), F.lit(False)),
+            ~F.coalesce(F.col("schema_type") == SCHEMA_TYPE, F.lit(False)),
             "wrong_schema_type",
         ),
         F.when((F.col("version") != "") & (major != SCHEMA_MAJOR), "unsupported_schema_version"),
