@@ -8,7 +8,10 @@ of its q-grams with the text, all of them on e + 1 neighbouring diagonals (place
 in the passage). Shared q-grams are counted in bands of e + 1 diagonals; two neighbouring bands overlap
 every such run, so a region is looked at only where two neighbours together reach the bound. There a
 banded alignment finds the place with the fewest edits, and the passage counts as leaked if those are
-within the budget, a tenth of its length.
+within the budget, a tenth of its length. An alignment within the budget leaves its shared q-grams by at
+most e diagonals, so the band has the 2e + 2 of the two neighbours and e on either side. The candidates of
+a slice are aligned together, STEP bytes of the passages at a time; those that have the same band of the
+text and have read the same bytes share their cells, so items with one opening read it once a place.
 
 Texts are compared as UTF-8 bytes with A-Z lowered and every white-space byte read as a space, so places
 are byte offsets in the text as given. Benchmark items longer than PASSAGE bytes are cut into passages, a
@@ -20,7 +23,8 @@ ASCII continues a word of the item. Items without a word are not sought.
 Scale: documents are read once and never shuffled. The benchmark is the stated query set: it is taken in
 blocks of about BLOCK_BYTES bytes, by hash, and each block is broadcast, so the size of a broadcast does
 not grow with the benchmark. Texts are searched in slices that overlap by more than a passage, so
-memory does not grow with a text.
+memory does not grow with a text; a slice that shares more than PAIRS q-grams with the passages is
+searched in halves that overlap alike, and candidates are aligned CANDIDATES at a time.
 
 Rows: a null or empty text has no leak. Null ids and repeated rows are judged row by row. Items with
 null text leak nowhere; equal items are reported each under its own id.
@@ -42,6 +46,8 @@ BUDGET_PERCENT = 10
 PASSAGE, MIN_BYTES = 600, 32
 BLOCK_BYTES = 1 << 21
 SLICE = 1 << 20
+PAIRS, CANDIDATES, STEP = 1 << 22, 1 << 14, 8
+_FAR = 1 << 12
 _BITS = 22
 _FOLD = bytes(ord(" ") if b in b"\t\n\x0b\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -102,6 +108,14 @@ class Passages:
         self.budget = np.array([edit_budget(n) for n in sizes], dtype=np.int64)
         self.needed = sizes - Q + 1 - Q * self.budget
         self.reach = int(sizes.max() + self.budget.max()) if len(sizes) else 0
+        self.size = sizes
+        # the passages in parts of STEP bytes, equal parts under one number
+        known: dict[bytes, int] = {}
+        parts = [[known.setdefault(t[k : k + STEP], len(known)) for k in range(0, len(t), STEP)] for t in self.text]
+        self.part_at = np.cumsum([0] + [len(p) for p in parts])[:-1]
+        self.part = np.array([k for p in parts for k in p], dtype=np.int64)
+        self.part_size = np.array([len(k) for k in known], dtype=np.int64)
+        self.letters = np.frombuffer(b"".join(k.ljust(STEP, b"\0") for k in known), dtype=np.uint8).reshape(-1, STEP)
         grams = [_grams(np.frombuffer(t, dtype=np.uint8)) for t in self.text]
         places = [np.arange(len(g)) for g in grams]
         owners = [np.full(len(g), k) for k, g in enumerate(grams)]
@@ -167,6 +181,11 @@ class Passages:
         if not len(at):
             return
         repeats = self.count[where]
+        if repeats.sum() > PAIRS and len(text) > 8 * self.reach:
+            half = len(text) // 2
+            yield from self._slice(text[: half + 2 * self.reach])
+            yield from ((owner, half + start, half + end, edits) for owner, start, end, edits in self._slice(text[half:]))
+            return
         entry = np.repeat(self.first[where] - np.concatenate(([0], np.cumsum(repeats)[:-1])), repeats) + np.arange(repeats.sum())
         passage = self.passage[entry]
         # shifted so that every diagonal is positive
@@ -176,49 +195,65 @@ class Passages:
         beside = np.zeros(len(key), dtype=np.int64)
         if len(key) > 1:
             beside[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-        for k in np.flatnonzero(count + beside >= self.needed[key >> 40]):
-            which, low = int(key[k] >> 40), int(key[k] & ((1 << 40) - 1))
-            budget, passage_text = int(self.budget[which]), self.text[which]
-            first = low * (budget + 1) - self.reach
-            start = max(0, first - budget)
-            region = text[start : max(0, first + 2 * (budget + 1) + len(passage_text) + budget)]
-            hit = aligned(passage_text, region, budget)
-            if hit:
-                yield self.owner[which], start + hit[0], start + hit[1], hit[2]
-
-
-def aligned(passage: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
-    """The part of `region` nearest to `passage`: (start, end, edits), or None beyond the budget.
-
-    The region reaches a few budgets over the passage on either side, so a row of the table is the band.
+        key = key[count + beside >= self.needed[key >> 40]]
+        which, low = key >> 40, key & ((1 << 40) - 1)
+        budget = self.budget[which]
+        # the diagonals of two neighbouring bands, and as many as edits can leave them by
+        left = low * (budget + 1) - self.reach - budget
+        for edits in np.unique(budget):
+            own = np.flatnonzero(budget == edits)
+            own = own[np.argsort(left[own], kind="stable")]
+            for k in range(0, len(own), CANDIDATES):
+                part = own[k : k + CANDIDATES]
+                for passage, start, end, cost in banded(self, text, which[part], left[part], int(edits)):
+                    yield self.owner[passage], start, end, cost
+
+
+def banded(passages: Passages, text: bytes, which: np.ndarray, left: np.ndarray, budget: int) -> Iterator[tuple[int, int, int, int]]:
+    """Passages aligned to a text, each within its band: (passage, start, end, edits) of those within the budget.
+
+    Candidate k may place passage `which[k]` on the 4 * budget + 2 diagonals from `left[k]` on. A cell is a
+    diagonal; its row of the table is the number of passage bytes read. Of places with equal edits the first is given.
     """
-    exact = region.find(passage)
-    if exact >= 0:
-        return exact, exact + len(passage), 0
-    if not budget:
-        return None
-    letters = np.frombuffer(region, dtype=np.uint8)
-    width = len(letters)
-    ramp = np.arange(width + 1)
-    cost, origin = np.zeros(width + 1, dtype=np.int64), ramp.copy()
-    for row, letter in enumerate(passage, 1):
-        across = cost[:-1] + (letters != letter)
-        down = cost[1:] + 1
-        step = np.empty(width + 1, dtype=np.int64)
-        step[0] = row
-        step[1:] = np.minimum(across, down)
-        source = np.empty(width + 1, dtype=np.int64)
-        source[0] = 0
-        source[1:] = np.where(across <= down, origin[:-1], origin[1:])
-        # steps along the row: the cheapest start to the left plus the distance
-        left = step - ramp
-        least = np.minimum.accumulate(left)
-        at = np.maximum.accumulate(np.where(left == least, ramp, 0))
-        cost, origin = least + ramp, source[at]
-        if cost.min() > budget:
-            return None
-    end = int(cost.argmin())
-    return int(origin[end]), end, int(cost[end])
+    width, n = 4 * budget + 2, len(text)
+    ramp = np.arange(width, dtype=np.int16)
+    # before and behind the text stands what equals no byte
+    padding = passages.reach + width + budget + STEP
+    letters = np.full(n + 2 * padding, -1, dtype=np.int16)
+    letters[padding : padding + n] = np.frombuffer(text, dtype=np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(letters, width)
+    low, state = np.unique(left, return_inverse=True)
+    origin = (low[:, None] + ramp).astype(np.int32)
+    cost = np.where((origin >= 0) & (origin <= n), 0, _FAR).astype(np.int16)
+    read = 0
+    while len(which):
+        part = passages.part[passages.part_at[which] + read // STEP]
+        pairs, state = np.unique(state * len(passages.part_size) + part, return_inverse=True)
+        before, part = np.divmod(pairs, len(passages.part_size))
+        low, cost, origin, size = low[before], cost[before], origin[before], passages.part_size[part]
+        for k in range(int(size.max())):
+            rows = np.flatnonzero(size > k)
+            old, source = cost[rows], origin[rows]
+            step = old + (windows[low[rows] + read + k + padding] != passages.letters[part[rows], k][:, None])
+            down = old[:, 1:] + 1
+            better = down < step[:, :-1]
+            step[:, :-1] = np.where(better, down, step[:, :-1])
+            source[:, :-1] = np.where(better, origin[rows, 1:], source[:, :-1])
+            # along the row: the cheapest cell to the left plus the distance
+            level = step - ramp
+            least = np.minimum.accumulate(level, axis=1)
+            at = np.maximum.accumulate(np.where(level == least, ramp, 0), axis=1)
+            cost[rows], origin[rows] = least + ramp, np.take_along_axis(source, at, axis=1)
+        best = cost.argmin(axis=1)
+        fewest = cost[np.arange(len(cost)), best]
+        within, ended = fewest[state] <= budget, passages.size[which] <= read + STEP
+        for k in np.flatnonzero(within & ended).tolist():
+            row, passage = state[k], int(which[k])
+            cell = best[row]
+            yield passage, int(origin[row, cell]), int(low[row] + passages.size[passage] + cell), int(fewest[row])
+        stay = within & ~ended
+        which, state = which[stay], state[stay]
+        read += STEP
 
 
 def _blocks(items: DataFrame, id_column: str, text_column: str) -> Iterator[tuple[list, list[tuple[int, bytes]]]]:

@@ -324,6 +324,35 @@ def test_quotations_across_a_cut_and_short_items_leak(spark):
             assert known.search(text[at : at + 899]), (size, at)
 
 
+def test_spans_and_edits_of_leaks_equal_brute_force(monkeypatch):
+    draw = random.Random(5)
+    letters = lambda n: "".join(draw.choice("abcdefgh ij") for _ in range(n)).encode()
+    opening = letters(30)
+    items = [opening + letters(size) for size in (2, 10, 11, 30, 81, 120) for _ in range(3)]
+    texts = []
+    for k in range(60):
+        passage = bytearray(items[k % len(items)])
+        for _ in range(draw.randint(0, leaks.edit_budget(len(passage)) + 1)):
+            at = draw.randrange(len(passage))
+            passage[at : at + draw.randint(0, 1)] = draw.choice([b"", b"y", b"z"])
+        texts.append(letters(draw.choice((0, 1, 40))) + bytes(passage) + letters(draw.choice((0, 1, 40))) + opening)
+    known = leaks.Passages(list(enumerate(items)))
+    plain = [known.search(text) for text in texts]
+    for text, found in zip(texts, plain):
+        least = {k: edits_of(item, text) for k, item in enumerate(items)}
+        assert {hit[0] for hit in found} == {k for k, edits in least.items() if edits <= leaks.edit_budget(len(items[k]))}
+        for k, start, end, edits in found:
+            assert edits_of(text[start:end], items[k]) <= edits == edits_of(items[k], text[start:end])
+            assert edits == least[k] or any(hit[0] == k and hit[3] == least[k] for hit in found)
+    # slices in halves and candidates in small groups find the same
+    monkeypatch.setattr(leaks, "PAIRS", 50)
+    monkeypatch.setattr(leaks, "CANDIDATES", 3)
+    joined = b" ".join(texts)
+    halved = known.search(joined)
+    monkeypatch.undo()
+    assert halved == known.search(joined) and len(halved) > 20
+
+
 # --- language model ----------------------------------------------------------------------------------
 
 
