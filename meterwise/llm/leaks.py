@@ -200,8 +200,16 @@ class Passages:
         budget = self.budget[which]
         # the diagonals of two neighbouring bands, and as many as edits can leave them by
         left = low * (budget + 1) - self.reach - budget
-        for edits in np.unique(budget):
-            own = np.flatnonzero(budget == edits)
+        # verbatim copies need no alignment
+        exact = np.zeros(len(which), dtype=bool)
+        for k, (passage, first, edits) in enumerate(zip(which.tolist(), left.tolist(), budget.tolist())):
+            size = len(self.text[passage])
+            start = text.find(self.text[passage], max(0, first), max(0, first + 4 * edits + 1 + size))
+            if start >= 0:
+                exact[k] = True
+                yield self.owner[passage], start, start + size, 0
+        for edits in np.unique(budget[~exact]):
+            own = np.flatnonzero((budget == edits) & ~exact)
             own = own[np.argsort(left[own], kind="stable")]
             for k in range(0, len(own), CANDIDATES):
                 part = own[k : k + CANDIDATES]
@@ -231,14 +239,16 @@ def banded(passages: Passages, text: bytes, which: np.ndarray, left: np.ndarray,
         pairs, state = np.unique(state * len(passages.part_size) + part, return_inverse=True)
         before, part = np.divmod(pairs, len(passages.part_size))
         low, cost, origin, size = low[before], cost[before], origin[before], passages.part_size[part]
+        whole = int(size.min())
         for k in range(int(size.max())):
-            rows = np.flatnonzero(size > k)
+            rows = slice(None) if whole > k else np.flatnonzero(size > k)
             old, source = cost[rows], origin[rows]
             step = old + (windows[low[rows] + read + k + padding] != passages.letters[part[rows], k][:, None])
             down = old[:, 1:] + 1
+            right = source[:, 1:].copy()
             better = down < step[:, :-1]
             step[:, :-1] = np.where(better, down, step[:, :-1])
-            source[:, :-1] = np.where(better, origin[rows, 1:], source[:, :-1])
+            source[:, :-1] = np.where(better, right, source[:, :-1])
             # along the row: the cheapest cell to the left plus the distance
             level = step - ramp
             least = np.minimum.accumulate(level, axis=1)
