@@ -186,3 +186,11 @@ def test_a_walk_that_never_meets_another_one(spark, monkeypatch):
     points = [("k", 11 * n + shift) for n in range(400) for shift in (0, 3, 5)]
     table = spark.createDataFrame(points, "k string, at bigint")
     assert sorted(r.at for r in spaced(table, ["k"], 10).collect()) == [11 * n for n in range(400)]
+
+
+def test_small_groups_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(spacing, "_POINTS_A_TASK", 30)
+    rows = [(f"k{k}", at) for k in range(40) for at in (0, 5, 11, 5000)]
+    found = spaced(spark.createDataFrame(rows, "k string, at bigint"), ["k"], 10)
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(map(tuple, found.collect())) == sorted((f"k{k}", at) for k in range(40) for at in (0, 11, 5000))
