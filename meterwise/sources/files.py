@@ -22,8 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterwise.kept import kept
+from meterwise.operators.small import tasks_for
 
 RANGE_BYTES = 64 << 20
+# What one task lists, inspects or reads: so many files or ranges, or bytes of them, whichever asks for more tasks.
+_TASK_FILES, _TASK_BYTES = 64, 1 << 20
+# A file that has to be one task's stream and is larger than this hands its records on to other tasks.
+STREAM_BYTES = 16 << 20
 _BLOCK = 1 << 20
 _GZIP = b"\x1f\x8b"
 # A row group handed to Spark: so many rows or characters, whichever comes first.
@@ -327,17 +332,25 @@ def listed(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFra
         folders = found[-1].filter("folder").select("path")
         if folders.isEmpty():
             break
-        folders = folders.repartition("path")
+        folders = folders.repartition(tasks_for(folders.count(), _TASK_FILES))
     whole = found[0]
     for level in found[1:]:
         whole = whole.unionByName(level)
     return whole.filter("NOT folder").select("path", "size", "problem")
 
 
-def pieces(spark: SparkSession, path: str, suffixes: tuple[str, ...], range_bytes: int = RANGE_BYTES) -> DataFrame:
+def _tasks(files: int, size: int | None) -> int:
+    """How many tasks open so many files or ranges: by a number of its own, as rows that only name them are few bytes."""
+    return max(tasks_for(files, _TASK_FILES), min(max(files, 1), tasks_for(size or 0, _TASK_BYTES)))
+
+
+def pieces(
+    spark: SparkSession, path: str, suffixes: tuple[str, ...], range_bytes: int = RANGE_BYTES, stream_bytes: int = STREAM_BYTES
+) -> DataFrame:
     """(path, position, line, problem): the JSON text of every record, lines and elements numbered from 1.
 
     A file that is one record has position 0. A file or folder that cannot be read is one row with the problem.
+    Arrays and compressed files above `stream_bytes` are read by one task each, and their records dealt over others.
     """
     files = listed(spark, path, suffixes)
 
@@ -347,7 +360,8 @@ def pieces(spark: SparkSession, path: str, suffixes: tuple[str, ...], range_byte
             yield pa.RecordBatch.from_arrays([*batch.columns, *seen.columns], ["path", "size", *_LAYOUT.names])
 
     # files one by one over the tasks: what each takes has little to do with its neighbours
-    layouts = files.filter("problem IS NULL").select("path", "size").repartition("path")
+    layouts = files.filter("problem IS NULL").select("path", "size")
+    layouts = layouts.repartition(_tasks(*layouts.agg(F.count("*"), F.sum("size")).first()))
     layouts = kept(layouts.mapInArrow(inspect, "path string, size long, packed boolean, layout string, problem string"))
     broken = files.filter("problem IS NOT NULL").select("path", "problem").unionByName(
         layouts.filter("problem IS NOT NULL").select("path", "problem")
@@ -360,13 +374,26 @@ def pieces(spark: SparkSession, path: str, suffixes: tuple[str, ...], range_byte
         F.explode(F.coalesce(starts, F.array(F.lit(0).cast("long")))).alias("start"),
     )
     ranges = ranges.withColumn("end", F.when(F.col("split"), F.least(F.col("start") + range_bytes, "size")).otherwise(F.col("size")))
-    parts = ranges.filter("split").select("path", "size", "start", "end").repartition("path", "start")
+    stream = (F.col("packed") | (F.col("layout") == "array")) & (F.col("size") > stream_bytes)
+    number, size, cut, streams, streamed = ranges.agg(
+        F.count("*"), F.sum(F.col("end") - F.col("start")), F.count_if("split"), F.count_if(stream), F.sum(F.when(stream, F.col("size")))
+    ).first()
+    parts = ranges.filter("split").select("path", "size", "start", "end").repartition(max(1, min(cut, _tasks(cut, size))))
     counts = parts.mapInArrow(_counted, "path string, start long, lines long")
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("path", "start", (F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1).alias("first"))
     dealt = ranges.join(counts, ["path", "start"], "left").select(
         "path", "size", "packed", "layout", "start", "end", F.coalesce("first", F.lit(1).cast("long")).alias("first")
     )
-    records = dealt.repartition("path", "start").mapInArrow(_read, "path string, position long, line string, problem string")
+
+    def read_by(tasks: int, some: DataFrame) -> DataFrame:
+        return some.repartition(tasks).mapInArrow(_read, "path string, position long, line string, problem string")
+
+    if streams:
+        records = read_by(streams, dealt.filter(stream)).repartition(max(8, tasks_for(streamed, _TASK_BYTES)))
+        if number > streams:
+            records = records.unionByName(read_by(_tasks(number, size), dealt.filter(~stream)))
+    else:
+        records = read_by(_tasks(number, size), dealt)
     lost = broken.select("path", F.lit(0).cast("long").alias("position"), F.lit(None).cast("string").alias("line"), "problem")
     return records.unionByName(lost)
