@@ -13,6 +13,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import logs as queries
 from meterwise.kept import _held, released
 from meterwise.operators import content, costing, invocations as iv, totals
 from meterwise.plans.usage import usage_report
@@ -278,3 +279,49 @@ def test_empty_totals(spark):
 def test_grouping_key_of_the_caller(spark):
     none = costing.with_cost(iv.usable(parsed(spark, record(), record())), prices(spark, ("r", "s", "input", 1)))
     assert [(r.key, r.requests) for r in totals.grouped(none, F.lower("operation")).collect()] == [("converse", 2)]
+
+
+def _tasks_of(table) -> int:
+    return table.select(F.spark_partition_id()).distinct().count()
+
+
+def _events(spark, folder, count):
+    rows = spark.range(count).coalesce(1).select(
+        F.col("id").alias("event_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"),
+    )
+    rows.write.parquet(str(folder / "events.parquet"))
+    return str(folder)
+
+
+def test_events_of_one_scan_task_are_dealt_over_tasks(spark, tmp_path):
+    where = _events(spark, tmp_path, 120_000)
+    assert _tasks_of(spark.read.parquet(where + "/events.parquet")) == 1
+    assert _tasks_of(queries.inv(spark, where)) == 3
+    assert [tuple(r) for r in queries.inv(spark, where).agg(F.count("*"), F.countDistinct("request_id")).collect()] == [(120_000, 120_000)]
+
+
+def test_small_files_are_opened_by_several_tasks(spark, tmp_path):
+    for k in range(200):
+        (tmp_path / f"f{k}.json").write_text(json.dumps({"requestId": f"r{k}"}))
+    rows = files.pieces(spark, str(tmp_path), (".json",))
+    assert _tasks_of(rows) > 1
+    assert sorted(r.line for r in rows.collect()) == sorted(json.dumps({"requestId": f"r{k}"}) for k in range(200))
+
+
+def test_records_of_a_long_stream_are_dealt_over_tasks(spark, tmp_path):
+    records = [json.dumps({"requestId": f"r{k}"}) for k in range(9000)]
+    (tmp_path / "packed.jsonl").write_bytes(gzip.compress("\n".join(records).encode()))
+    (tmp_path / "array.json").write_text("[" + ",".join(records) + "]")
+    (tmp_path / "one.json").write_text('{"requestId": "alone"}')
+    rows = files.pieces(spark, str(tmp_path), (".jsonl", ".json"), stream_bytes=1000)
+    want = [(n, k, r) for n in ("array.json", "packed.jsonl") for k, r in enumerate(records, 1)] + [("one.json", 0, '{"requestId": "alone"}')]
+    assert sorted((r.path.rsplit("/", 1)[1], r.position, r.line) for r in rows.collect()) == sorted(want)
+    assert _tasks_of(rows.filter("path LIKE '%packed%'")) > 1
+
+
+def test_the_files_of_the_layouts_are_written_by_several_tasks(spark, tmp_path):
+    folder = queries.log_folder(spark, _events(spark, tmp_path, 20_000))
+    folder = re.sub("^file:/*(?=/)", "", folder)
+    writers = {name.split("-")[1] for _, _, names in os.walk(folder) for name in names if name.startswith("part-")}
+    assert len(writers) > 1
