@@ -255,9 +255,9 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
     for batch in batches:
         for path, *rest in _rows(batch):
-            rows, held = [], 0
             try:
                 for position, line in _pieces(path, *rest):
                     rows.append((path, position, line, None))
@@ -268,7 +268,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except (*_PROBLEMS, ValueError) as error:
                 # the file has changed since it was inspected
                 rows.append((path, 0, None, str(error)))
-            yield _batch(rows, _PIECE)
+    # small files share a batch
+    yield _batch(rows, _PIECE)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
