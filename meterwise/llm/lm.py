@@ -30,24 +30,28 @@ as the empty text in the fold rule. Without training texts every count is 0 and
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.shared import as_bytes, lowered_words, settled
+from meterwise.llm.shared import written
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 HEAD, VOCABULARY, MIN_COUNT, CLUSTER = 100_000, 510, 100, 512
 SIZE, NOISE, BATCH, ROUNDS, RATE = 16, 48, 1024, 2, 0.04
 END = " "  # no word has a space
 MIN_STEPS, ROWS = 40, 128
-_FLUSH, _CHUNK = 200_000, 400_000
+# exp of scores up to SAFE, and sums of them, are numbers of single precision
+SAFE = 64
+# a trainer reads so many times the bytes of the changes it sends
+READS = 16
+_SLICE_BYTES, _CHUNK = 1 << 26, 400_000
 _LOG10 = float(np.log(10))
 
 
@@ -55,25 +59,33 @@ def fold(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % FOLDS
 
 
+def _spelled(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The lowered words of a column of texts, one after the other, and how many each text has; about _SLICE_BYTES at a time."""
+    column = column.cast(pa.string()).fill_null("")
+    behind = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(behind, (behind[at - 1] if at else 0) + _SLICE_BYTES)))
+        # Arrow splits at exactly the six breaks; breaks at either end of a text leave an empty string there
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(at, stop - at)))
+        words, ends = split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
+        real = pc.greater(pc.binary_length(words), 0)
+        kept = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int64)))
+        yield words if kept[-1] == len(words) else words.filter(real), np.diff(kept[np.concatenate(([0], ends))])
+        at = stop
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over a table of texts (text); the end is the word END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            words = pa.array(list(counts), pa.binary()).cast(pa.string())
-            batch = pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return batch
-
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                counts.update(lowered_words(text))
-                counts[END.encode()] += 1
-                if len(counts) > _FLUSH:
-                    yield flushed()
-        yield flushed()
+            for words, sizes in _spelled(batch.column(0)):
+                counts = words.value_counts()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([counts.field(0), pa.array([END])]), pa.concat_arrays([counts.field(1), pa.array([len(sizes)], pa.int64())])],
+                    names=["word", "c"],
+                )
 
     return texts.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -123,19 +135,25 @@ class Model:
         return np.where(cluster >= 0, self.start - count + cluster, token), cluster
 
     def predicted(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
-        return self.vectors[near] @ self.near + self.vectors[far] @ self.far
+        return self.vectors.take(near, axis=0) @ self.near + self.vectors.take(far, axis=0) @ self.far
 
     def _norms(self, hidden: np.ndarray, rows: slice) -> np.ndarray:
         """Log of the sum of exp scores over some rows."""
-        outputs, biases = np.ascontiguousarray(self.vectors[rows].T), self.biases[rows]
-        whole = np.empty(len(hidden), dtype=np.float32)
+        # the biases go with a last entry of 1
+        outputs = np.vstack((self.vectors[rows].T, self.biases[rows]))
+        hidden = np.column_stack((hidden, np.ones(len(hidden), dtype=np.float32)))
+        whole, one = np.empty(len(hidden), dtype=np.float32), np.ones(outputs.shape[1], dtype=np.float32)
+        # no score is larger than this, nor its opposite: exp can do without the largest one taken off
+        bound = np.sqrt(np.square(hidden).sum(axis=1).max(initial=0) * np.square(outputs).sum(axis=0).max())
+        room = np.empty((min(BATCH, len(hidden)), outputs.shape[1]), dtype=np.float32)
         for at in range(0, len(hidden), BATCH):
-            scores = hidden[at : at + BATCH] @ outputs
-            scores += biases
-            top = scores.max(axis=1)
-            scores -= top[:, None]
+            part = hidden[at : at + BATCH]
+            scores = np.matmul(part, outputs, out=room[: len(part)])
+            top = 0 if bound < SAFE else scores.max(axis=1)
+            if bound >= SAFE:
+                scores -= top[:, None]
             np.exp(scores, out=scores)
-            whole[at : at + BATCH] = np.log(scores.sum(axis=1)) + top
+            whole[at : at + BATCH] = np.log(scores @ one) + top
         return whole
 
     def log_probabilities(self, far: np.ndarray, near: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -145,10 +163,10 @@ class Model:
         hidden = self.predicted(context // wide, context % wide)
         whole = self._norms(hidden, slice(0, self.start))
         row, cluster = self.outputs(token)
-        score = lambda at, rows: np.einsum("ij,ij->i", hidden[back[at]], self.vectors[rows]) + self.biases[rows]
+        score = lambda at, rows: np.einsum("ij,ij->i", hidden.take(back[at], axis=0), self.vectors.take(rows, axis=0)) + self.biases[rows]
         result = score(slice(None), row).astype(np.float64) - whole[back]
         for at, which in _by_cluster(cluster):
-            result[at] += score(at, token[at]) - self._norms(hidden[back[at]], self.cluster_rows(which))
+            result[at] += score(at, token[at]) - self._norms(hidden.take(back[at], axis=0), self.cluster_rows(which))
         return result
 
 
@@ -171,6 +189,9 @@ class Trainer:
         self.offset = np.log(NOISE * np.concatenate((model.noise, [1], model.tail))).astype(np.float32)
         self.upto, self.tail_upto = np.cumsum(model.noise), np.concatenate(([0], np.cumsum(model.tail)))
         self.seen = 0
+        # the last place of each row among those of a step
+        self.place = np.zeros(len(model.vectors), dtype=np.int64)
+        self.columns = np.arange(SIZE)
 
     def learn(self, far: np.ndarray, near: np.ndarray, token: np.ndarray) -> None:
         """Triples of rows; equal ones are learnt once, by their number."""
@@ -204,27 +225,45 @@ class Trainer:
         m, offset = self.model, self.offset
         if noise is None:
             noise = np.minimum(np.searchsorted(self.upto, self.draw.random(NOISE), side="right"), m.start - 1)
-        hidden = m.predicted(far, near)
-        true = np.einsum("ij,ij->i", hidden, m.vectors[token]) + m.biases[token] - offset[token]
-        false = hidden @ m.vectors[noise].T + m.biases[noise] - offset[noise]
+        near_vectors, far_vectors, true_vectors, false_vectors = (m.vectors.take(x, axis=0) for x in (near, far, token, noise))
+        hidden = near_vectors @ m.near
+        hidden += far_vectors @ m.far
+        true = np.einsum("ij,ij->i", hidden, true_vectors) + (m.biases[token] - offset[token])
+        false = hidden @ false_vectors.T
+        false += m.biases[noise] - offset[noise]
         # slopes of the loss by the scores
         true = -share / (1 + np.exp(np.clip(true, -30, 30)))
-        false = share[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
-        hidden_slope = true[:, None] * m.vectors[token] + false @ m.vectors[noise]
-        near_slope, far_slope = m.vectors[near].T @ hidden_slope, m.vectors[far].T @ hidden_slope
-        # only the rows that occur change
-        rows, back = np.unique(np.concatenate((token, noise, near, far)), return_inverse=True)
+        np.exp(np.negative(np.clip(false, -30, 30, out=false), out=false), out=false)
+        false += 1
+        np.divide(share[:, None], false, out=false)
+        hidden_slope = false @ false_vectors
+        hidden_slope += true[:, None] * true_vectors
+        near_slope, far_slope = near_vectors.T @ hidden_slope, far_vectors.T @ hidden_slope
+        # only the rows that occur change; a row is summed where it stands last
+        rows = np.concatenate((token, noise, near, far))
+        order = np.arange(len(rows))
+        self.place[rows] = order
+        last = self.place[rows]
+        unlike = last == order
+        rows, back = rows[unlike], (np.cumsum(unlike) - 1)[last]
         slopes = np.concatenate((true[:, None] * hidden, false.T @ hidden, hidden_slope @ m.near.T, hidden_slope @ m.far.T))
-        at = (back[:, None] * SIZE + np.arange(SIZE)).ravel()
-        vectors = np.bincount(at, weights=slopes.ravel(), minlength=len(rows) * SIZE).reshape(len(rows), SIZE).astype(np.float32)
+        vectors, more = slopes.take(order[unlike], axis=0), order[~unlike]
+        at = (back[more, None] * SIZE + self.columns).ravel()
+        vectors += np.bincount(at, weights=slopes.take(more, axis=0).ravel(), minlength=len(rows) * SIZE).reshape(len(rows), SIZE)
         scored = len(token) + len(noise)
         biases = np.bincount(back[:scored], weights=np.concatenate((true, false.sum(axis=0))), minlength=len(rows)).astype(np.float32)
         self.touched[rows] = True
-        places = (rows, rows, slice(None), slice(None))
-        for weight, slope, square, place in zip(m.weights(), (vectors, biases, near_slope, far_slope), self.squares, places):
-            grown = square[place] + slope * slope
-            square[place] = grown
-            weight[place] -= RATE * slope / np.sqrt(grown)
+        for weight, slope, square in zip(m.weights(), (vectors, biases, near_slope, far_slope), self.squares):
+            if weight is m.near or weight is m.far:
+                square += slope * slope
+                weight -= RATE * slope / np.sqrt(square)
+                continue
+            grown = square.take(rows, axis=0)
+            grown += slope * slope
+            square[rows] = grown
+            slope /= np.sqrt(grown, out=grown)
+            slope *= RATE
+            weight[rows] = weight.take(rows, axis=0) - slope
 
     def changes(self, start: Model) -> Iterator[tuple[int, bytes]]:
         """What was learnt, times the tokens seen: the matrices and the number of tokens as block -1, then the touched blocks of rows."""
@@ -254,11 +293,14 @@ def _averaged(model: Model, sums: dict[int, bytes]) -> Model:
     return model
 
 
-def _positions(numbers: list[list[int]], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts as token numbers: (far, near, token) of every position, and where each text begins."""
-    sizes = np.array([len(x) for x in numbers])
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    token = np.concatenate([np.array(x, dtype=np.int64) for x in numbers])
+def _positions(rows: np.ndarray, sizes: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as rows of their words: (far, near, token) of every position, and where each text begins."""
+    sizes = sizes + 1
+    begin = np.cumsum(sizes) - sizes
+    word = np.ones(sizes.sum(), dtype=bool)
+    word[begin + sizes - 1] = False
+    token = np.full(len(word), end, dtype=np.int64)
+    token[word] = rows
     near, far = np.full(len(token), start), np.full(len(token), start)
     near[1:], far[2:] = token[:-1], token[:-2]
     near[begin] = start
@@ -268,23 +310,18 @@ def _positions(numbers: list[list[int]], start: int) -> tuple[np.ndarray, np.nda
     return far, near, token, begin
 
 
-def _chunks(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
-    """The texts' words, in lists of about _CHUNK words."""
-    chunk, total = [], 0
-    for text in texts:
-        words = lowered_words(text)
-        chunk.append(words)
-        total += len(words)
-        if total > _CHUNK:
-            yield chunk
-            chunk, total = [], 0
-    if chunk:
-        yield chunk
-
-
-def _numbers(words: list[bytes], number: dict[bytes, int], other: int, end: int) -> list[int]:
-    get = number.get
-    return [get(w, other) for w in words] + [end]
+def _chunks(column: pa.Array, known: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Texts of about _CHUNK words together: their words, how many each text has, and the words' places in `known`, its length for others."""
+    for words, sizes in _spelled(column):
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < len(sizes):
+            first = int(ends[low] - sizes[low])
+            high = min(len(sizes), int(np.searchsorted(ends, first + _CHUNK, side="right")) + 1)
+            part = words.slice(first, int(ends[high - 1]) - first)
+            at = pc.index_in(part, value_set=known).fill_null(len(known)).to_numpy().astype(np.int64)
+            yield part, sizes[low:high], at
+            low = high
 
 
 @dataclass
@@ -340,21 +377,32 @@ class Corpus:
         return number
 
 
+def _trainers(texts: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
+    """The texts in as many parts as there are to be trainers: what they send is a share of what they read."""
+    context = texts.sparkSession.sparkContext
+    sent = 4 * (SIZE + 1) * len(model.vectors)
+    return texts.coalesce(max(2 * context.defaultParallelism, 6 * corpus.tokens // (READS * sent)))
+
+
 def fitted(texts: DataFrame, corpus: Corpus) -> Model:
     """The model trained on a table of texts (text)."""
     model = corpus.fresh()
     context = texts.sparkSession.sparkContext
-    number, other = context.broadcast(corpus.rows(model)), len(corpus.vocabulary)
+    numbers = corpus.rows(model)
+    shared_words = context.broadcast((list(numbers), np.array([*numbers.values(), len(corpus.vocabulary)])))
+    texts = _trainers(texts, corpus, model)
     for turn in range(ROUNDS):
         shared = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             start, trainer = shared.value, None
+            words, row_of = shared_words.value
+            known, end = pa.array(words, pa.binary()).cast(pa.string()), row_of[-1] - 1
             for batch in batches:
-                for chunk in _chunks(as_bytes(batch.column(0))):
+                for _, sizes, at in _chunks(batch.column(0), known):
                     if trainer is None:
                         trainer = Trainer(start.copied(), seed=turn)
-                    far, near, token, _ = _positions([_numbers(w, number.value, other, other - 1) for w in chunk], start.start)
+                    far, near, token, _ = _positions(row_of[at], sizes, start.start, end)
                     trainer.learn(far, near, token)
             if trainer:
                 for block, sums in trainer.changes(start):
@@ -376,41 +424,47 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         (fold(F.col(id_column)) == HELD_OUT_FOLD).alias("held_out"), F.col(text_column).cast("string").alias("text"),
     )
     texts = narrow.filter(~F.col("held_out")).select("text")
-    counts = settled(token_counts(texts))
+    counts = written(token_counts(texts))
     corpus = Corpus.of(counts)
     model = fitted(texts, corpus)
     shared = docs.sparkSession.sparkContext.broadcast((model, corpus))
     id_type = narrow.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value
-        number = known.rows(own)
-        other, end = len(known.vocabulary), len(known.vocabulary) - 1
-        floor = np.log10(known.tokens + known.distinct + 1)
-        base_of = {w: np.log10(c + 1) - floor for w, c in known.head.items()}
-        other_floor = np.log10(known.other_tokens + known.other_distinct + 1)
-        other_of = {w: 0.0 if w in number else np.log10(c + 1) - other_floor for w, c in known.head.items()}
-        end_base = base_of.get(END.encode(), -floor)
+        own, corpus = shared.value
+        words, count = list(corpus.head), np.array([*corpus.head.values(), 0])
+        known = pa.array(words, pa.binary()).cast(pa.string())
+        number, other, end = corpus.rows(own), len(corpus.vocabulary), len(corpus.vocabulary) - 1
+        row_of = np.array([*(number.get(w, other) for w in words), other])
+        # of words that are not known here the shares are added below
+        floor = np.log10(corpus.tokens + corpus.distinct + 1)
+        base_of = np.log10(count + 1) - floor
+        other_of = np.where(row_of == other, np.log10(count + 1) - np.log10(corpus.other_tokens + corpus.other_distinct + 1), 0.0)
+        end_base = np.log10(corpus.head.get(END.encode(), 0) + 1) - floor
+        base_of[-1] = other_of[-1] = 0
         for batch in batches:
-            row, base, score, size, in_head, rest = 0, [], [], [], [], []
-            for chunk in _chunks(as_bytes(batch.column(3))):
-                far, near, token, begin = _positions([_numbers(w, number, other, end) for w in chunk], own.start)
-                sums = np.add.reduceat(own.log_probabilities(far, near, token), begin) / _LOG10
-                for words, own_sum in zip(chunk, sums):
-                    tail = Counter(w for w in words if w not in base_of)
-                    base.append(end_base + sum(base_of.get(w, 0.0) for w in words))
-                    score.append(float(own_sum) + sum(other_of.get(w, 0.0) for w in words))
-                    size.append(len(words) + 1)
-                    in_head.append(len(words) - sum(tail.values()) + (known.distinct > 0))
-                    rest.append([{"word": w.decode(), "n": n} for w, n in tail.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(in_head, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                 pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
-                names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rest"],
-            )
-
-    read = settled(
+            parts = []
+            for spelled, sizes, at in _chunks(batch.column(3), known):
+                far, near, token, begin = _positions(row_of[at], sizes, own.start, end)
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                summed = lambda values: np.bincount(text, weights=values, minlength=len(sizes))  # noqa: B023, E731
+                score = np.add.reduceat(own.log_probabilities(far, near, token), begin) / _LOG10 + summed(other_of[at])
+                missing = at == len(known)
+                rest = pa.table({"text": text[missing], "word": spelled.filter(pa.array(missing))})
+                rest = rest.group_by(["text", "word"], use_threads=False).aggregate([([], "count_all")]).sort_by("text")
+                first = np.searchsorted(rest["text"].to_numpy(), np.arange(len(sizes) + 1))
+                items = pa.StructArray.from_arrays([rest[c].combine_chunks() for c in ("word", "count_all")], names=["word", "n"])
+                parts.append((
+                    pa.array(sizes + 1, pa.int64()), pa.array(sizes - np.bincount(text[missing], minlength=len(sizes)) + (corpus.distinct > 0), pa.int64()),
+                    pa.array(summed(base_of[at]) + end_base), pa.array(score), pa.ListArray.from_arrays(pa.array(first, pa.int32()), items),
+                ))
+            if parts:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), batch.column(2), *(pa.concat_arrays(x) for x in zip(*parts))],
+                    names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rest"],
+                )
+
+    read = written(
         narrow.mapInArrow(
             run, f"row bigint, id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
             "rest array<struct<word: string, n: bigint>>",

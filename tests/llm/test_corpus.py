@@ -388,6 +388,45 @@ def test_model_probabilities_sum_to_one():
     assert np.exp(model.log_probabilities(far, near, np.arange(9))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_words_are_split_and_counted_column_by_column(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(6)
+    texts = [None, "", " ", "\t a  B\n", "É ß\x85x y\x1cZ", *("".join(draw.choice("aB é\n\t\x0b\x1f") for _ in range(draw.randint(0, 40))) for _ in range(300))]
+    split = [(t or "").encode().lower().split() for t in texts]
+    monkeypatch.setattr(lm, "_SLICE_BYTES", 200)
+    monkeypatch.setattr(lm, "_CHUNK", 30)
+    known = [b"a", b"ab", "é".encode()]
+    parts = list(lm._chunks(pa.array(texts), pa.array(known, pa.binary()).cast(pa.string())))
+    assert len(parts) > 20 and np.concatenate([p[1] for p in parts]).tolist() == list(map(len, split))
+    assert [w.encode() for p in parts for w in p[0].to_pylist()] == [w for words in split for w in words]
+    assert np.concatenate([p[2] for p in parts]).tolist() == [known.index(w) if w in known else 3 for words in split for w in words]
+
+
+def test_sums_of_exp_scores_are_right_at_any_size():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    for size in (0.1, 3, 40):
+        model = lm.Model.fresh(np.full(70, 1 / 70))
+        model.vectors = (draw.normal(0, size, model.vectors.shape)).astype(np.float32)
+        hidden = draw.normal(0, size, (3000, lm.SIZE)).astype(np.float32)
+        scores = hidden.astype(np.float64) @ model.vectors[:70].T + model.biases[:70]
+        top = scores.max(axis=1, keepdims=True)
+        want = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
+        assert np.abs(model._norms(hidden, slice(0, 70)) - want).max() < 1e-5 * max(1, np.abs(want).max())
+
+
+def test_trainers_read_many_times_what_they_send(spark):
+    draw = random.Random(5)
+    texts = spark.createDataFrame([(" ".join(f"w{draw.randrange(900)}" for _ in range(400)),) for _ in range(300)], "text string").repartition(60)
+    corpus = lm.Corpus.of(lm.token_counts(texts))
+    model = corpus.fresh()
+    trainers = lm._trainers(texts, corpus, model)
+    assert trainers.count() == 300 and trainers.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism < 60
+
+
 def test_words_beyond_the_most_frequent_have_probabilities_of_their_own(spark, monkeypatch):
     import numpy as np
 
