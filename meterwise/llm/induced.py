@@ -140,13 +140,25 @@ def _induced(text: np.ndarray, rising: np.ndarray, lms: np.ndarray, memory: int)
 
 def _doubled(ranks: np.ndarray) -> np.ndarray:
     """Suffix order of a string of ranks with about as many letters as places: ranks of pairs, the reach doubled each time."""
-    reach = 1
-    while ranks.max() + 1 < len(ranks):
-        after = np.zeros_like(ranks)
-        after[:-reach] = ranks[reach:] + 1
-        _, ranks = np.unique(ranks * (len(ranks) + 1) + after, return_inverse=True)
+    count, reach = len(ranks), 1
+    size = np.bincount(ranks)
+    # a class is named by the place of its first in the order, so that those which are one need no more sorting
+    rank = (np.cumsum(size) - size)[ranks]
+    open_ = np.flatnonzero(size[ranks] > 1)
+    while len(open_):
+        after = np.append(rank, -1)[np.minimum(open_ + reach, count)]
+        key = rank[open_] * (count + 1) + after + 1
+        order = np.argsort(key)
+        open_, key = open_[order], key[order]
+        old, here = rank[open_], np.arange(len(open_))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        begin = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), here, 0))
+        rank[open_] = old + np.maximum.accumulate(np.where(new, here, 0)) - begin
+        open_ = open_[~(new & np.append(new[1:], True))]
         reach *= 2
-    return np.argsort(ranks)
+    order = np.empty(count, dtype=np.int64)
+    order[rank] = np.arange(count)
+    return order
 
 
 def _names(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -172,6 +184,9 @@ def suffix_order(text: np.ndarray, memory: int = MEMORY) -> np.ndarray:
     count = len(text)
     if count < 3:
         return np.arange(count)[::-1].copy()
+    if 0 <= text.min() and text.max() < 1 << 15:
+        # letters of two bytes are sorted in passes, not by comparing
+        text = text.astype(np.int16)
     rising = _rising(text)
     lms = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     if len(lms) > 1:
@@ -197,8 +212,14 @@ def repeated_windows(text: np.ndarray, order: np.ndarray, span: int) -> np.ndarr
     left, right = order[:-1], order[1:]
     alike = np.maximum(left, right) + span <= count
     where = np.flatnonzero(alike)
-    for step in range(span):
-        go = text[left[where] + step] == text[right[where] + step]
+    # as many letters at once as a number holds
+    bits = max(1, int(text.max(initial=0)).bit_length())
+    held = min(span, max(1, 63 // bits))
+    packed = np.zeros(max(0, count - held + 1), dtype=np.int64)
+    for step in range(held):
+        packed = packed << bits | text[step : step + len(packed)]
+    for step in (*range(0, span - held, held), span - held):
+        go = packed[left[where] + step] == packed[right[where] + step]
         alike[where[~go]] = False
         where = where[go]
     return np.concatenate(([0], np.cumsum(~alike)))

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ WINDOW = SPAN - GRAM + 1
 SHARD_BYTES = 1 << 21
 # as many surroundings as fill a shard
 HOT = SHARD_BYTES // (2 * SPAN - GRAM)
-_SLICE = 1 << 22
+# places hashed at once, and bytes of texts worked on together
+_SLICE, _GROUP = 1 << 16, 1 << 23
 _ALL = (1 << WINDOW) - 1
 _SIDE_BITS, _SIDE_MASK = 12, (1 << 12) - 1
 
@@ -60,12 +62,19 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return value
 
 
-def marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors of all windows: their places, ascending, their hashes, and hashes of their surroundings."""
+def marks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of all windows of some texts: which text, their places in it, ascending, their hashes, and hashes of their surroundings."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    # where a window would leave its text
+    late = np.zeros(len(data), dtype=bool)
+    for step in range(1, SPAN):
+        late[(ends - step)[sizes >= step]] = True
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(text) - SPAN + 1, _SLICE):
+    for at in range(0, len(data) - SPAN + 1, _SLICE):
         low, high = max(0, at - 2 * SPAN), at + _SLICE + 3 * SPAN
-        grams = gram_hashes(np.frombuffer(text[low:high], dtype=np.uint8))
+        grams = gram_hashes(data[low:high])
         part = grams[at - low : at - low + _SLICE + WINDOW - 1]
         # the place, in the low bits, decides among equal hashes
         least, width = (part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64), 1
@@ -73,35 +82,74 @@ def marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         least = np.minimum(least[: len(least) - (WINDOW - width)], least[WINDOW - width :])
-        place = at + np.unique((least & np.uint64((1 << 24) - 1)).astype(np.int64))
-        found.append((place, grams[place - low], _surroundings(text, place, grams, low)))
+        least = least[~late[at : at + len(least)]]
+        place = at + _changed((least & np.uint64((1 << 24) - 1)).astype(np.int64))
+        text = np.searchsorted(ends, place, side="right")
+        own = place - (ends - sizes)[text]
+        found.append((place, grams[place - low], _surroundings(texts, text, own, sizes[text], place - low, grams)))
     if not found:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
     place, gram, context = (np.concatenate(x) for x in zip(*found))
-    place, first = np.unique(place, return_index=True)
-    return place, gram[first], context[first]
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else place
+    place = place[first]
+    text = np.searchsorted(ends, place, side="right")
+    return text, place - (ends - sizes)[text], gram[first], context[first]
 
 
-def _surroundings(text: bytes, place: np.ndarray, grams: np.ndarray, low: int) -> np.ndarray:
+def _changed(values: np.ndarray) -> np.ndarray:
+    """Falling nowhere, as the leftmost least places of windows do: each value once."""
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+def _surroundings(texts: list[bytes], text: np.ndarray, place: np.ndarray, size: np.ndarray, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """Hashes of what lies around each anchor: 12 bits each of the GRAM bytes before and after it, 40 of all its windows.
 
     Away from the ends of the text all is made of gram hashes; there, of the bytes and the anchor's place in them.
     """
-    at = place - low
     gram = lambda step: grams[np.clip(at + step, 0, len(grams) - 1)]
     before = np.where(place >= GRAM, gram(-GRAM), 0)
-    after = np.where(place + 2 * GRAM <= len(text), gram(GRAM), 0)
+    after = np.where(place + 2 * GRAM <= size, gram(GRAM), 0)
     reach = SPAN - GRAM
     whole = np.zeros(len(place), dtype=np.uint64)
     for step in (-reach, GRAM - reach, -GRAM, 0, GRAM, 2 * GRAM, reach):
         whole = mixed(whole * np.uint64(0x9E3779B97F4A7C15) + gram(step))
-    for k in np.flatnonzero((place < reach) | (place + SPAN > len(text))).tolist():
-        p = int(place[k])
-        whole[k] = xxhash.xxh3_64_intdigest(around(text, p), seed=1 + min(p, reach))
+    edge = np.flatnonzero((place < reach) | (place + SPAN > size))
+    whole[edge] = np.fromiter(
+        (xxhash.xxh3_64_intdigest(around(texts[t], p), seed=1 + min(p, reach)) for t, p in zip(text[edge].tolist(), place[edge].tolist())),
+        np.uint64, len(edge),
+    )
     sides = (before >> np.uint64(52) << np.uint64(52)) | (after >> np.uint64(52) << np.uint64(40))
     return sides | (whole & np.uint64((1 << 40) - 1))
 
 
+def _groups(texts: list[bytes], rows: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of some texts, about _GROUP bytes together."""
+    behind = np.cumsum([len(texts[r]) for r in rows.tolist()]) if len(rows) else rows
+    at = 0
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(behind, (behind[at - 1] if at else 0) + _GROUP)))
+        yield rows[at:stop]
+        at = stop
+
+
+def _lists(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of structs: the rows of its items, and their fields."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy()
+    items = column.flatten()
+    return np.repeat(np.arange(len(column)), sizes), [items.field(n).to_numpy(zero_copy_only=False) for n in names] if len(items) else [np.empty(0, np.int64)] * len(names)
+
+
+def _matched(text: np.ndarray, context: np.ndarray, own_text: np.ndarray, own_context: np.ndarray) -> np.ndarray:
+    """For each (text, context) its place among the own ones, which are different and sorted by text and context; -1 for none."""
+    if not len(own_text):
+        return np.full(len(text), -1)
+    kinds = np.unique(own_context)
+    kind = np.minimum(np.searchsorted(kinds, context), len(kinds) - 1)
+    key, own = text * len(kinds) + kind, own_text * len(kinds) + np.searchsorted(kinds, own_context)
+    at = np.minimum(np.searchsorted(own, key), len(own) - 1)
+    return np.where((own[at] == key) & (kinds[kind] == context), at, -1)
+
+
 def around(text: bytes, place: int) -> bytes:
     """The bytes of all windows that hold the gram at `place`."""
     return text[max(0, place - SPAN + GRAM) : place + SPAN]
@@ -111,22 +159,25 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.uint64).astype(np.int64))
 
 
+def _once(text: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Where each context of a text occurs first, by text and context."""
+    order = np.lexsort((context, text))
+    text, context = text[order], context[order]
+    return order[np.concatenate(([True], (text[1:] != text[:-1]) | (context[1:] != context[:-1])))] if len(order) else order
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, grams, contexts = [], [], []
-        for row, text in enumerate(as_bytes(batch.column(1))):
-            _, gram, context = marks(text)
+        texts = as_bytes(batch.column(1))
+        for rows in _groups(texts, np.arange(len(texts))):
+            text, _, gram, context = marks([texts[r] for r in rows.tolist()])
             # a text that repeats itself sends each of its contexts once
-            context, first = np.unique(context, return_index=True)
+            first = _once(text, context)
             if len(first):
-                rows.append(np.full(len(first), row))
-                grams.append(gram[first])
-                contexts.append(context)
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [_signed(np.concatenate(grams)), _signed(np.concatenate(contexts)), batch.column(0).take(pa.array(np.concatenate(rows)))],
-                names=["gram", "context", "id"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(gram[first]), _signed(context[first]), batch.column(0).take(pa.array(rows[text[first]]))],
+                    names=["gram", "context", "id"],
+                )
 
 
 def _resembling(group: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -154,12 +205,14 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return None, table
         part = table.slice(0, stop)
         gram, context = gram[:stop], context[:stop]
-        own = np.asarray(part["id"].to_pylist(), dtype=object)
+        own = part["id"].combine_chunks()
         new_gram = np.concatenate(([gram[0] != last_gram], gram[1:] != gram[:-1]))
         new_context = new_gram | np.concatenate(([context[0] != last_context], context[1:] != context[:-1]))
         leader = np.maximum.accumulate(np.where(new_context, np.arange(stop), -1))
-        lead = np.where(leader >= 0, own[np.maximum(leader, 0)], first_id)
-        copied = own != lead
+        copied = pc.not_equal(own, own.take(pa.array(np.maximum(leader, 0)))).to_numpy(zero_copy_only=False)
+        before = int(np.searchsorted(leader, 0))
+        if before:
+            copied = np.concatenate((pc.not_equal(own.slice(0, before), pa.scalar(first_id, own.type)).to_numpy(zero_copy_only=False), copied[before:]))
         # the smallest id of each context, where another context of the anchor may share a window
         group = np.cumsum(new_gram)
         heads = np.flatnonzero(new_context)
@@ -174,7 +227,7 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_[heads[parted[heads]]] = True
         hot = parted | (np.bincount(group[open_], minlength=group[-1] + 1)[group] > HOT)
         keep = np.flatnonzero(copied | open_)
-        last_gram, last_context, first_id = gram[-1], context[-1], lead[-1]
+        last_gram, last_context, first_id = gram[-1], context[-1], own[leader[-1]].as_py() if leader[-1] >= 0 else first_id
         kept = part.take(pa.array(keep)).append_column("open", pa.array(open_[keep])).append_column("hot", pa.array(hot[keep])).combine_chunks().to_batches()
         return (kept[0] if kept else None), (table.slice(stop) if stop < len(table) else None)
 
@@ -252,7 +305,7 @@ def _masked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     text[begin[1:] - 1] = 1
     order = suffix_order(text)
     group = repeated_windows(text, order, SPAN)
-    owner = np.searchsorted(begin, order, side="right") - 1
+    owner = np.append(np.repeat(np.arange(len(rows)), sizes + 1), len(rows) - 1).take(order)
     offset = order - begin[owner]
     inside = offset + SPAN <= sizes[owner]
     group, owner, offset = group[inside], owner[inside], offset[inside]
@@ -260,8 +313,6 @@ def _masked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     ids = [r[2] for r in rows]
     rank_of = {x: k for k, x in enumerate(sorted(set(ids)))}
     rank = np.array([rank_of[x] for x in ids])[owner]
-    by_group = np.argsort(group, kind="stable")
-    group, owner, offset, rank = group[by_group], owner[by_group], offset[by_group], rank[by_group]
     if not len(group):
         return
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
@@ -281,51 +332,67 @@ def _masked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def removed_spans(text: bytes, masks: dict[int, int]) -> list[tuple[int, int]]:
     """Maximal runs of bytes to remove, from the masks of contexts. Bit k is the window that starts SPAN - GRAM - k bytes before its anchor."""
-    edge = np.zeros(len(text) + 1, dtype=np.int32)
-    places, _, contexts = marks(text)
-    contexts = contexts.astype(np.int64)
-    for at in np.flatnonzero(np.isin(contexts, list(masks))).tolist():
-        place, mask = int(places[at]), masks[int(contexts[at])]
-        first, last = max(0, place - SPAN + GRAM), min(place, len(text) - SPAN)
-        if mask == _ALL:
-            if first <= last:
-                edge[first] += 1
-                edge[last + SPAN] -= 1
-            continue
-        for k in range(WINDOW):
-            start = place - SPAN + GRAM + k
-            if mask >> k & 1 and first <= start <= last:
-                edge[start] += 1
-                edge[start + SPAN] -= 1
+    context = np.array(sorted(masks), dtype=np.int64)
+    _, low, high = _spans([text], np.zeros(len(context), dtype=np.int64), context, np.array([masks[c] for c in context.tolist()], dtype=np.int64))
+    return list(zip(low.tolist(), high.tolist()))
+
+
+def _spans(texts: list[bytes], own_text: np.ndarray, own_context: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As removed_spans, of several texts: text, first byte and the byte behind the last one. Contexts with masks by text and context."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    # a byte between the texts keeps their runs apart
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    edge = np.zeros(int((sizes + 1).sum()) + 1, dtype=np.int32)
+    text, place, _, context = marks(texts)
+    at = _matched(text, context.astype(np.int64), own_text, own_context)
+    text, place, mask = text[at >= 0], place[at >= 0], masks[at[at >= 0]]
+    first, last = np.maximum(0, place - SPAN + GRAM), np.minimum(place, sizes[text] - SPAN)
+    full = mask == _ALL
+    starts = [(begin[text] + first)[full]]
+    stops = [(begin[text] + last)[full] + SPAN]
+    text, place, mask, first, last = (x[~full] for x in (text, place, mask, first, last))
+    for k in range(WINDOW):
+        start = place - SPAN + GRAM + k
+        wanted = (mask >> k & 1).astype(bool) & (first <= start) & (start <= last)
+        starts.append((begin[text] + start)[wanted])
+        stops.append(starts[-1] + SPAN)
+    np.add.at(edge, np.concatenate(starts), 1)
+    np.add.at(edge, np.concatenate(stops), -1)
     covered = np.cumsum(edge[:-1]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
-    return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
+    text = np.searchsorted(begin, turns[::2], side="right") - 1
+    return text, turns[::2] - begin[text], turns[1::2] - begin[text]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (id, text, wanted): the open surroundings, or their windows where the anchor is hot."""
     for batch in batches:
-        out, hot = [[], [], [], [], [], []], []
-        for id_, text, pairs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-            if not pairs:
-                continue
-            place, gram, context = marks(text)
-            context, first = np.unique(context.astype(np.int64), return_index=True)
-            known = np.isin(context, [pair["context"] for pair in pairs])
-            first = first[known]
-            of_hot = {pair["context"] for pair in pairs if pair["hot"]}
-            for p, g, c in zip(place[first].tolist(), gram[first].astype(np.int64).tolist(), context[known].tolist()):
-                lead = min(p, SPAN - GRAM)
-                if c in of_hot:
-                    hot.append((c, id_, around(text, p), lead))
-                    continue
-                for column, value in zip(out, (g, c, id_, around(text, p), lead, False)):
-                    column.append(value)
-        for row in _hot_windows(hot):
-            for column, value in zip(out, (*row, True)):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), batch.schema.field(0).type, pa.binary(), pa.int64(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gram", "context", "id", "bytes", "lead", "hot"])
+        texts = as_bytes(batch.column(1))
+        owner, (wanted, is_hot) = _lists(batch.column(2), ("context", "hot"))
+        order = np.lexsort((wanted, owner))
+        owner, wanted, is_hot = owner[order], wanted[order], is_hot[order].astype(bool)
+        kinds, hot = (pa.int64(), pa.int64(), batch.schema.field(0).type, pa.binary(), pa.int64(), pa.bool_()), []
+        names = ["gram", "context", "id", "bytes", "lead", "hot"]
+        for rows in _groups(texts, np.unique(owner)):
+            inside = (owner >= rows[0]) & (owner <= rows[-1])
+            own = [texts[r] for r in rows.tolist()]
+            text, place, gram, context = marks(own)
+            context = context.astype(np.int64)
+            first = _once(text, context)
+            at = _matched(rows[text[first]], context[first], owner[inside], wanted[inside])
+            first, heat = first[at >= 0], is_hot[inside][at[at >= 0]]
+            text, place, gram, context = (x[first] for x in (text, place, gram, context))
+            bodies = [around(own[t], p) for t, p in zip(text.tolist(), place.tolist())]
+            lead, cool = np.minimum(place, SPAN - GRAM), np.flatnonzero(~heat)
+            ids = batch.column(0).take(pa.array(rows[text]))
+            hot += [(int(context[k]), ids[k].as_py(), bodies[k], int(lead[k])) for k in np.flatnonzero(heat).tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [_signed(gram[cool]), pa.array(context[cool]), ids.take(pa.array(cool)), pa.array([bodies[k] for k in cool.tolist()], pa.binary()),
+                 pa.array(lead[cool], pa.int64()), pa.array(np.zeros(len(cool), dtype=bool))], names=names,
+            )
+        if hot:
+            out = [*zip(*((*row, True) for row in _hot_windows(hot)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
 
 def findings(narrow: DataFrame) -> DataFrame:
@@ -353,15 +420,24 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], [], []]
-            for text, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                masks: dict[int, int] = {}
-                for f in found or ():
-                    masks[f["context"]] = masks.get(f["context"], 0) | f["mask"]
-                spans = removed_spans(text, masks) if masks else []
-                stops = [0, *(x for span in spans for x in span), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(stops[::2], stops[1::2]))
-                for column, value in zip(out, (len(text), len(text) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest())):
+            out, texts = [[], [], [], [], []], as_bytes(batch.column(1))
+            owner, (context, mask) = _lists(batch.column(2), ("context", "mask"))
+            order = np.lexsort((context, owner))
+            owner, context, mask = owner[order], context[order], mask[order]
+            if len(owner):
+                first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (context[1:] != context[:-1]))))
+                owner, context, mask = owner[first], context[first], np.bitwise_or.reduceat(mask, first)
+            spans: dict[int, list[int]] = {}
+            for rows in _groups(texts, np.unique(owner)):
+                inside = (owner >= rows[0]) & (owner <= rows[-1])
+                found = _spans([texts[r] for r in rows.tolist()], np.searchsorted(rows, owner[inside]), context[inside], mask[inside])
+                for text, low, high in zip(*(x.tolist() for x in found)):
+                    spans.setdefault(int(rows[text]), []).extend((low, high))
+            for row, text in enumerate(texts):
+                own = spans.get(row, ())
+                stops = [0, *own, len(text)]
+                kept = b"".join([text[a:b] for a, b in zip(stops[::2], stops[1::2])]) if own else text
+                for column, value in zip(out, (len(text), len(text) - len(kept), len(own) // 2, kept, hashlib.sha256(kept).hexdigest())):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays(

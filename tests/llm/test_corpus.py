@@ -206,6 +206,51 @@ def test_an_anchor_with_more_contexts_than_a_piece_holds_is_split(monkeypatch):
     assert ordered(got) == brute_repeats(rows)
 
 
+def test_texts_hashed_together_have_the_anchors_of_each(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(repeats, "_SLICE", 70)
+    draw = random.Random(3)
+    texts = [bytes(draw.choices(b"abc", k=draw.choice((0, 1, 15, 16, 49, 50, 51, 84, 300)))) for _ in range(60)] + [b"a" * 400, b""]
+    together = list(zip(*(x.tolist() for x in repeats.marks(texts))))
+    assert together == [(t, *m[1:]) for t, text in enumerate(texts) for m in zip(*(x.tolist() for x in repeats.marks([text])))]
+    for t, text in enumerate(texts):
+        grams = repeats.gram_hashes(np.frombuffer(text, dtype=np.uint8)) >> np.uint64(24) if len(text) >= 50 else []
+        want = {p + int(np.argmin(grams[p : p + repeats.WINDOW])) for p in range(len(text) - 49)}
+        assert [m[1] for m in together if m[0] == t] == sorted(want)
+    # runs end with their texts
+    masks = [(t, c) for t, c in sorted({(m[0], int(np.uint64(m[3]).astype(np.int64))) for m in together})]
+    own = [np.array(x) for x in zip(*masks)]
+    spans = list(zip(*(x.tolist() for x in repeats._spans(texts, *own, np.full(len(masks), repeats._ALL)))))
+    assert spans == [(t, 0, len(text)) for t, text in enumerate(texts) if len(text) >= 50]
+
+
+def test_order_and_windows_of_few_and_many_letters():
+    import numpy as np
+
+    draw = np.random.default_rng(6)
+    for letters in (3, 300, 1 << 20, 1 << 40):
+        part = draw.integers(1, letters, 90)
+        text = np.concatenate([part, draw.integers(1, letters, 9), part, part[20:80], [0]])
+        order = suffix_order(text)
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        for span in (1, 7, 8, 50):
+            groups, windows = repeated_windows(text, order, span), [text[i : i + span].tolist() for i in order]
+            assert all((groups[j] == groups[j - 1]) == (windows[j] == windows[j - 1] and len(windows[j]) == span) for j in range(1, len(order)))
+
+
+def test_smaller_ids_are_known_across_batches():
+    import pyarrow as pa
+
+    for kind, name in ((pa.int64(), int), (pa.string(), lambda k: f"{k:03d}")):
+        rows = sorted((g, c, name(k)) for g in range(3) for c in range(2) for k in range(40))
+        for size in (1, 7, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + size]), (pa.int64(), pa.int64(), kind))],
+                                                  names=["gram", "context", "id"]) for k in range(0, len(rows), size)]
+            found = [r for b in repeats._findings(iter(batches)) for r in b.to_pylist() if not r["open"]]
+            assert [(r["gram"], r["context"], r["id"]) for r in found] == [r for r in rows if r[2] != name(0)]
+
+
 # --- near copies -------------------------------------------------------------------------------------
 
 
