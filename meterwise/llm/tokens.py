@@ -57,6 +57,10 @@ class PrefixCounter:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.ranks[raw(left), raw(right)] = rank
         self.vocabulary = {bytes([b]) for b in range(256)} | {a + b for a, b in self.ranks}
+        # entries in the order in which merges make them, and the two each is made of; a byte is made of nothing
+        self.number = {bytes([b]): b for b in range(256)} | {a + b: 256 + rank for (a, b), rank in self.ranks.items()}
+        self.made = {a + b: (a, b) for a, b in self.ranks}
+        self.made_once = len(self.number) == 256 + len(self.ranks)
         self.longest = max(map(len, self.vocabulary))
         self.specials = [t["content"] for t in content.get("added_tokens", ())]
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
@@ -86,9 +90,33 @@ class PrefixCounter:
         if known is None:
             if len(self.follows) > 4 * self.memory:
                 self.follows.clear()
-            known = self.follows[left, right] = self.merged(left + right) == [left, right]
+            known = self.follows[left, right] = self._apart(left, right) if self.made_once else self.merged(left + right) == [left, right]
         return known
 
+    def _apart(self, left: bytes, right: bytes) -> bool:
+        """Whether no merge joins two entries that stand: both are taken apart, last merge first, and at no time may a pair
+        across the border have been merged before the merge just undone."""
+        number, ranks, made, limit = self.number, self.ranks, self.made, 1 << 30
+        while True:
+            rank = ranks.get((left, right))
+            if rank is not None and 256 + rank < limit:
+                return False
+            of_left, of_right = number[left], number[right]
+            # among equals the left merge comes first
+            if of_left > of_right:
+                if left in made:
+                    limit, left = of_left, made[left][1]
+                elif right in made:
+                    limit, right = of_right + 1, made[right][0]
+                else:
+                    return True
+            elif right in made:
+                limit, right = of_right + 1, made[right][0]
+            elif left in made:
+                limit, left = of_left, made[left][1]
+            else:
+                return True
+
     def stands(self, token: bytes) -> bool:
         """Whether the merges build this vocabulary entry from its own bytes."""
         known = self.own.get(token)
@@ -100,11 +128,24 @@ class PrefixCounter:
         """count[i]: tokens of the first i bytes of a piece."""
         last: list[bytes] = [b""]
         count = [0]
-        vocabulary, longest = self.vocabulary, self.longest
+        vocabulary, longest, own, follows = self.vocabulary, self.longest, self.own.get, self.follows.get
         for end in range(1, len(data) + 1):
             for start in range(max(0, end - longest), end):
                 token = data[start:end]
-                if token in vocabulary and self.stands(token) and (not start or self.may_follow(last[start], token)):
+                if token not in vocabulary:
+                    continue
+                stands = own(token)
+                if stands is None:
+                    stands = self.stands(token)
+                if not stands:
+                    continue
+                if not start:
+                    break
+                before = last[start]
+                fits = follows((before, token))
+                if fits is None:
+                    fits = self.may_follow(before, token)
+                if fits:
                     break
             last.append(token)
             count.append(count[start] + 1)
@@ -162,7 +203,8 @@ class PrefixCounter:
         return counts
 
     def count_plain(self, text: str) -> int:
-        return sum(map(self.total, self.pieces(text)))
+        total, known = self.total, self.totals.get
+        return sum(known(piece) or total(piece) for piece in self.pieces(text))
 
     def _tail(self, segment: str) -> tuple[str, int]:
         """What a following character can still change: from the last piece with a letter on, and its tokens."""

@@ -99,6 +99,16 @@ def test_every_prefix_counts_as_the_library_counts_it():
         assert own.prefixes(text).tolist() == want and own.count(text) == want[-1]
 
 
+def test_what_may_follow_is_told_without_running_the_merges(monkeypatch):
+    own, draw = tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json")), random.Random(9)
+    entries = sorted(own.vocabulary)
+    pairs = [(draw.choice(entries), draw.choice(entries)) for _ in range(3000)]
+    pairs += [(t[:k], t[k:]) for t in draw.sample(entries, 3000) for k in range(1, len(t)) if t[:k] in own.vocabulary and t[k:] in own.vocabulary]
+    want = [own.merged(a + b) == [a, b] for a, b in pairs]
+    monkeypatch.setattr(own, "merged", None)
+    assert [own.may_follow(a, b) for a, b in pairs] == want and 0 < sum(want) < len(want)
+
+
 def test_token_counts_and_budgets(awkward, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
