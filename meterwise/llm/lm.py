@@ -49,10 +49,14 @@ END = " "  # no word has a space
 MIN_STEPS, ROWS = 40, 128
 # exp of scores up to SAFE, and sums of them, are numbers of single precision
 SAFE = 64
+# what a trainer keeps in a row: a vector, its bias, and nothing if that makes it even
+WIDE = SIZE + 2 - SIZE % 2
+# so many rows of scores at once stay in a core's cache
+BLOCK = 256
 # a trainer reads so many times the bytes of the changes it sends
 READS = 16
 _SLICE_BYTES, _CHUNK = 1 << 26, 400_000
-_LOG10 = float(np.log(10))
+_LOG10, _LOG2E = float(np.log(10)), np.float32(np.log2(np.e))
 
 
 def fold(id_column: Column) -> Column:
@@ -139,22 +143,27 @@ class Model:
 
     def _norms(self, hidden: np.ndarray, rows: slice) -> np.ndarray:
         """Log of the sum of exp scores over some rows."""
-        # the biases go with a last entry of 1
-        outputs = np.vstack((self.vectors[rows].T, self.biases[rows]))
-        hidden = np.column_stack((hidden, np.ones(len(hidden), dtype=np.float32)))
-        whole, one = np.empty(len(hidden), dtype=np.float32), np.ones(outputs.shape[1], dtype=np.float32)
+        # exp2 costs half of exp; the biases weigh the sum instead of going with each score
+        outputs = np.ascontiguousarray(self.vectors[rows].T) * _LOG2E
+        highest = self.biases[rows].max()
+        share = np.exp(self.biases[rows] - highest)
+        whole = np.empty(len(hidden), dtype=np.float32)
         # no score is larger than this, nor its opposite: exp can do without the largest one taken off
-        bound = np.sqrt(np.square(hidden).sum(axis=1).max(initial=0) * np.square(outputs).sum(axis=0).max())
-        room = np.empty((min(BATCH, len(hidden)), outputs.shape[1]), dtype=np.float32)
-        for at in range(0, len(hidden), BATCH):
-            part = hidden[at : at + BATCH]
+        bound = np.sqrt(np.square(hidden).sum(axis=1).max(initial=0) * np.square(self.vectors[rows]).sum(axis=1).max())
+        if bound >= SAFE:
+            outputs = np.vstack((outputs, self.biases[rows] * _LOG2E))
+            hidden = np.column_stack((hidden, np.ones(len(hidden), dtype=np.float32)))
+        room = np.empty((min(BLOCK, len(hidden)), outputs.shape[1]), dtype=np.float32)
+        for at in range(0, len(hidden), BLOCK):
+            part = hidden[at : at + BLOCK]
             scores = np.matmul(part, outputs, out=room[: len(part)])
-            top = 0 if bound < SAFE else scores.max(axis=1)
-            if bound >= SAFE:
-                scores -= top[:, None]
-            np.exp(scores, out=scores)
-            whole[at : at + BATCH] = np.log(scores @ one) + top
-        return whole
+            if bound < SAFE:
+                np.matmul(np.exp2(scores, out=scores), share, out=whole[at : at + BLOCK])
+                continue
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            whole[at : at + BLOCK] = np.log(np.exp2(scores, out=scores).sum(axis=1)) + top / _LOG2E
+        return np.log(whole, out=whole) + highest if bound < SAFE else whole
 
     def log_probabilities(self, far: np.ndarray, near: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log P(token | far, near) of each position; contexts that recur are normalised once."""
@@ -172,108 +181,134 @@ class Model:
 
 def _by_cluster(cluster: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """The places of each cluster, those without one left out."""
-    order = np.argsort(cluster, kind="stable")
-    order = order[np.searchsorted(cluster[order], 0) :]
-    kinds, first = np.unique(cluster[order], return_index=True)
-    for which, at in zip(kinds.tolist(), np.split(order, first[1:])):
-        yield at, which
+    # numbers of 16 bits are sorted by their digits
+    order = np.argsort(cluster.astype(np.min_scalar_type(-1 - cluster.max(initial=0))), kind="stable")
+    sizes = np.bincount(cluster + 1)
+    ends = np.cumsum(sizes)
+    for which in np.flatnonzero(sizes[1:]).tolist():
+        yield order[ends[which] : ends[which + 1]], which
 
 
 class Trainer:
-    """Noise-contrastive estimation of one task, in numpy."""
+    """Noise-contrastive estimation of one task, in numpy.
+
+    A row is a vector and, behind it, by how much its bias exceeds the log of its share of noise: with an entry
+    of 1 in `hidden` one product gives what a token is judged by, and another the slopes of both. A last entry
+    of 0 makes rows even, so that they are added and written as half as many complex numbers.
+    """
 
     def __init__(self, model: Model, seed: int):
         self.model, self.draw = model, np.random.default_rng(seed)
-        self.squares = [np.full_like(w, 1e-6) for w in model.weights()]
+        offset = np.log(NOISE * np.concatenate((model.noise, [1], model.tail)))
+        self.rows = np.zeros((len(model.vectors), WIDE), dtype=np.float32)
+        self.rows[:, :SIZE], self.rows[:, SIZE] = model.vectors, model.biases - offset.astype(np.float32)
+        # the matrices one below the other, for the two rows before side by side, whose biases do not count
+        self.both = np.zeros((2, WIDE, SIZE), dtype=np.float32)
+        self.both[:, :SIZE] = model.near, model.far
+        self.both = self.both.reshape(2 * WIDE, SIZE)
+        self.start = [w.copy() for w in (self.rows, self.both)]
+        self.squares = [np.full_like(w, 1e-6) for w in self.start]
         self.touched = np.zeros(len(model.vectors), dtype=bool)
-        self.offset = np.log(NOISE * np.concatenate((model.noise, [1], model.tail))).astype(np.float32)
         self.upto, self.tail_upto = np.cumsum(model.noise), np.concatenate(([0], np.cumsum(model.tail)))
         self.seen = 0
-        # the last place of each row among those of a step
+        self.hidden = np.zeros((BATCH, WIDE), dtype=np.float32)
+        self.hidden[:, SIZE] = 1
+        # the last place of each row among those of a step, the places, and those of their complex numbers
         self.place = np.zeros(len(model.vectors), dtype=np.int64)
-        self.columns = np.arange(SIZE)
+        self.order = np.arange(3 * BATCH + NOISE)
+        self.spread = self.order[:, None] * (WIDE // 2) + np.arange(WIDE // 2)
 
     def learn(self, far: np.ndarray, near: np.ndarray, token: np.ndarray) -> None:
         """Triples of rows; equal ones are learnt once, by their number."""
         self.seen += len(token)
         m = self.model
-        wide = len(m.vectors)
-        context, back = np.unique(far * wide + near, return_inverse=True)
-        triple, times = np.unique(back * wide + token, return_counts=True)
-        far, near, token = context[triple // wide] // wide, context[triple // wide] % wide, triple % wide
+        far, near, token, times = _distinct(far, near, token, len(m.vectors))
         row, cluster = m.outputs(token)
-        times = times.astype(np.float32)
-        steps = -(-len(triple) // BATCH)
-        for _ in range(-(-MIN_STEPS // steps)):
-            order = self.draw.permutation(len(triple))
-            for part, noise in self._batches(order, cluster):
-                self._step(far[part], near[part], (row if noise is None else token)[part], times[part] / times[part].sum(), noise)
-
-    def _batches(self, order: np.ndarray, cluster: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-        """Triples to learn at once; with the noise rows where they are learnt within their cluster."""
-        for at in range(0, len(order), BATCH):
-            yield order[at : at + BATCH], None
-        m = self.model
-        for at, which in _by_cluster(cluster[order]):
-            rows = m.cluster_rows(which)
-            low, high = (self.tail_upto[k - m.start - 1] for k in (rows.start, rows.stop))
-            for k in range(0, len(at), BATCH):
-                drawn = np.searchsorted(self.tail_upto, low + (high - low) * self.draw.random(NOISE), side="right") + m.start
-                yield order[at[k : k + BATCH]], np.clip(drawn, rows.start, rows.stop - 1)
-
-    def _step(self, far: np.ndarray, near: np.ndarray, token: np.ndarray, share: np.ndarray, noise: np.ndarray | None) -> None:
-        m, offset = self.model, self.offset
-        if noise is None:
-            noise = np.minimum(np.searchsorted(self.upto, self.draw.random(NOISE), side="right"), m.start - 1)
-        near_vectors, far_vectors, true_vectors, false_vectors = (m.vectors.take(x, axis=0) for x in (near, far, token, noise))
-        hidden = near_vectors @ m.near
-        hidden += far_vectors @ m.far
-        true = np.einsum("ij,ij->i", hidden, true_vectors) + (m.biases[token] - offset[token])
-        false = hidden @ false_vectors.T
-        false += m.biases[noise] - offset[noise]
+        before, times = np.column_stack((near, far)), times.astype(np.float32)
+        steps = -(-len(token) // BATCH)
+        with np.errstate(over="ignore"):
+            for _ in range(-(-MIN_STEPS // steps)):
+                order = self.draw.permutation(len(token))
+                self._steps(before[order], row[order], times[order], lambda drawn: np.minimum(np.searchsorted(self.upto, drawn, side="right"), m.start - 1))
+                for at, which in _by_cluster(cluster[order]):
+                    rows, at = m.cluster_rows(which), order[at]
+                    low, high = (self.tail_upto[k - m.start - 1] for k in (rows.start, rows.stop))
+                    within = lambda drawn: np.clip(
+                        np.searchsorted(self.tail_upto, low + (high - low) * drawn, side="right") + m.start, rows.start, rows.stop - 1  # noqa: B023
+                    )
+                    self._steps(before[at], token[at], times[at], within)
+
+    def _steps(self, before: np.ndarray, token: np.ndarray, times: np.ndarray, rows_of) -> None:
+        """Tokens and the two rows before each, nearest first, in the order in which they are learnt; `rows_of` turns numbers drawn between 0 and 1 into noise."""
+        for at, noise in zip(range(0, len(token), BATCH), rows_of(self.draw.random((-(-len(token) // BATCH), NOISE)))):
+            part = slice(at, at + BATCH)
+            self._step(before[part], token[part], times[part] / times[part].sum(), noise)
+
+    def _step(self, before: np.ndarray, token: np.ndarray, share: np.ndarray, noise: np.ndarray) -> None:
+        n, behind = len(token), len(token) + len(noise)
+        rows = np.concatenate((token, noise, before.ravel()))
+        taken = self.rows.take(rows, axis=0)
+        true_rows, false_rows, two_rows = taken[:n], taken[n:behind], taken[behind:].reshape(n, 2 * WIDE)
+        hidden = self.hidden[:n]
+        np.matmul(two_rows, self.both, out=hidden[:, :SIZE])
         # slopes of the loss by the scores
-        true = -share / (1 + np.exp(np.clip(true, -30, 30)))
-        np.exp(np.negative(np.clip(false, -30, 30, out=false), out=false), out=false)
+        true = -share / (1 + np.exp(np.einsum("ij,ij->i", hidden, true_rows)))
+        false = hidden @ (false_rows * -_LOG2E).T
+        np.exp2(false, out=false)
         false += 1
         np.divide(share[:, None], false, out=false)
-        hidden_slope = false @ false_vectors
-        hidden_slope += true[:, None] * true_vectors
-        near_slope, far_slope = near_vectors.T @ hidden_slope, far_vectors.T @ hidden_slope
+        hidden_slope = false @ false_rows[:, :SIZE]
+        hidden_slope += true[:, None] * true_rows[:, :SIZE]
+        slopes = np.empty_like(taken)
+        np.multiply(true[:, None], hidden, out=slopes[:n])
+        np.matmul(false.T, hidden, out=slopes[n:behind])
+        np.matmul(hidden_slope, self.both.T, out=slopes[behind:].reshape(n, 2 * WIDE))
+        both_slope = two_rows.T @ hidden_slope
+        both_slope[SIZE:WIDE] = both_slope[WIDE + SIZE :] = 0
         # only the rows that occur change; a row is summed where it stands last
-        rows = np.concatenate((token, noise, near, far))
-        order = np.arange(len(rows))
+        order = self.order[: len(rows)]
         self.place[rows] = order
         last = self.place[rows]
         unlike = last == order
-        rows, back = rows[unlike], (np.cumsum(unlike) - 1)[last]
-        slopes = np.concatenate((true[:, None] * hidden, false.T @ hidden, hidden_slope @ m.near.T, hidden_slope @ m.far.T))
-        vectors, more = slopes.take(order[unlike], axis=0), order[~unlike]
-        at = (back[more, None] * SIZE + self.columns).ravel()
-        vectors += np.bincount(at, weights=slopes.take(more, axis=0).ravel(), minlength=len(rows) * SIZE).reshape(len(rows), SIZE)
-        scored = len(token) + len(noise)
-        biases = np.bincount(back[:scored], weights=np.concatenate((true, false.sum(axis=0))), minlength=len(rows)).astype(np.float32)
-        self.touched[rows] = True
-        for weight, slope, square in zip(m.weights(), (vectors, biases, near_slope, far_slope), self.squares):
-            if weight is m.near or weight is m.far:
-                square += slope * slope
-                weight -= RATE * slope / np.sqrt(square)
-                continue
-            grown = square.take(rows, axis=0)
-            grown += slope * slope
-            square[rows] = grown
-            slope /= np.sqrt(grown, out=grown)
-            slope *= RATE
-            weight[rows] = weight.take(rows, axis=0) - slope
-
-    def changes(self, start: Model) -> Iterator[tuple[int, bytes]]:
+        kept, more = np.flatnonzero(unlike), np.flatnonzero(~unlike)
+        pairs = slopes.view(np.complex64)
+        np.add.at(pairs.reshape(-1), self.spread.take(last[more], axis=0).ravel(), pairs.take(more, axis=0).ravel())
+        changed, slope = rows[kept], slopes.take(kept, axis=0)
+        self.touched[changed] = True
+        square = self.squares[0].take(changed, axis=0)
+        square += slope * slope
+        self.squares[0].view(np.complex64)[changed] = square.view(np.complex64)
+        slope /= np.sqrt(square, out=square)
+        slope *= RATE
+        self.rows.view(np.complex64)[changed] = np.subtract(taken.take(kept, axis=0), slope, out=slope).view(np.complex64)
+        square = self.squares[1]
+        square += both_slope * both_slope
+        self.both -= RATE * both_slope / np.sqrt(square)
+
+    def changes(self) -> Iterator[tuple[int, bytes]]:
         """What was learnt, times the tokens seen: the matrices and the number of tokens as block -1, then the touched blocks of rows."""
-        m, seen = self.model, np.float32(self.seen)
-        moved = [(own - old).ravel() * seen for own, old in ((m.near, start.near), (m.far, start.far))]
-        yield -1, np.concatenate((*moved, [seen])).astype(np.float32).tobytes()
+        seen = np.float32(self.seen)
+        rows, both = self.start
+        moved = (self.both - both).reshape(2, WIDE, SIZE)[:, :SIZE] * seen
+        yield -1, np.append(moved.ravel(), seen).astype(np.float32).tobytes()
         for block in np.unique(np.flatnonzero(self.touched) // ROWS).tolist():
             part = slice(block * ROWS, (block + 1) * ROWS)
-            vectors, biases = m.vectors[part] - start.vectors[part], m.biases[part] - start.biases[part]
-            yield block, (np.column_stack((vectors, biases)) * seen).astype(np.float32).tobytes()
+            yield block, ((self.rows[part] - rows[part])[:, : SIZE + 1] * seen).astype(np.float32).tobytes()
+
+
+def _distinct(far: np.ndarray, near: np.ndarray, token: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of triples of numbers below `wide`, in order, and how often each occurs."""
+    context = far * wide + near
+    whole = wide**3 < 1 << 63
+    if not whole:
+        kinds, context = np.unique(context, return_inverse=True)
+    triple, times = np.unique(context * wide + token, return_counts=True)
+    context = triple // wide
+    token = triple - context * wide
+    if not whole:
+        context = kinds[context]
+    far = context // wide
+    return far, context - far * wide, token, times
 
 
 def _averaged(model: Model, sums: dict[int, bytes]) -> Model:
@@ -313,14 +348,13 @@ def _positions(rows: np.ndarray, sizes: np.ndarray, start: int, end: int) -> tup
 def _chunks(column: pa.Array, known: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Texts of about _CHUNK words together: their words, how many each text has, and the words' places in `known`, its length for others."""
     for words, sizes in _spelled(column):
-        ends = np.cumsum(sizes)
+        ends, places = np.cumsum(sizes), pc.index_in(words, value_set=known).fill_null(len(known)).to_numpy()
         low = 0
         while low < len(sizes):
             first = int(ends[low] - sizes[low])
             high = min(len(sizes), int(np.searchsorted(ends, first + _CHUNK, side="right")) + 1)
-            part = words.slice(first, int(ends[high - 1]) - first)
-            at = pc.index_in(part, value_set=known).fill_null(len(known)).to_numpy().astype(np.int64)
-            yield part, sizes[low:high], at
+            last = int(ends[high - 1])
+            yield words.slice(first, last - first), sizes[low:high], places[first:last].astype(np.int64)
             low = high
 
 
@@ -401,11 +435,11 @@ def fitted(texts: DataFrame, corpus: Corpus) -> Model:
             for batch in batches:
                 for _, sizes, at in _chunks(batch.column(0), known):
                     if trainer is None:
-                        trainer = Trainer(start.copied(), seed=turn)
+                        trainer = Trainer(start, seed=turn)
                     far, near, token, _ = _positions(row_of[at], sizes, start.start, end)
                     trainer.learn(far, near, token)
             if trainer:
-                for block, sums in trainer.changes(start):
+                for block, sums in trainer.changes():
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sums], pa.binary())], names=["block", "sums"])
 
         def summed(group: pd.DataFrame) -> pd.DataFrame:

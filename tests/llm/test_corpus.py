@@ -473,6 +473,77 @@ def test_sums_of_exp_scores_are_right_at_any_size():
         assert np.abs(model._norms(hidden, slice(0, 70)) - want).max() < 1e-5 * max(1, np.abs(want).max())
 
 
+def test_sums_of_exp_scores_are_taken_in_blocks_that_stay_in_cache():
+    import tracemalloc
+
+    import numpy as np
+
+    model = lm.Model.fresh(np.full(700, 1 / 700))
+    hidden = np.random.default_rng(4).normal(0, 1, (5000, lm.SIZE)).astype(np.float32)
+    tracemalloc.start()
+    model._norms(hidden, slice(0, 700))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20
+
+
+def test_a_step_changes_rows_by_their_summed_slopes():
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    model = lm.Model.fresh(np.full(9, 1 / 9), draw.dirichlet(np.ones(70)), 40)
+    trainer = lm.Trainer(model, seed=3)
+    first = model.copied()
+    far, near, token, noise = (draw.integers(0, len(model.vectors), n) for n in (50, 50, 50, lm.NOISE))
+    share = draw.random(50).astype(np.float32)
+    share /= share.sum()
+    trainer._step(np.column_stack((near, far)), token, share, noise)
+    trainer.seen = 1
+    # the same with plain sums, row by row
+    wide = [w.astype(np.float64) for w in first.weights()]
+    vectors, biases, near_matrix, far_matrix = wide
+    offset = np.log(lm.NOISE * np.concatenate((first.noise, [1], first.tail)))
+    slopes = [np.zeros_like(w) for w in wide]
+    for u, v, w, part in zip(far, near, token, share):
+        hidden, back = vectors[v] @ near_matrix + vectors[u] @ far_matrix, 0
+        for which, sign in ((w, -1), *((x, 1) for x in noise)):
+            slope = sign * part / (1 + np.exp(-sign * (hidden @ vectors[which] + biases[which] - offset[which])))
+            back = back + slope * vectors[which]
+            slopes[0][which] += slope * hidden
+            slopes[1][which] += slope
+        slopes[0][v] += near_matrix @ back
+        slopes[0][u] += far_matrix @ back
+        slopes[2] += np.outer(vectors[v], back)
+        slopes[3] += np.outer(vectors[u], back)
+    want = first.copied()
+    for weight, slope in zip(want.weights(), slopes):
+        weight -= lm.RATE * slope / np.sqrt(1e-6 + slope * slope)
+    got = lm._averaged(first, {block: np.frombuffer(x, np.float32).astype(np.float64).tobytes() for block, x in trainer.changes()})
+    for own, other in zip(got.weights(), want.weights()):
+        assert np.abs(own - other).max() < 1e-3 * lm.RATE
+    # what trainers begin with stays as it is
+    assert all((own == other).all() for own, other in zip(model.weights(), first.weights()))
+
+
+def test_equal_triples_are_counted_whatever_the_size_of_the_vocabulary():
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    for wide in (12, 3_000_000):
+        far, near, token = (wide - 1 - draw.integers(0, 12, 3000) for _ in range(3))
+        got = lm._distinct(far, near, token, wide)
+        assert list(zip(*(x.tolist() for x in got))) == [(*k, n) for k, n in sorted(Counter(zip(far.tolist(), near.tolist(), token.tolist())).items())]
+
+
+def test_known_words_are_looked_up_once_for_many_chunks(monkeypatch):
+    import pyarrow as pa
+
+    calls, look_up = [], lm.pc.index_in
+    monkeypatch.setattr(lm, "_CHUNK", 30)
+    monkeypatch.setattr(lm.pc, "index_in", lambda *a, **k: calls.append(1) or look_up(*a, **k))
+    assert len(list(lm._chunks(pa.array(["a b c " * 5] * 60), pa.array(["a", "c"])))) == 20 and len(calls) == 1
+
+
 def test_trainers_read_many_times_what_they_send(spark):
     draw = random.Random(5)
     texts = spark.createDataFrame([(" ".join(f"w{draw.randrange(900)}" for _ in range(400)),) for _ in range(300)], "text string").repartition(60)
